@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing
+from quarry.llm import line_dedup, mixing
 from quarry.llm.common import fresh_path, table
 
 #: The tokenizers' vocabularies: a folder of public files.
@@ -29,6 +29,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), ["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every whole document before and after those that many documents share have gone."""
+    from quarry.llm.line_dedup import without_repeated_lines
+
+    found = without_repeated_lines(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document, and the smallest id that links of at most four bits lead to."""
     from quarry.llm.simhash import near_copies
@@ -40,9 +48,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
 }

@@ -37,6 +37,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole document and of its edited text, and how like they are."""
+    from quarry.llm.fingerprints import with_edits
+
+    return with_edits(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document, and the smallest id that links of at most four bits lead to."""
     from quarry.llm.simhash import near_copies
@@ -49,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op6_line_dedup": op6_line_dedup,
+    "op8_fingerprints": op8_fingerprints,
     "op9_simhash": op9_simhash,
 }
 

@@ -37,6 +37,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every whole document, learnt from the labels of three in four."""
+    from quarry.llm.quality import quality_scores
+
+    found = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return found.select("row.doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document and of its edited text, and how like they are."""
     from quarry.llm.fingerprints import with_edits
@@ -56,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality": op7_quality,
     "op8_fingerprints": op8_fingerprints,
     "op9_simhash": op9_simhash,
 }

@@ -29,6 +29,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), ["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every whole document and their places in sequences of 2048 tokens."""
+    from quarry.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json").withColumnRenamed("id", "doc_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every whole document before and after those that many documents share have gone."""
     from quarry.llm.line_dedup import without_repeated_lines
@@ -63,6 +70,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_fingerprints": op8_fingerprints,

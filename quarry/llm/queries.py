@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, mixing
+from quarry.llm import line_dedup, mixing, topk
 from quarry.llm.common import fresh_path, table
 
 #: The tokenizers' vocabularies: a folder of public files.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector with all others."""
+    from quarry.llm.topk import top_inner_products
+
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole document; the cache starts empty, so that every distinct text is encoded."""
     from quarry.llm.token_counts import cached_counts
@@ -67,7 +74,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    from quarry.llm.html_text import visible_text
+
+    return visible_text(table(spark, sf_dir, "pages"), ["page_id"]).select("row.page_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_topk": op2_topk,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
@@ -75,9 +90,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_fingerprints": op8_fingerprints,
     "op9_simhash": op9_simhash,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_topk": topk.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
 }

@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
         .withColumn("weights", F.sum("weight").over(up.rowsBetween(W.currentRow, W.unboundedFollowing)))
         .withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
         .withColumn("level", (F.col("total") - F.col("capped")) / F.col("weights"))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
         .withColumn("target", F.least("cap", F.col("level") * F.col("weight")))
         .select("source", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("budget"))
     )
@@ -110,7 +110,7 @@ l AS (
              - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM r),
-t AS (SELECT source, source_size, least(cap, min(CASE WHEN level <= ratio THEN level END) OVER () * weight) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, max(CASE WHEN level <= ratio THEN level END) OVER () * weight) AS target FROM l),
 b AS (
   SELECT *, floor(target + 0.5)::BIGINT AS budget, CASE WHEN source_size = 0 THEN 0 ELSE floor(floor(target + 0.5) / source_size) END::BIGINT AS epochs
   FROM t),

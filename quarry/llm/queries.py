@@ -14,6 +14,14 @@ from quarry.llm.common import fresh_path, table
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every whole document, learnt from six in seven."""
+    from quarry.llm.lm import scores
+
+    found = scores(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest inner products of every hundredth vector with all others."""
     from quarry.llm.topk import top_inner_products
@@ -82,6 +90,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_topk": op2_topk,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,

@@ -12,9 +12,10 @@ just enough to hold their sum, and the rounds repeat until the band is placed.
 Ranks among equals are taken in 64 salted groups for each size, so that one size that most pieces share is spread over tasks. Rounds
 are a few for each of the log2(capacity) bands, however many pieces there are; each is written to the shared folder.
 
-Token ids come from the tokenizers library. Its pre-tokenizer never joins what stands left of a blank to a word after the blank, so
-texts are encoded in pieces that start there, and pieces that repeat are looked up (at most MEMO a worker); texts that hold a
-special string or other white space next to a blank are encoded in one call.
+Token ids are those of the tokenizers library. Its pre-tokenizer never joins what stands left of a blank to a word after the blank, so
+texts are encoded in pieces that start there, and pieces that repeat are looked up (at most MEMO a worker). Pieces that are not
+known yet are encoded from the same vocabulary's ranks, where they lie beside it. Texts that hold a special string, or other
+white space next to a blank, go to the library whole.
 
 Defined results: null text is empty and its document has one token, the end; repeated rows and ids are packed separately (their
 pieces' rows look alike but for their places); a null id stays null; an empty table gives an empty result; the input's other
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,50 +38,81 @@ from pyspark.sql import Window as W
 
 from quarry.llm.common import as_bytes, saved, whole
 
-CAPACITY, SALTS, MEMO, TOGETHER = 2048, 64, 300_000, 20_000
-#: Where cutting before a blank could change the result: special strings, and white space of any kind next to a blank.
-_whole_only = re.compile(r"<\||\s |^\s| \s|\s$")
+CAPACITY, SALTS, MEMO, TOGETHER = 2048, 64, 500_000, 20_000
+#: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space beyond ASCII begins with one of these bytes in UTF-8.
+_wide = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: Where cutting before a blank could change the result: white space of another kind, or a blank, next to a blank.
+_beside_blank = re.compile(r"\s | \s")
+_beside_blank_ascii = re.compile(rb"[\s\x1c-\x1f] | [\s\x1c-\x1f]")
+_rare = (b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 _loaded: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
+    """The tokenizer of a .json file; if the same vocabulary lies beside it as ranks, an encoder of its pieces from these, which
+    gives the same ids several times as fast; and the worker's table of pieces."""
     if path not in _loaded:
+        import base64
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        pieces = lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        ranks_file = path.removesuffix(".json") + ".tiktoken"
+        if os.path.exists(ranks_file):
+            import tiktoken
+
+            with open(ranks_file, "rb") as file:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+            ordinary = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            pieces = lambda parts: [ordinary(p) for p in parts]
+        _loaded[path] = (tokenizer, pieces, {})
     return _loaded[path]
 
 
+def _needs_whole(text: bytes) -> bool:
+    """Whether the text can't be cut before its blanks: it may hold a special string, or white space next to a blank."""
+    if b"<|" in text or b"  " in text or b"\n " in text or b" \n" in text:
+        return True
+    if any(c in text for c in _rare) and _beside_blank_ascii.search(text):
+        return True
+    return any(w in text for w in _wide) and bool(_beside_blank.search(text.decode()))
+
+
 def token_ids(texts: list[bytes], path: str, end_id: int = 0) -> Iterator[np.ndarray]:
     """The ids of each UTF-8 text, then end_id, as unsigned 32-bit numbers."""
-    tokenizer, memo = _tokenizer(path)
-    encode = lambda parts: tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-    pieces: list[list[bytes] | None] = []
+    tokenizer, encode, memo = _tokenizer(path)
+    end = array("I", [end_id]).tobytes()
+    get = memo.get  # of what follows a blank, its ids with the blank
+    done: list[tuple[bytes, list[bytes], list[bytes | None]] | None] = []
+    missing: dict[bytes, bytes] = {}
     for t in texts:
-        text = t.decode()
-        if _whole_only.search(text):
-            pieces.append(None)
-        else:
-            first, *rest = t.split(b" ")
-            pieces.append([first, *(b" " + p for p in rest)])
-    missing = list({p for own in pieces if own for p in own if p not in memo})
-    found: dict[bytes, bytes] = {}
-    for i in range(0, len(missing), TOGETHER):
-        part = missing[i : i + TOGETHER]
-        for p, e in zip(part, encode([p.decode() for p in part])):
-            found[p] = np.array(e.ids, "<u4").tobytes()
-    for p in list(found)[: max(0, MEMO - len(memo))]:
-        memo[p] = found[p]
-    end = np.array([end_id], "<u4").tobytes()
-    for t, own in zip(texts, pieces):
+        if _needs_whole(t):
+            done.append(None)
+            continue
+        first, *rest = t.split(b" ")
+        ids = list(map(get, rest))
+        if None in ids:
+            missing.update((p, b"") for p, i in zip(rest, ids) if i is None)
+        done.append((first, rest, ids))
+    keys = list(missing)
+    for i in range(0, len(keys), TOGETHER):
+        part = keys[i : i + TOGETHER]
+        missing.update(zip(part, (array("I", x).tobytes() for x in encode([" " + p.decode() for p in part]))))
+    for p in keys[: max(0, MEMO - len(memo))]:
+        memo[p] = missing[p]
+    for t, own in zip(texts, done):
         if own is None:
-            ids = np.array(encode([t.decode()])[0].ids, "<u4").tobytes()
+            body = array("I", tokenizer.encode(t.decode(), add_special_tokens=False).ids).tobytes()
         else:
-            ids = b"".join([memo[p] if p in memo else found[p] for p in own])
-        yield np.frombuffer(ids + end, "<u4")
+            first, rest, ids = own
+            start = array("I", encode([first.decode()])[0]).tobytes()
+            body = start + b"".join([missing[p] if i is None else i for p, i in zip(rest, ids)] if None in ids else ids)
+        yield np.frombuffer(body + end, np.uint32)
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int]]:

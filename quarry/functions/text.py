@@ -126,7 +126,11 @@ MENTIONS = {
 
 def mentions(df: DataFrame, text: str, families: dict[str, str] | None = None) -> DataFrame:
     """A row for each distinct mention of a row's text: mention_type, mention (trimmed, three characters or more)."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p)), lambda m, k=k: F.struct(F.lit(k).alias("mention_type"), F.trim(F.regexp_replace(m, r"\s+", " ")).alias("mention"))) for k, p in (families or MENTIONS).items()]
+
+    def of(kind: str):
+        return lambda m: F.struct(F.lit(kind).alias("mention_type"), F.trim(F.regexp_replace(m, r"\s+", " ")).alias("mention"))
+
+    found = [F.transform(F.regexp_extract_all(text, F.lit(p)), of(k)) for k, p in (families or MENTIONS).items()]
     return df.select("*", F.explode(F.array_distinct(F.concat(*found))).alias("m")).select("*", "m.mention_type", "m.mention").drop("m").where(F.length("mention") >= 3)
 
 

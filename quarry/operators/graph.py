@@ -1,10 +1,13 @@
-"""Graphs as two-column tables of edges. Each hop is a join; frontiers hold distinct nodes only."""
+"""Graphs as two-column tables of edges. Each hop is a join; frontiers hold distinct nodes only. Rounds are stored, so that plans
+stay small however many there are."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import cut
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of each edge (src, dst), distinct."""
@@ -13,26 +16,28 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """node, hop: the least number of edges (up to depth) from any start node (column node)."""
-    both = undirected(edges)
+    both = cut(undirected(edges))
     seen = start.select("node", F.lit(0).alias("hop"))
     for d in range(1, depth + 1):
         front = seen.where(F.col("hop") == d - 1).select(F.col("node").alias("src"))
         new = both.join(front, "src").select(F.col("dst").alias("node"), F.lit(d).alias("hop"))
-        seen = seen.unionAll(new).groupBy("node").agg(F.min("hop").alias("hop"))
+        seen = cut(seen.unionAll(new).groupBy("node").agg(F.min("hop").alias("hop")))
     return seen
 
 
 def shortest_path(edges: DataFrame, source, target, depth: int = 8) -> DataFrame:
     """One row: hop count and path (array of nodes) of the first shortest path by node order; none if it is farther than depth."""
-    both = undirected(edges)
+    both = cut(undirected(edges))
     front = both.sparkSession.createDataFrame([(source, [source])], both.select(F.col("src").alias("node"), F.array("src").alias("path")).schema)
     seen, found = front.select("node"), front.where(F.col("node") == F.lit(target)).select(F.lit(0).alias("hop"), "path")
     for d in range(1, depth + 1):
         step = front.join(both, front.node == both.src).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        front = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        front = cut(step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
+        hit = front.where(F.col("node") == F.lit(target)).select(F.lit(d).alias("hop"), "path")
+        if hit.head(1):
+            return hit
         seen = seen.unionAll(front.select("node"))
-        found = found.unionAll(front.where(F.col("node") == F.lit(target)).select(F.lit(d).alias("hop"), "path"))
-    return found.orderBy("hop").limit(1)
+    return found
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def closure(edges: DataFrame, depth: int) -> DataFrame:
     for d in range(2, depth + 1):
         far = reach.where(F.col("hop") == d - 1).select(F.col("src").alias("from"), F.col("dst").alias("via"))
         new = far.join(base, F.col("via") == F.col("src")).select(F.col("from").alias("src"), "dst", F.lit(d).alias("hop"))
-        reach = reach.unionAll(new).groupBy("src", "dst").agg(F.min("hop").alias("hop"))
+        reach = cut(reach.unionAll(new).groupBy("src", "dst").agg(F.min("hop").alias("hop")))
     return reach
 
 
@@ -74,8 +79,8 @@ def layers(edges: DataFrame, depth: int) -> DataFrame:
     nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
     left, out, rest = nodes, None, edges.select("src", "dst").distinct()
     for d in range(depth):
-        free = left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+        free = cut(left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         layer = free.withColumn("layer", F.lit(d))
         out = layer if out is None else out.unionAll(layer)
-        left, rest = left.join(free, "node", "left_anti"), rest.join(free.select(F.col("node").alias("src")), "src", "left_anti")
+        left, rest = cut(left.join(free, "node", "left_anti")), cut(rest.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
     return out

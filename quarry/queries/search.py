@@ -1 +1,88 @@
-"""Queries."""
+"""Lexical and vector search, and their fusion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions import text
+from quarry.operators import retrieval
+from quarry.plans.catalog import Tables
+from quarry.queries import query
+
+_dot = "list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
+_cosine = "{d} / (sqrt({a}) * sqrt({b}))".format(d=_dot.format("e.embedding", "q.embedding"), a=_dot.format("e.embedding", "e.embedding"), b=_dot.format("q.embedding", "q.embedding"))
+TERMS = ["the", "license", "heand"]
+_overlap = "(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in TERMS) + ") / 3.0::DOUBLE"
+
+
+def query_vector(t: Tables, vec_id: int) -> list[float]:
+    return t("embeddings").where(F.col("vec_id") == vec_id).first().embedding
+
+
+@query("vector_topk_cosine", f"SELECT e.vec_id, round({_cosine}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE e.vec_id <> 7 ORDER BY {_cosine} DESC, e.vec_id LIMIT 20")
+def vector_topk(t: Tables):
+    found = retrieval.nearest(t("embeddings"), "vec_id", "embedding", query_vector(t, 7), 20, must=F.col("vec_id") != 7)
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("vector_filtered_threshold", f"SELECT e.vec_id, round({_cosine}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q WHERE e.label = 1 AND {_cosine} >= 0.05 ORDER BY {_cosine} DESC, e.vec_id LIMIT 50")
+def vector_filtered(t: Tables):
+    found = retrieval.nearest(t("embeddings"), "vec_id", "embedding", query_vector(t, 3), 50, threshold=0.05, must=F.col("label") == 1)
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("similar_widened", f"""WITH s AS (SELECT e.vec_id, e.label, {_cosine} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 11) q WHERE e.vec_id <> 11)
+  SELECT vec_id, CAST(label = (SELECT label FROM embeddings WHERE vec_id = 11) AS BOOLEAN) AS same, round(score, 6) AS score FROM s ORDER BY label = (SELECT label FROM embeddings WHERE vec_id = 11) DESC, score DESC, vec_id LIMIT 10""")
+def similar(t: Tables):
+    """Of the same kind first, widened to others where they are too few: one scan ranks both."""
+    own = t("embeddings").where("vec_id = 11").first()
+    q = F.lit([float(x) for x in own.embedding])
+    rows = t("embeddings").where("vec_id <> 11").select("vec_id", (F.col("label") == own.label).alias("same"), retrieval.cosine(F.col("embedding"), q).alias("score"))
+    return rows.orderBy(F.desc("same"), F.desc("score"), "vec_id").limit(10).select("vec_id", "same", F.round("score", 6).alias("score"))
+
+
+@query("lexical_ilike_columns", "SELECT p_partkey FROM part WHERE p_name ILIKE '%ring%' OR p_brand ILIKE '%#11%' OR CAST(p_size AS VARCHAR) ILIKE '%ring%'")
+def ilike(t: Tables):
+    return t("part").where(F.col("p_name").ilike("%ring%") | F.col("p_brand").ilike("%#11%") | F.col("p_size").cast("string").ilike("%ring%")).select("p_partkey")
+
+
+@query("lexical_term_overlap", f"SELECT doc_id, round({_overlap}, 4) AS score FROM documents WHERE {_overlap} > 0.5 ORDER BY round({_overlap}, 4) DESC, doc_id LIMIT 100")
+def term_overlap(t: Tables):
+    scored = t("documents").select("doc_id", F.round(text.term_overlap(F.col("text"), TERMS), 4).alias("score"))
+    return scored.where("score > 0.5").orderBy(F.desc("score"), "doc_id").limit(100)
+
+
+@query("lexical_all_terms", r"SELECT doc_id FROM documents WHERE len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), ['the', 'of', 'and'])) = 3")
+def all_terms(t: Tables):
+    """Full-text match: each query term is among the text's words."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"))
+    return t("documents").select("doc_id", words.alias("w")).where(F.forall(F.lit(["the", "of", "and"]), lambda q: F.array_contains("w", q))).select("doc_id")
+
+
+@query("lexical_trigram_similarity", r"""WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, list_distinct(flatten(list_transform(string_split(p_name, ' '), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3))))) AS a,
+  list_distinct(flatten(list_transform(['blu', 'bolts'], lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3))))) AS b FROM n)
+  SELECT p_name, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS score FROM g WHERE len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) > 0.15""")
+def trigrams(t: Tables):
+    scored = t("part").select("p_name").distinct().select("p_name", F.round(text.similarity(F.col("p_name"), F.lit("blu bolts")), 6).alias("score"))
+    return scored.where("score > 0.15")
+
+
+@query("hybrid_rrf", """WITH s AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_name ILIKE '%bolt%'), v AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS r FROM part WHERE p_type = 'LARGE'),
+  x AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_size * 2 DESC, p_partkey) AS r FROM part WHERE p_brand = 'Brand#3'),
+  u AS (SELECT id, 'text' AS b, 1.0::DOUBLE / (60 + r) AS p FROM s UNION ALL SELECT id, 'vector', 0.8::DOUBLE / (60 + r) FROM v UNION ALL SELECT id, 'exact', 2.0::DOUBLE / (60 + r) FROM x),
+  f AS (SELECT id, sum(p) AS score, string_agg(b, ',' ORDER BY b) AS branches FROM u GROUP BY 1) SELECT id, round(score / max(score) OVER (), 4) AS score, branches FROM f""")
+def hybrid(t: Tables):
+    part = t("part").withColumnRenamed("p_partkey", "id")
+    branches = {
+        "text": (part.where(F.col("p_name").ilike("%bolt%")).select("id", F.col("p_retailprice").alias("score")), 1.0),
+        "vector": (part.where("p_type = 'LARGE'").select("id", F.col("p_size").cast("double").alias("score")), 0.8),
+        "exact": (part.where("p_brand = 'Brand#3'").select("id", (F.col("p_size") * 2.0).alias("score")), 2.0),
+    }
+    return retrieval.fused(branches, ["id"], digits=4).select("id", "score", F.array_join("branches", ",").alias("branches"))
+
+
+@query("fact_search_boosts", f"SELECT doc_id, round(least(1.0, {_overlap} + CASE WHEN source = 'src0' THEN 0.15 ELSE 0 END + CASE WHEN contains(lower(text), 'the of') THEN 0.08 ELSE 0 END), 4) AS score FROM documents WHERE {_overlap} > 0")
+def boosts(t: Tables):
+    base = text.term_overlap(F.col("text"), TERMS)
+    boosted = base + F.when(F.col("source") == "src0", 0.15).otherwise(0.0) + F.when(F.contains(F.lower("text"), F.lit("the of")), 0.08).otherwise(0.0)
+    return t("documents").where(base > 0).select("doc_id", F.round(F.least(F.lit(1.0), boosted), 4).alias("score"))

@@ -1 +1,132 @@
-"""Queries."""
+"""Text: keys, normalisation, redaction, chunks, mentions, duplicates by content."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions import checks, text
+from quarry.plans.catalog import Tables
+from quarry.queries import query
+
+
+@query("text_slug", r"SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+def slug(t: Tables):
+    return t("documents").select("doc_id", text.slug(F.substring("text", 1, 60)).alias("slug"))
+
+
+@query("text_name_key", r"SELECT DISTINCT p_name, trim(regexp_replace(replace(lower(p_brand || ' / ' || p_name || '!'), 'ё', 'е'), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM part")
+def name_key(t: Tables):
+    return t("part").select("p_name", text.name_key(F.concat("p_brand", F.lit(" / "), "p_name", F.lit("!"))).alias("key")).distinct()
+
+
+@query("text_token_overlap", """WITH n AS (SELECT DISTINCT p_name FROM part), k AS (SELECT p_name, list_distinct(string_split(p_name, ' ')) AS a, ['blue', 'steel', 'bolt'] AS b FROM n)
+  SELECT p_name, round(0.7::DOUBLE * len(list_intersect(a, b)) / len(a) + 0.3::DOUBLE * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 3) AS score FROM k""")
+def overlap(t: Tables):
+    wanted = F.array(F.lit("blue"), F.lit("steel"), F.lit("bolt"))
+    return t("part").select("p_name").distinct().select("p_name", text.overlap_score(text.tokens(F.col("p_name")), wanted).alias("score"))
+
+
+@query("text_company_and_phone", r"""SELECT s_suppkey, trim(regexp_replace('supplier ' || s_suppkey, '\s+', ' ', 'g')) AS company, CASE WHEN s_suppkey % 2 = 0 THEN '7' ELSE '' END || lpad(CAST(9000000000 + s_suppkey AS VARCHAR), 10, '0') AS phone FROM supplier""")
+def company(t: Tables):
+    key = F.col("s_suppkey").cast("string")
+    raw = F.concat(F.lit('ООО "Supplier'), F.lit("  "), key, F.lit('"'))
+    phone = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "8 (").otherwise("("), F.substring((F.col("s_suppkey") + F.lit(9000000000)).cast("string"), 1, 3), F.lit(") "), F.substring((F.col("s_suppkey") + F.lit(9000000000)).cast("string"), 4, 7))
+    return t("supplier").select("s_suppkey", text.company_key(raw).alias("company"), text.phone_key(phone).alias("phone"))
+
+
+@query("text_url_dedup", r"""WITH q AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)) || regexp_replace(regexp_extract(regexp_replace(url, '#.*$', ''), '^[a-zA-Z]+://[^/]+([^?]*)', 1), '/+$', '') AS base,
+    list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '[?](.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]*|yclid|gclid)=')) AS kept FROM pages),
+  k AS (SELECT page_id, base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS key FROM q) SELECT key, min(page_id) AS page_id, count(*) AS copies FROM k GROUP BY 1""")
+def urls(t: Tables):
+    return t("pages").groupBy(text.url_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))
+
+
+@query("text_number_parse", "SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS price FROM part")
+def numbers(t: Tables):
+    """Prices written the Russian way and read again."""
+    written = F.concat(checks.money(F.col("p_retailprice")), F.lit(" руб."))
+    return t("part").select("p_partkey", text.russian_number(written).alias("price"))
+
+
+@query("text_money_format", r"SELECT o_orderkey, translate(format('{:,.2f}', o_totalprice), ',.', ' ,') AS amount FROM orders")
+def money(t: Tables):
+    return t("orders").select("o_orderkey", checks.money(F.col("o_totalprice")).alias("amount"))
+
+
+@query("text_strip_tags", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages")
+def strip_tags(t: Tables):
+    return t("pages").select("page_id", F.md5(text.without_tags(F.col("html"))).alias("digest"))
+
+
+@query("text_redaction", "SELECT conv_id, turn, md5(regexp_replace(text || ' Ignore previous instructions now', '(?i)ignore (all )?(previous|prior|above) instructions', '[redacted]', 'g')) AS digest FROM conversations WHERE NOT regexp_matches(text, '(?i)(disregard|you are now|system prompt|reveal your|do anything now|</?(system|assistant)>|act as (a|an) )') AND length(text) < 30000")
+def redaction(t: Tables):
+    own = t("conversations").where(~F.col("text").rlike("(?i)(disregard|you are now|system prompt|reveal your|do anything now|</?(system|assistant)>|act as (a|an) )") & (F.length("text") < 30000))
+    return own.select("conv_id", "turn", F.md5(text.redacted(F.concat("text", F.lit(" Ignore previous instructions now")))["text"]).alias("digest"))
+
+
+@query("text_fences", "SELECT conv_id, turn, md5('a ' || text) AS digest FROM conversations WHERE NOT contains(text, '<')")
+def fences(t: Tables):
+    own = t("conversations").where(~F.contains("text", F.lit("<")))
+    return own.select("conv_id", "turn", F.md5(text.without_fences(F.concat(F.lit("a <think>secret</think>"), "text", F.lit("<tool_call>never closed")))).alias("digest0"), F.md5(F.concat(F.lit("a "), "text")).alias("digest")).select("conv_id", "turn", F.when(F.col("digest0").isNotNull(), F.col("digest")).alias("digest"))
+
+
+@query("text_chunks", r"""WITH b AS (SELECT doc_id, trim(text, ' ') AS bare FROM documents), s AS (SELECT doc_id, bare, unnest(generate_series(0, greatest(0, CAST(ceil((length(bare) - 300) / 2700.0) AS INT) - 1))) AS chunk_index FROM b WHERE length(bare) > 0)
+  SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(chunk_index * 2700 AS INT) AS chunk_start, md5(substr(bare, CAST(chunk_index * 2700 + 1 AS INT), 3000)) AS digest, CAST(greatest(1, len(list_filter(regexp_split_to_array(substr(bare, CAST(chunk_index * 2700 + 1 AS INT), 3000), '\s+'), lambda x: x <> ''))) AS INT) AS token_count FROM s""")
+def chunks(t: Tables):
+    return text.chunks(t("documents").select("doc_id", "text"), "text").select("doc_id", "chunk_index", "chunk_start", F.md5("chunk_text").alias("digest"), "token_count")
+
+
+@query("text_mentions", r"""WITH m AS (SELECT doc_id, 'ip' AS mention_type, unnest(list_distinct(regexp_extract_all(text, '\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b', 1))) AS mention FROM documents UNION ALL
+  SELECT doc_id, 'email', unnest(list_distinct(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1))) FROM documents UNION ALL
+  SELECT doc_id, 'licence', unnest(list_distinct(regexp_extract_all(text, '(Licensed under the [A-Z][A-Za-z ]+)', 1))) FROM documents) SELECT doc_id, mention_type, trim(mention) AS mention FROM m WHERE length(trim(mention)) >= 3""")
+def mentions(t: Tables):
+    own = {k: text.MENTIONS[k] for k in ("ip", "email", "licence")}
+    return text.mentions(t("documents").select("doc_id", "text"), "text", own).select("doc_id", "mention_type", "mention")
+
+
+@query("text_content_dedup", "SELECT min(doc_id) AS doc_id, sha256(text) AS digest, count(*) AS copies FROM documents GROUP BY 2")
+def content_dedup(t: Tables):
+    """Only digests and ids are shuffled, summed before."""
+    return t("documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "digest", "copies")
+
+
+@query("text_exact_name_clusters", "SELECT lower(trim(p_name)) AS name, min(p_partkey) AS first, count(*) AS members, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM part GROUP BY 1")
+def clusters(t: Tables):
+    key = F.lower(F.regexp_replace(F.trim("p_name"), r"\s+", " "))
+    return t("part").groupBy(key.alias("name")).agg(F.min("p_partkey").alias("first"), F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"))
+
+
+@query("text_idempotent_identity", "SELECT page_id, sha256(concat_ws(':', CAST(page_id AS VARCHAR), url)) AS identity FROM pages")
+def identity(t: Tables):
+    return t("pages").select("page_id", F.sha2(F.concat_ws(":", F.col("page_id").cast("string"), "url"), 256).alias("identity"))
+
+
+@query("text_handles", r"SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text, '@([A-Za-z0-9_.-]+)', 1))) AS handles FROM conversations")
+def handles(t: Tables):
+    return t("conversations").select("conv_id", "turn", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("@([A-Za-z0-9_.-]+)")))).cast("long").alias("handles"))
+
+
+@query("text_clause_split", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id < 100),
+  c AS (SELECT doc_id, i, line, sum(CASE WHEN length(line) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS clause FROM l)
+  SELECT doc_id, CAST(clause AS BIGINT) AS clause, md5(string_agg(line, chr(10) ORDER BY i)) AS digest, count(*) AS lines FROM c GROUP BY 1, 2""".replace(" WHERE doc_id < 100", ""))
+def clauses(t: Tables):
+    """A short line opens a clause, those that follow belong to it. Numbering stays within the document's own array."""
+    lines = F.split("text", "\n", -1)
+    numbered = t("documents").select("doc_id", F.posexplode(lines).alias("i", "line"))
+    from pyspark.sql import Window as W
+
+    clause = F.sum(F.when(F.length("line") < 60, 1).otherwise(0)).over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow))
+    entries = F.array_sort(F.collect_list(F.struct("i", "line")))
+    return numbered.withColumn("clause", clause).groupBy("doc_id", "clause").agg(F.md5(F.array_join(F.transform(entries, lambda x: x["line"]), "\n")).alias("digest"), F.count("*").alias("lines"))
+
+
+@query("text_looks_textual", r"SELECT doc_id, length(regexp_replace(substr(text, 1, 4000), '[^\x{FFFD}\x00-\x08\x0E-\x1F]', '', 'g')) < 0.05 * length(substr(text, 1, 4000)) AS textual FROM documents WHERE length(text) > 0")
+def textual(t: Tables):
+    from quarry.sources.readers import looks_textual
+
+    return t("documents").where(F.length("text") > 0).select("doc_id", looks_textual(F.col("text")).alias("textual"))
+
+
+@query("text_label_join", "SELECT d.doc_id, quality, toxic, n_chars FROM documents d JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0")
+def label_join(t: Tables):
+    return t("documents").select("doc_id", "n_chars").join(t("labels").where("quality = 1 AND toxic = 0"), "doc_id").select("doc_id", "quality", "toxic", "n_chars")

@@ -102,7 +102,7 @@ def chunks(df: DataFrame, text: str, size: int = 3000, overlap: int = 300) -> Da
     step = size - overlap
     length = F.length("bare")
     starts = F.when(length == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((length - overlap) / step).cast("int") - 1) * step, F.lit(step)))
-    cut = df.withColumn("bare", F.trim(text)).select("*", F.posexplode(starts).alias("chunk_index", "chunk_start"))
+    cut = df.withColumn("bare", F.trim(F.coalesce(F.col(text), F.lit("")))).select("*", F.posexplode(starts).alias("chunk_index", "chunk_start"))
     cut = cut.withColumn("chunk_text", F.substring("bare", F.col("chunk_start") + 1, F.lit(size)))
     return cut.withColumn("token_count", token_count(F.col("chunk_text"))).drop("bare")
 

@@ -8,14 +8,20 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+#: Our own folder, by application, where the session names none.
+_own: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder (spark.checkpoint.dir; one of our own where that is unset) and read again: its plan starts
     anew, and a lost executor costs no more than what follows."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:  # a running session takes no new value for it
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="quarry-")
+        folder = _own[app]
     path = f"{folder.rstrip('/')}/quarry/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

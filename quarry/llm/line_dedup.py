@@ -91,7 +91,7 @@ def without_repeated_lines(
     long_lines = F.filter(F.split("text", "\n", -1), lambda x: F.char_length(F.btrim(x, F.lit(BLANK))) >= min_chars)
     of_doc = F.explode(F.array_distinct(F.transform(long_lines, key_hash)))
     keys = saved(docs.select("id", of_doc.alias("k")).select("id", "k.h1", "k.h2"), "line-keys")
-    ends = keys.where("id is not null").approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)
+    ends = keys.where("id is not null").approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     runs, above = LineRuns(df.sparkSession, min_docs, fanout), None
     for end in [*sorted({int(x) for x in ends}, reverse=True), None]:
         batch = keys if above is None else keys.where((F.col("id") < above) | F.col("id").isNull())

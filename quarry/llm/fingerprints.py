@@ -137,7 +137,7 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     place = F.coalesce(F.col(id_col).cast("double"), F.lit(float("inf")))
     docs = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), place.alias("place"))
     ends = docs.where(F.col("id").isNotNull()).approxQuantile("place", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    splits = [float("-inf"), *sorted(set(ends)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(ends)) or [0.0]), float("inf")]
     docs = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(docs).withColumn("bucket", F.col("bucket").cast("int"))
     begins = sorted(tuple(r) for r in docs.groupBy("bucket").agg(F.min("place")).collect())  # a row for each partition at most
     follows = [(bucket, begins[(i + 1) % len(begins)][1]) for i, (bucket, _) in enumerate(begins)]

@@ -7,7 +7,8 @@ the last one with what remains), and slots and pieces are sorted by size. Sweepi
 parentheses: the slot that matches a piece is the smallest free one that holds it, and a piece that nothing matches stays. The
 sweep is distributed: a place's depth follows from counts of each size and from its rank among its equals, and places of one depth
 alternate, so that each depth is a small group of its own (two rows for each size at most). Pieces that stay open new sequences,
-just enough to hold what the open ones have no room for, and the rounds repeat until the band is placed.
+just enough to hold what the open ones have no room for (once a fiftieth of the band is left: enough to hold it all, which spares
+rounds), and the rounds repeat until the band is placed.
 
 Ranks among equals are taken in 64 salted groups for each size, so that one size that most pieces share is spread over tasks. Rounds
 are a few for each of the log2(capacity) bands, however many pieces there are; each is written to the shared folder.
@@ -175,10 +176,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bound = capacity // 2
     sizes = pieces.groupBy("value").agg(F.count("*")).collect()  # a row for each length, `capacity` at most
     while bound >= 1:
-        low = bound // 2
+        low = bound // 2 if bound > 64 else 0
         left = pieces.where((F.col("value") <= bound) & (F.col("value") > low))
         band = [(v, m) for v, m in sizes if low < v <= bound]
         n, words, top = sum(m for _, m in band), sum(v * m for v, m in band), max((v for v, _ in band), default=0)
+        band_words = words
         while n:
             # top: the longest of what is left, which every slot but a sequence's last holds
             of_gap = F.greatest(F.lit(1), F.floor(F.col("gap") / top)).cast("int")
@@ -198,9 +200,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             done.append(hits)
             used = hits.groupBy("seq").agg(F.sum("value").alias("used"))
             opened = opened.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0")
-            opened = saved(opened, "opened")
-            n, words, top = left.agg(F.count("*"), F.sum("value"), F.max("value")).first()
-            room = opened.where(F.col("gap") >= top).agg(F.sum("gap")).first()[0] or 0 if n else 0
+            both = left.select("value", F.lit(True).alias("is_left")).unionAll(opened.where(F.col("gap") >= bound).select("gap", F.lit(False)))
+            of_left = F.when(F.col("is_left"), F.col("value"))
+            n, words, top, gaps = both.agg(F.count(of_left), F.sum(of_left), F.max(of_left), F.sum(F.when(~F.col("is_left"), F.col("value")))).first()
+            room = 0 if not n or words * 50 <= band_words else gaps or 0
             if n and words > room:
                 # the longest of what is left open new sequences, as many as fill up with what the open ones can't hold
                 new = -(-(words - room) // capacity)
@@ -216,6 +219,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 left = ranked.where("not opens").select("row", "value")
                 n -= min(new, n)
                 opened = opened.unionAll(first.select("seq", (F.lit(capacity) - F.col("value")).alias("gap")))
+            opened = saved(opened, "opened")
         bound = low
     out = done[0]
     for more in done[1:]:

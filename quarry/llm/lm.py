@@ -5,10 +5,10 @@ crc32 doesn't leave the held-out remainder) give the base score, add-one smoothe
 words have outputs of their own; the others fall into classes by their last two bytes, within which a token has the share
 (count + 1) / (sum of the class's counts + 1 each + 1), the last 1 for what was never seen.
 
-The network (quarry.llm.gru) starts from these frequencies and learns in rounds. In each, every task runs truncated
-backpropagation from the same parameters over its part of the training sample, a fixed share of the training documents (`share`,
-so that it grows with the input), and the results are averaged by tokens, in Spark, parameter by parameter. Scoring carries the
-state through whole documents.
+The network (quarry.llm.gru) starts from these frequencies and learns in rounds, from every training document in one of them. In
+each round, every task runs truncated backpropagation from the same parameters over its part of the round's documents, and the
+results are averaged by tokens, in Spark, parameter by parameter. Scoring carries the state through whole documents. (A `share`
+below 1 trains the network, not the counts, on that share of the training documents.)
 
 What is broadcast or reaches the driver is bounded: at most KNOWN words with their counts, and the parameters. Counts of rarer
 words, however many, are joined: a row for each document and rare word. Being rare, none of them is a hot key.
@@ -122,7 +122,9 @@ def _learnt(sample: DataFrame, words: Lexicon, rounds: int) -> gru.Params:
             trainer, tokens = gru.Trainer(gru.unflat(sent.value)), 0
             rng = np.random.default_rng(1)
             for batch in batches:
-                docs = sorted((np.array(x, np.int32) for x in batch.column("ids").to_pylist()), key=len)
+                column = batch.column("ids")
+                ends = np.cumsum(column.value_lengths().to_numpy())
+                docs = sorted(np.split(column.flatten().to_numpy(), ends[:-1])[: len(ends)], key=len)
                 groups = [docs[i : i + GROUP] for i in range(0, len(docs), GROUP)]
                 for g in rng.permutation(len(groups)):
                     trainer.fit(groups[g], begin)
@@ -141,7 +143,7 @@ def _learnt(sample: DataFrame, words: Lexicon, rounds: int) -> gru.Params:
 
 
 def scores(
-    df: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2), share: float = 0.1, rounds: int = 4
+    df: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2), share: float = 1.0, rounds: int = 4
 ) -> DataFrame:
     """Columns row (a struct of the columns `carry`), held_out, n_tokens, n_known, train_tokens, base_score, score."""
     apart = crc_remainder(id_col, held_out[0]) == held_out[1]

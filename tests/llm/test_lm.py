@@ -102,3 +102,23 @@ def test_learns_on_documents(spark, data):
     docs = spark.read.parquet(f"{data.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
     r = lm.scores(docs, ["doc_id"], share=1.0).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]  # likelier than by frequency alone, on texts that it hasn't seen
+
+
+def test_every_training_document_is_learnt(awkward, monkeypatch):
+    """By default: each in one round, whole, and none that is held out."""
+    taught = []
+
+    def learnt(sample, words, rounds, inner=lm._learnt):
+        taught.extend(r for i in range(rounds) for r in sample.where(F.col("slice") == i).collect())
+        return inner(sample, words, rounds)
+
+    monkeypatch.setattr(lm, "_learnt", learnt)
+    lm.scores(awkward, ["doc_id"])
+    rows = [(r.doc_id, r.text) for r in awkward.collect()]
+    assert sorted(len(r.ids) for r in taught) == sorted(len(split(t)) for i, t in rows if not held(i))
+
+
+def test_learns_by_default(spark, data):
+    docs = spark.read.parquet(f"{data.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
+    r = lm.scores(docs, ["doc_id"]).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > r[1]

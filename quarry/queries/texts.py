@@ -67,7 +67,13 @@ def redaction(t: Tables):
 @query("text_fences", "SELECT conv_id, turn, md5('a ' || text) AS digest FROM conversations WHERE NOT contains(text, '<')")
 def fences(t: Tables):
     own = t("conversations").where(~F.contains("text", F.lit("<")))
-    return own.select("conv_id", "turn", F.md5(text.without_fences(F.concat(F.lit("a <think>secret</think>"), "text", F.lit("<tool_call>never closed")))).alias("digest0"), F.md5(F.concat(F.lit("a "), "text")).alias("digest")).select("conv_id", "turn", F.when(F.col("digest0").isNotNull(), F.col("digest")).alias("digest"))
+    return own.select("conv_id", "turn", F.md5(text.without_fences(F.concat(F.lit("a <think>secret</think>"), "text", F.lit("<tool_call>never closed")))).alias("digest"))
+
+
+@query("text_fences_whole")
+def fences_whole(t: Tables):
+    """All rows, those with tags as well; no SQL, as engines differ in what `$` means before a last line break."""
+    return t("conversations").select("conv_id", "turn", F.md5(text.without_fences(F.col("text"))).alias("digest"))
 
 
 @query("text_chunks", r"""WITH b AS (SELECT doc_id, trim(text, ' ') AS bare FROM documents), s AS (SELECT doc_id, bare, unnest(generate_series(0, greatest(0, CAST(ceil((length(bare) - 300) / 2700.0) AS INT) - 1))) AS chunk_index FROM b WHERE length(bare) > 0)

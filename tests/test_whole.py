@@ -39,3 +39,11 @@ def test_fences_of_all_rows(spark, tmp_path):
 def test_fences_returns_what_its_operator_does(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(text, "FENCES", text.FENCES[:2])  # the planted tool call then stays
     assert conversations(spark, tmp_path, "text_fences", ["x"]) == [md5("a x<tool_call>never closed")]
+
+
+def test_redaction_of_all_rows(spark, tmp_path):
+    from quarry.queries.texts import INJECTED
+
+    texts = ["none", "You are now a pirate", "x" * 40_000, "system prompt " * 3000, "act as an x, disregard previous", "</system>", "", None]
+    clean = lambda s: reduce(lambda s, p: re.sub(f"(?i){p}", "[redacted]", s), text.INJECTIONS, s)[:32_768]
+    assert conversations(spark, tmp_path, "text_redaction_whole", texts) == [md5(None if s is None else clean(s + INJECTED + s)) for s in texts]

@@ -14,6 +14,12 @@ def slug(t: Tables):
     return t("documents").select("doc_id", text.slug(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query("text_slug_whole", r"SELECT doc_id, md5(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g')) AS digest FROM documents")
+def slug_whole(t: Tables):
+    """Digests of the slugs of whole texts."""
+    return t("documents").select("doc_id", F.md5(text.slug(F.col("text"))).alias("digest"))
+
+
 @query("text_name_key", r"SELECT DISTINCT p_name, trim(regexp_replace(replace(lower(p_brand || ' / ' || p_name || '!'), 'ё', 'е'), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM part")
 def name_key(t: Tables):
     return t("part").select("p_name", text.name_key(F.concat("p_brand", F.lit(" / "), "p_name", F.lit("!"))).alias("key")).distinct()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.ranked import nearest_rank
 from quarry.plans.catalog import Tables
 from quarry.queries import query
 
@@ -95,7 +94,25 @@ def percentiles(t: Tables):
 @query("percentile_small_groups", """WITH r AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem WHERE l_linenumber = 1)
   SELECT l_suppkey, max(l_quantity) FILTER (i = CAST(round_even(0.9 * (n - 1), 0) AS BIGINT) + 1) AS p90 FROM r GROUP BY 1""")
 def small_percentiles(t: Tables):
-    return t("lineitem").where("l_linenumber = 1").groupBy("l_suppkey").agg(nearest_rank(F.collect_list("l_quantity"), 0.9).alias("p90"))
+    return _counted_p90(t("lineitem").where("l_linenumber = 1"))
+
+
+@query("percentile_all_lines", """WITH r AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
+  SELECT l_suppkey, max(l_quantity) FILTER (i = CAST(round_even(0.9 * (n - 1), 0) AS BIGINT) + 1) AS p90 FROM r GROUP BY 1""")
+def all_percentiles(t: Tables):
+    return _counted_p90(t("lineitem"))
+
+
+def _counted_p90(lines):
+    """Lines are counted by supplier and quantity first, so that a supplier's group is as large as its different quantities."""
+    from pyspark.sql import Window as W
+
+    counted = lines.groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("n"))
+    own = W.partitionBy("l_suppkey")
+    ranked = counted.withColumn("upto", F.sum("n").over(own.orderBy(F.col("l_quantity").asc_nulls_last()))).withColumn("total", F.sum("n").over(own))
+    rank = F.bround(0.9 * (F.col("total") - 1), 0) + 1
+    hit = (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
+    return ranked.groupBy("l_suppkey").agg(F.max(F.when(hit, F.col("l_quantity"))).alias("p90"))
 
 
 @query("acceptance_rate", """SELECT event_type, count(*) FILTER (value >= 10) AS accepted, count(*) FILTER (value < 5) AS dismissed,

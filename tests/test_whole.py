@@ -54,3 +54,10 @@ def test_slug_of_the_whole_text(spark, tmp_path):
     found = run(spark, tmp_path, "text_slug_whole", "documents", list(enumerate(texts)), "doc_id long, text string")
     expected = [md5(None if s is None else re.sub(r"[\W_]+", "-", s.lower()).strip("-")) for s in texts]
     assert [r.digest for r in sorted(found, key=lambda r: r.doc_id)] == expected and len(set(expected)) == 5
+
+
+def test_percentile_takes_all_lines(spark, tmp_path):
+    lines = [(1, i % 7, float(i * 37 % 101 % 50)) for i in range(500)] + [(2, 2, 4.0), (2, 3, 5.0), (2, 1, 1.0), (3, 5, 9.0)]
+    found = run(spark, tmp_path, "percentile_all_lines", "lineitem", lines, "l_suppkey long, l_linenumber int, l_quantity double")
+    of = {k: sorted(q for s, _, q in lines if s == k) for k in (1, 2, 3)}
+    assert {r.l_suppkey: r.p90 for r in found} == {k: v[round(0.9 * (len(v) - 1))] for k, v in of.items()}

@@ -1,22 +1,30 @@
 """Visible text of HTML pages, rendered with regard to layout.
 
 Markup becomes a stream of opened and closed elements (end tags that may be left out are implied: a paragraph ends where a block
-begins, a list item, row, cell, option or term where the next begins), of which elements that are not shown drop out with all they
-hold: scripts, styles, heads, templates, what is `hidden`, has `display:none` or stands in closed details (but for the summary).
-Text with `visibility:hidden` is left out until something inside is visible again.
+begins, a list item, row, cell, option or term where the next begins; end tags that match nothing in reach do nothing), of which
+elements that are not shown drop out with all they hold: scripts, styles, heads, templates, what is `hidden`, has `display:none` or
+stands in closed details (but for the summary). Text with `visibility:hidden` is left out until something inside is visible again.
 
 The rest is laid out as lines: white space collapses but in preformatted text, blocks begin on lines of their own, paragraphs,
 headings, lists and tables are set off by a blank line, items have a bullet or their number and are indented by depth, and a
-table's cells are padded to the width of their columns, two blanks apart. Nothing visible is dropped, navigation and notes included.
+table's cells stand at their columns, two blanks apart, below each other where they span rows. Nothing visible is dropped,
+navigation, notes, the text of drawings and formulas and the values of text fields included.
 
-Defined results: null and empty pages give the empty text; markup that is never closed runs to the page's end; nesting may be as
-deep as it likes (no recursion); repeated rows get a row each; an empty table gives an empty result; other columns are carried in
-one struct, so that clashing names do no harm.
+Open elements are looked up by name, not by walking the stack, and every element is closed once, so that a page takes time in
+proportion to its length however deep or broken its markup is. Two bounds concern layout alone: indentation stops at MOST_INDENT
+columns, and tables inside more than MOST_TABLES others have their cells one after the other on a row's line.
+
+Defined results: null and empty pages give the empty text; markup that is never closed runs to the page's end, and so does a tag
+that never ends; numbers in attributes are read as HTML does (leading digits, no more than 1000 columns for a cell), and what is no
+number counts as not given; repeated rows get a row each; an empty table gives an empty result; other columns are carried in one
+struct, so that clashing names do no harm.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,52 +33,112 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z)", re.S)
-_attribute = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_name = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+_value = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+"
+#: Comments and declarations, or a tag: its slash, its name, its attributes. Every character is read once.
+_markup = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/[^a-zA-Z>])[^>]*+(?:>|\Z)|</>|<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)"
+    rf"((?:[ \t\n\f\r/]++|{_name}(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:{_value})?+)?+)*+)(?:>|\Z)",
+    re.S,
+)
+_attribute = re.compile(rf"({_name})(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+({_value})?+)?+")
 _space = re.compile(r"[ \t\n\f\r]+")
+_number = re.compile(r"[ \t\n\f\r]*([+-]?)0*([0-9]+)")
+_zeros, _beyond = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,}")
 
+MOST_INDENT, MOST_TABLES, MOST_COLUMNS = 60, 16, 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas svg math datalist meta link base param source track area col colgroup".split())
-SET_OFF = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
-BLOCK = SET_OFF | frozenset("html body div article section nav aside header footer main address li dt dd form fieldset legend details summary figcaption center hr tr td th caption thead tbody tfoot optgroup option select dialog menu search hgroup".split())
-#: What an opening tag closes before it, up to the bound.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+UNSEEN = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas datalist meta link base param source track area col colgroup progress meter".split())
+#: Parts of drawings and formulas that are not shown where they stand.
+UNSEEN_FOREIGN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PRE = frozenset("pre textarea listing xmp plaintext".split())
+SET_OFF = HEADINGS | frozenset("p ul ol dl table blockquote pre listing xmp plaintext figure".split())
+OF_TABLE = frozenset("td th tr caption thead tbody tfoot".split())
+BLOCK = SET_OFF | OF_TABLE | frozenset("html body div article section nav aside header footer main address li dt dd form fieldset legend details summary figcaption center hr optgroup option select dialog menu search hgroup".split())
+#: What an opening tag closes before it, and the elements beyond which it doesn't reach.
+_lists = frozenset("ul ol menu dl table td th caption button section article aside nav main header footer blockquote details fieldset form figure".split())
+_cells, _groups = frozenset(["td", "th", "caption"]), frozenset(["thead", "tbody", "tfoot"])
 CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu", "table"}), "dt": ({"dt", "dd"}, {"dl", "table"}), "dd": ({"dt", "dd"}, {"dl", "table"}),
-    "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th", "caption"}, {"table", "tr"}), "th": ({"td", "th", "caption"}, {"table", "tr"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "thead": ({"thead", "tbody", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th", "caption"}, {"table"}),
-    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
+    "li": ({"li"}, _lists), "dt": ({"dt", "dd"}, _lists), "dd": ({"dt", "dd"}, _lists),
+    "td": (_cells, {"table", "tr"}), "th": (_cells, {"table", "tr"}), "caption": (_cells, {"table", "tr"}), "tr": (_cells | {"tr"}, {"table"}),
+    "tbody": (OF_TABLE, {"table"}), "thead": (OF_TABLE, {"table"}), "tfoot": (OF_TABLE, {"table"}),
+    "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select", "datalist"}), "body": ({"head"}, {"html"}),
 }
-#: Blocks that end an open paragraph, up to the bound.
-ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "caption", "thead", "tbody", "tfoot", "option", "optgroup", "select", "legend"}
-P_BOUND = {"td", "th", "caption", "table", "button", "html", "body"}
-END_BOUND = {"td": {"table"}, "th": {"table"}, "tr": {"table"}, "li": {"ul", "ol", "table"}}
+#: Blocks that end an open paragraph, and the elements beyond which they don't reach.
+ENDS_P = BLOCK - OF_TABLE - {"html", "body", "option", "optgroup", "select", "legend"}
+P_BOUND = frozenset("td th caption table button html body".split())
+#: How far an end tag reaches; where nothing else is said, to the cell, or, for what is no block, to the innermost block.
+END_BOUND = {"table": (), "td": ("table",), "th": ("table",), "tr": ("table",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "li": ("ul", "ol", "td", "th", "table")}
+IN_CELL = ("td", "th", "caption", "table")
 IN_HEAD = frozenset("base link meta script style title template noscript head".split())
+_raw_end = {name: re.compile(rf"</{name}(?=[ \t\n\f\r/>])[^>]*+>?", re.I) for name in RAW}
+#: Types of input that show no text of theirs.
+NO_TEXT = frozenset("hidden password checkbox radio file image color range".split())
+
+
+def _unescaped(text: str) -> str:
+    if "&#" in text:  # numbers too long for the library stand for no character anyhow
+        text = _beyond.sub("&#1114112", _zeros.sub("&#", text))
+    return unescape(text) if "&" in text else text
+
+
+def number(text: str | None) -> int | None:
+    """The whole number at the text's beginning, bounded by a billion; None if there is none."""
+    if text is None or not (m := _number.match(text)):
+        return None
+    n = 10**9 if len(m[2]) > 9 else int(m[2])
+    return -n if m[1] == "-" else n
+
+
+class _Stack:
+    """Open elements, the innermost last, and where each name stands in it."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, name: str) -> None:
+        self.places[name].append(len(self.names))
+        if name in BLOCK:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+
+    def last(self, names) -> int:
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=-1)
+
+    def first_above(self, names, bound: int) -> int | None:
+        """The outermost element of these names inside the bound."""
+        found = [at[i] for n in names if (at := self.places.get(n)) and (i := bisect_right(at, bound)) < len(at)]
+        return min(found, default=None)
+
+    def cut(self, depth: int) -> Iterator[tuple[str, str, dict[str, str]]]:
+        while len(self.names) > depth:
+            name = self.names.pop()
+            self.places[name].pop()
+            if self.blocks and self.blocks[-1] == len(self.names):
+                self.blocks.pop()
+            yield "close", name, {}
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {k.lower(): _unescaped(v[1:].removesuffix(v[0]) if v[:1] in ("'", '"') else v) for k, v in reversed(_attribute.findall(text))}
 
 
 def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """("open", name, attributes), ("close", name, {}) and ("text", text, {}) in order, with implied ends."""
-    stack: list[str] = []
-
-    def upto(names: set[str] | frozenset[str], bound: set[str]) -> Iterator[tuple[str, str, dict[str, str]]]:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i] in names:
-                depth = i
-                while depth and stack[depth - 1] in names and stack[depth - 1] not in bound:
-                    depth -= 1
-                while len(stack) > depth:
-                    yield "close", stack.pop(), {}
-                return
-            if stack[i] in bound:
-                return
-
-    at, size = 0, len(html)
+    stack, at, size = _Stack(), 0, len(html)
     while at < size:
-        m = _token.search(html, at)
-        if (text := html[at : m.start() if m else size]) and not (stack and stack[-1] == "head" and not text.strip()):
-            if stack and stack[-1] == "head":
-                yield "close", stack.pop(), {}
-            yield "text", unescape(text), {}
+        m = _markup.search(html, at)
+        if text := html[at : m.start() if m else size]:
+            if stack.names and stack.names[-1] == "head":
+                if text.strip(" \t\n\f\r"):
+                    yield from stack.cut(len(stack.names) - 1)
+                    yield "text", _unescaped(text), {}
+            else:
+                yield "text", _unescaped(text), {}
         if not m:
             break
         at = m.end()
@@ -78,38 +146,40 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             continue
         name = m[2].lower()
         if m[1]:
-            if name == "p" and "p" not in stack:
-                yield from (("open", "p", {}), ("close", "p", {}))
-            elif name not in VOID:
-                bound = END_BOUND.get(name, {"td", "th"} if name not in ("table", "html", "body", "thead", "tbody", "tfoot") else set())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i] == name:
-                        while len(stack) > i:
-                            yield "close", stack.pop(), {}
-                        break
-                    if stack[i] in bound:
-                        break
+            if name == "br" or (name == "p" and stack.last(("p",)) <= stack.last(P_BOUND)):
+                yield from (("open", name, {}), ("close", name, {}))
+            elif name not in VOID and name not in ("html", "body"):
+                same = HEADINGS if name in HEADINGS else (name,)
+                bound = stack.last(END_BOUND.get(name, IN_CELL)) if name in BLOCK else (stack.blocks[-1] if stack.blocks else -1)
+                if (place := stack.last(same)) > bound:
+                    yield from stack.cut(place)
+            continue
+        if stack.names and stack.names[-1] == "head" and name not in IN_HEAD:
+            yield from stack.cut(len(stack.names) - 1)
+        if name in ("html", "body", "head") and (stack.places["body"] or stack.places[name]):
             continue
-        if stack and stack[-1] == "head" and name not in IN_HEAD:
-            yield "close", stack.pop(), {}
         if name in CLOSES:
-            yield from upto(*CLOSES[name])
-        if name in ENDS_P:
-            yield from upto({"p"}, P_BOUND)
-        attributes = {k.lower(): unescape(v.strip("\"'")) for k, v in reversed(_attribute.findall(m[3]))} if m[3].strip(" /\n\t") else {}
-        yield "open", name, attributes
-        if name in VOID:
+            names, bound = CLOSES[name]
+            if (place := stack.first_above(names, stack.last(bound))) is not None:
+                yield from stack.cut(place)
+        if name in ENDS_P and (place := stack.first_above(("p",), stack.last(P_BOUND))) is not None:
+            yield from stack.cut(place)
+        yield "open", name, _attributes(m[3]) if "=" in m[3] or m[3].strip(" /\t\n\f\r") else {}
+        if name in VOID or (m[3].endswith("/") and (stack.places["svg"] or stack.places["math"] or name in ("svg", "math"))):
             yield "close", name, {}
         elif name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            if name == "textarea":
-                yield "text", unescape(html[at : end.start() if end else size]), {}
+            end = _raw_end[name].search(html, at)
+            inside = html[at : end.start() if end else size]
+            if name in ("textarea", "xmp"):
+                yield "text", _unescaped(inside) if name == "textarea" else inside, {}
             yield "close", name, {}
             at = end.end() if end else size
+        elif name == "plaintext":
+            yield from (("text", html[at:], {}), ("close", name, {}))
+            break
         else:
-            stack.append(name)
-    while stack:
-        yield "close", stack.pop(), {}
+            stack.push(name)
+    yield from stack.cut(0)
 
 
 class Flow:
@@ -120,7 +190,7 @@ class Flow:
         self.line: list[str] = []
         self.blank = False
         self.spaced = True
-        self.indents: list[str] = []
+        self.indent = 0
         self.mark = ""
 
     def text(self, text: str, kept: bool) -> None:
@@ -143,16 +213,16 @@ class Flow:
             self.line.append(text)
             self.spaced = False
 
-    def end_line(self, always: bool = False, kept: bool = False) -> None:
-        text = "".join(self.line)
-        text = text if always or kept else text.rstrip(" ")
+    def end_line(self, always: bool = False) -> None:
+        text = "".join(self.line).rstrip(" ")
         if text or always:
             if self.blank and self.lines and text:
                 self.lines.append("")
             self.blank = self.blank and not text
-            start = "".join(self.indents)
-            if self.mark and text:
-                start, self.mark = start[: len(start) - len(self.mark)] + self.mark, ""
+            mark = self.mark if text else ""
+            start = " " * min(self.indent - len(mark), MOST_INDENT) + mark
+            if text:
+                self.mark = ""
             self.lines.append((start + text).rstrip())
         self.line, self.spaced = [], True
 
@@ -166,126 +236,209 @@ class Flow:
 
 
 class Table:
+    """Groups of rows of cells: (lines, columns, rows; 0 rows: to the group's end)."""
+
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.groups: list[list[list[tuple[list[str], int, int]]]] = [[]]
         self.caption: list[str] = []
 
+    def _placed(self) -> list[list[tuple[int, int, int, list[str]]]]:
+        """For each row the cells that begin there: first column, end column, last row, lines."""
+        out: list[list[tuple[int, int, int, list[str]]]] = []
+        for rows in self.groups:
+            down: list[tuple[int, int, int]] = []  # columns taken from above: first, end, last row
+            final = len(out) + len(rows) - 1
+            for row in rows:
+                here, column, i = [], 0, 0
+                for lines, wide, tall in row:
+                    while i < len(down) and down[i][0] < column + wide:
+                        column, i = max(column, down[i][1]), i + 1
+                    last = min(len(out) + tall - 1, final) if tall else final
+                    here.append((column, column + wide, last, lines))
+                    column += wide
+                taken = sorted([x for x in down if x[2] > len(out)] + [(a, b, last) for a, b, last, _ in here if last > len(out)])
+                down = []
+                for a, b, last in taken:
+                    if down and down[-1][1] == a and down[-1][2] == last:
+                        down[-1] = (down[-1][0], b, last)
+                    else:
+                        down.append((a, b, last))
+                out.append(here)
+        return out
+
     def lines(self) -> list[str]:
-        widths: list[int] = []
-        for row in self.rows:
-            at = 0
-            for cell, span in row:
-                widths += [0] * (at + span - len(widths))
-                if span == 1:
-                    widths[at] = max([widths[at], *map(len, cell)])
-                at += span
-        out = list(self.caption)
-        for row in self.rows:
-            for i in range(max((len(cell) for cell, _ in row), default=0)):
-                at, parts = 0, []
-                for cell, span in row:
-                    width = sum(widths[at : at + span]) + 2 * (span - 1)
-                    parts.append((cell[i] if i < len(cell) else "").ljust(width))
-                    at += span
-                if line := "  ".join(parts).rstrip():
+        rows = self._placed()
+        # only columns where a cell begins or ends count
+        bounds = {c: i for i, c in enumerate(sorted({c for row in rows for cell in row for c in cell[:2]}))}
+        cells = sorted((bounds[b], bounds[a], max(map(len, lines), default=0)) for row in rows for a, b, _, lines in row)
+        start = [0] * len(bounds)  # where each column begins; those without text take no room
+        done = 0
+        for end, first, width in cells:
+            while done < end:
+                done += 1
+                start[done] = start[done - 1]
+            if width:
+                start[end] = max(start[end], start[first] + width + 2)
+        while done < len(bounds) - 1:
+            done += 1
+            start[done] = start[done - 1]
+        out, open_cells = list(self.caption), []
+        for r, row in enumerate(rows):
+            open_cells = sorted([*open_cells, *((start[bounds[a]], last, lines, [0]) for a, _, last, lines in row)], key=lambda x: x[0])
+            height = max((len(lines) - at[0] for _, last, lines, at in open_cells if last == r), default=0)
+            height = max(height, *(min(1, len(lines) - at[0]) for _, _, lines, at in open_cells), 0) if open_cells else 0
+            for _ in range(height):
+                parts, width = [], 0
+                for where, _, lines, at in open_cells:
+                    if at[0] < len(lines):
+                        parts.append(" " * (where - width) + lines[at[0]])
+                        width = max(width, where) + len(lines[at[0]])
+                        at[0] += 1
+                if line := "".join(parts).rstrip():
                     out.append(line)
+            open_cells = [x for x in open_cells if x[1] > r]
         return out
 
 
-def _shown(name: str, a: dict[str, str]) -> bool:
-    style = a.get("style", "").lower().replace(" ", "")
-    return not (name in UNSEEN or "hidden" in a or "display:none" in style or (name == "input" and a.get("type", "").lower() == "hidden") or (name == "dialog" and "open" not in a))
+def _style(a: dict[str, str]) -> dict[str, str]:
+    pairs = (x.partition(":") for x in a.get("style", "").lower().split(";"))
+    return {k.strip(): v.replace("!important", "").strip() for k, _, v in pairs}
+
+
+def _shown(name: str, a: dict[str, str], style: dict[str, str], foreign: bool) -> bool:
+    if name in UNSEEN or (foreign and name in UNSEEN_FOREIGN) or "hidden" in a or "popover" in a or style.get("display") == "none":
+        return False
+    return not (name == "input" and a.get("type", "").lower() == "hidden" or name == "dialog" and "open" not in a)
+
+
+def ordinal(n: int, kind: str) -> str:
+    """A list number as letters or Roman numerals, where its kind (the attribute type) and range allow."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, digit = divmod(n - 1, 26)
+            out = chr(97 + digit) + out
+        return out if kind == "a" else out.upper()
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out, n = out + sign * (n // value), n % value
+        return out if kind == "i" else out.upper()
+    return str(n)
 
 
 def render(html: str | None) -> str:
     """The visible text of a page."""
-    flows, tables, lists = [Flow()], [], []
-    opened: list[tuple[str, bool, bool]] = []  # name, whether text is visible in it, whether it is a closed details
-    skip = kept = 0
+    flows: list[Flow] = [Flow()]
+    tables: list[Table | None] = []  # None: cells one after the other
+    lists: list[list] = []  # kind, number, type
+    opened: list[tuple[str, bool, bool, int]] = []  # name, whether text is visible in it, whether it is closed details, indent or cell
+    skip = kept = foreign = 0
+    begins = False  # right after the start of preformatted text
     for kind, name, a in events(html or ""):
         flow = flows[-1]
         if kind == "text":
-            if not skip and (not opened or opened[-1][1]) and not (opened and opened[-1][2]):
-                if tables and opened and opened[-1][0] in ("table", "tr", "tbody", "thead", "tfoot") and not name.strip():
-                    continue
-                flow.text(name, bool(kept))
+            fresh, begins = begins, False
+            if skip or (opened and (not opened[-1][1] or opened[-1][2])):
+                continue
+            if fresh and name[:1] == "\n":
+                name = name[1:]
+            if tables and opened and opened[-1][0] in ("table", "tr", "tbody", "thead", "tfoot") and not name.strip(" \t\n\f\r"):
+                continue
+            flow.text(name, kept > 0)
         elif kind == "open":
-            inside = bool(opened) and opened[-1][2] and name != "summary"
-            if skip or inside or not _shown(name, a):
+            style = _style(a) if "style" in a else {}
+            if skip or (opened and opened[-1][2] and name != "summary") or not _shown(name, a, style, foreign > 0):
                 skip += 1
                 continue
-            style = a.get("style", "").lower().replace(" ", "")
-            visible = "visibility:hidden" not in style and ("visibility:visible" in style or not opened or opened[-1][1])
-            opened.append((name, visible, name == "details" and "open" not in a))
-            nested = name in ("ul", "ol") and lists
-            if name in SET_OFF and not nested:
+            visibility = style.get("visibility", "")
+            visible = visibility not in ("hidden", "collapse") and (visibility == "visible" or not opened or opened[-1][1])
+            if name in ("svg", "math"):
+                foreign += 1
+            if name in SET_OFF and not (name in ("ul", "ol") and lists):
                 flow.set_off()
-            elif name in BLOCK and name not in ("td", "th", "tr", "caption", "thead", "tbody", "tfoot"):
+            elif (name in BLOCK and name not in OF_TABLE) or (foreign and name == "text"):
                 flow.end_line()
+            undo = 0
             if name == "br":
                 flow.end_line(always=True)
-            elif name == "hr":
+            elif name == "hr" and visible:
                 flow.text("---", False)
                 flow.end_line()
-            elif name in ("pre", "textarea"):
-                kept += 1
+            elif name in PRE:
+                kept, begins = kept + 1, True
             elif name in ("ul", "ol"):
-                start = a.get("start", "1")
-                lists.append([name, int(start) - 1 if start.lstrip("-").isdigit() else 0])
+                begin = number(a.get("start"))
+                lists.append([name, 0 if begin is None else begin - 1, a.get("type", "")])
             elif name == "li":
                 mark = "- "
                 if lists and lists[-1][0] == "ol":
-                    lists[-1][1] += 1
-                    mark = f"{lists[-1][1]}. "
-                flow.indents.append(" " * len(mark))
+                    value = number(a.get("value"))
+                    lists[-1][1] = lists[-1][1] + 1 if value is None else value
+                    mark = f"{ordinal(lists[-1][1], a.get('type', lists[-1][2]))}. "
+                undo = len(mark)
+                flow.indent += undo
                 flow.mark = mark
             elif name in ("dd", "blockquote"):
-                flow.indents.append("  ")
+                undo = 2
+                flow.indent += undo
             elif name == "table":
-                tables.append(Table())
+                tables.append(Table() if len(tables) < MOST_TABLES else None)
+            elif name in ("thead", "tbody", "tfoot") and tables and tables[-1]:
+                tables[-1].groups.append([])
             elif name == "tr" and tables:
-                tables[-1].rows.append([])
+                if tables[-1]:
+                    tables[-1].groups[-1].append([])
+                else:
+                    flow.end_line()
             elif name in ("td", "th", "caption"):
-                if tables:
-                    if name != "caption" and not tables[-1].rows:
-                        tables[-1].rows.append([])
-                    span = a.get("colspan", "1")
+                if tables and tables[-1]:
+                    undo = -1
                     flows.append(Flow())
                     if name != "caption":
-                        tables[-1].rows[-1].append((flows[-1].lines, min(int(span), 100) if span.isdigit() and int(span) else 1))
+                        rows = tables[-1].groups[-1]
+                        if not rows:
+                            rows.append([])
+                        wide, tall = number(a.get("colspan")) or 1, number(a.get("rowspan"))
+                        rows[-1].append((flows[-1].lines, min(wide, MOST_COLUMNS) if wide > 0 else 1, 1 if tall is None or tall < 0 else tall))
                 else:
-                    flow.text(" ", False)
-            elif name == "input" and a.get("type", "").lower() in ("submit", "button", "reset") and visible:
-                flow.text(a.get("value", ""), False)
+                    flow.text("  " if tables else " ", False)
+            elif name == "input" and visible and a.get("type", "").lower() not in NO_TEXT:
+                flow.text(a.get("value") or a.get("placeholder", ""), False)
+            elif name == "optgroup" and visible:
+                flow.text(a.get("label", ""), False)
+                flow.end_line()
+            opened.append((name, visible, name == "details" and "open" not in a, undo))
         elif skip:
             skip -= 1
         else:
-            opened.pop()
-            if name in ("td", "th", "caption") and tables and len(flows) > 1:
+            _, _, _, undo = opened.pop()
+            if name in ("svg", "math"):
+                foreign -= 1
+            if undo < 0:
                 lines = flows.pop().finish()
                 if name == "caption":
                     tables[-1].caption += lines
-            elif name == "table" and tables:
-                lines = tables.pop().lines()
-                for x in lines:
-                    flow.text(x, True)
-                    flow.end_line(kept=True)
-                flow.set_off()
+                continue
+            if name == "table":
+                if (table := tables.pop()) is not None:
+                    flow.set_off()  # from text beside the cells, which comes first
+                    for x in table.lines():
+                        flow.text(x, True)
+                        flow.end_line()
             elif name in ("ul", "ol"):
                 flow.end_line()
-                if lists:
-                    lists.pop()
+                lists.pop()
                 flow.blank = flow.blank or not lists
-            elif name in ("li", "dd", "blockquote"):
+            elif undo:
                 flow.end_line()
                 flow.mark = ""
-                if flow.indents:
-                    flow.indents.pop()
-            if name in ("pre", "textarea"):
+                flow.indent -= undo
+            elif name in PRE:
                 kept -= 1
             if name in SET_OFF and name not in ("ul", "ol"):
                 flow.set_off()
-            elif name in BLOCK and name not in ("td", "th", "tr", "caption", "thead", "tbody", "tfoot"):
+            elif name in BLOCK and name not in OF_TABLE:
                 flow.end_line()
     return "\n".join(flows[0].finish()).strip("\n")
 

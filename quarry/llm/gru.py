@@ -2,18 +2,22 @@
 
 Outputs are factored: first a class, then, for classes of frequent words, the word within the class. Inputs and outputs share one
 numbering: words 0 to WORDS - 1 by falling frequency, WIDTH of them to a class, then one number for each class of rare words, whose
-members the caller tells apart. Documents run side by side, the longest first, so that those still running are a prefix; the state
-goes on from window to window until a document ends. Training cuts gradients at the windows' edges.
+members the caller tells apart. Texts run side by side in lanes, one after the other in each. Scoring carries the state through
+whole documents. Training cuts gradients at the edges of windows of WINDOW steps, and reads a document in stretches of STRETCH
+numbers, each from an empty state, so that a long document fills many lanes instead of keeping one busy alone.
 """
 
 from __future__ import annotations
 
+from heapq import heapreplace
+
 import numpy as np
 
-WORDS, WIDTH, RARE = 2048, 32, 32
+WORDS, WIDTH, RARE = 2048, 32, 16
 HEADS = WORDS // WIDTH
-EMBED, HIDDEN = 16, 24
-WINDOW = 16
+EMBED, HIDDEN = 8, 16
+WINDOW, STRETCH = 16, 512
+TINY = np.float32(1e-30)
 SHAPES = {"E": (WORDS + RARE, EMBED), "Wx": (EMBED, 3 * HIDDEN), "bx": (3 * HIDDEN,), "U": (HIDDEN, 3 * HIDDEN), "Wc": (HIDDEN, HEADS + RARE), "bc": (HEADS + RARE,), "Ww": (WORDS, HIDDEN), "bw": (WORDS,)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
@@ -50,170 +54,210 @@ def unflat(values: np.ndarray) -> Params:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1, keepdims=True)
-    return top[:, 0] + np.log(np.exp(x - top).sum(1))
-
-
 def _class(y: np.ndarray) -> np.ndarray:
     return np.where(y < WORDS, y // WIDTH, y - WORDS + HEADS)
 
 
-def _by_class(y: np.ndarray):
-    """Each class of frequent words, and the places that have it."""
-    head = np.flatnonzero(y < WORDS)
-    own = y[head] // WIDTH
-    order = np.argsort(own, kind="stable")
-    head, own = head[order], own[order]
-    begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
-    for a, b in zip(begins, [*begins[1:], len(own)]):
-        yield int(own[a]), head[a:b]
-
-
-def log_probs(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each y's probability after the states h."""
-    logits = h @ p["Wc"] + p["bc"]
-    out = logits[np.arange(len(y)), _class(y)] - _log_sum(logits)
-    for c, at in _by_class(y):
-        s = h[at] @ p["Ww"][c * WIDTH : (c + 1) * WIDTH].T + p["bw"][c * WIDTH : (c + 1) * WIDTH]
-        out[at] += s[np.arange(len(at)), y[at] % WIDTH] - _log_sum(s)
+class Lanes:
+    """Texts (each a start and a size in one array of numbers) side by side: each lane holds one after the other, every text begins
+    with an empty state. Lanes stand by falling length, so that those still running are a prefix. Row t of `targets` is step t."""
+
+    def __init__(self, numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lanes: int, begin: int):
+        ends = [(0, i) for i in range(max(1, min(lanes, len(sizes))))]
+        lane, place = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        for i in np.argsort(-sizes, kind="stable").tolist():  # the longest first, to the shortest lane
+            end, k = ends[0]
+            lane[i], place[i] = k, end
+            heapreplace(ends, (end + int(sizes[i]), k))
+        lengths = np.zeros(len(ends), np.int64)
+        for end, k in ends:
+            lengths[k] = end
+        order = np.argsort(-lengths, kind="stable")
+        at = np.empty_like(order)
+        at[order] = np.arange(len(order))
+        lane, lengths = at[lane], lengths[order]
+        self.width, self.steps = len(lengths), int(lengths.max(initial=0))
+        self.active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(self.steps), "right")
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        where = (np.repeat(place, sizes) + inside) * self.width + np.repeat(lane, sizes)
+        self.targets, self.owner = np.zeros((self.steps, self.width), np.int32), np.zeros((self.steps, self.width), np.int32)
+        self.targets.ravel()[where] = numbers[np.repeat(starts, sizes) + inside]
+        self.owner.ravel()[where] = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.zeros((self.steps, self.width), bool)
+        first.ravel()[where[inside == 0]] = True
+        self.inputs = np.full_like(self.targets, begin)
+        self.inputs[1:] = np.where(first[1:], begin, self.targets[:-1])
+        self.going, self.starting = (~first).astype(np.float32), first.any(1)
+
+
+def _step(p: Params, table: np.ndarray, x: np.ndarray, before: np.ndarray):
+    """The gates z and r, the new content, what the reset gate is applied to, and the next state; a column for each lane."""
+    a, b = np.ascontiguousarray(table[x].T), p["U"].T @ before
+    gates = a[: 2 * HIDDEN]
+    gates += b[: 2 * HIDDEN]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    z, r, q = gates[:HIDDEN], gates[HIDDEN:], b[2 * HIDDEN :]
+    new = r * q
+    new += a[2 * HIDDEN :]
+    np.tanh(new, out=new)
+    h = before - new
+    h *= z
+    h += new
+    return z, r, new, q, h
+
+
+def _classes(p: Params, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the classes, not yet divided by their sum: a row for each class, a column for each state; and the sums."""
+    e = p["Wc"].T @ states.T
+    e += p["bc"][:, None]
+    e -= e.max(0)
+    np.exp(e, out=e)
+    return e, e.sum(0)
+
+
+def _by_class(ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The places that hold words, ordered by class; their numbers; and for each class its stretch of them."""
+    at = np.flatnonzero(ys < WORDS)
+    at = at[np.argsort((ys[at] // WIDTH).astype(np.int16), kind="stable")]
+    y = ys[at]
+    ends = np.cumsum(np.bincount(y // WIDTH, minlength=HEADS)).tolist()
+    return at, y, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+
+
+def _members(p: Params, own: np.ndarray, y: np.ndarray, parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the members of each state's class (a row for each state), not yet divided by their sum, and the sums."""
+    e = np.empty((len(y), WIDTH), np.float32)
+    for c, a, b in parts:
+        np.matmul(own[a:b], p["Ww"][c * WIDTH : (c + 1) * WIDTH].T, out=e[a:b])
+        e[a:b] += p["bw"][c * WIDTH : (c + 1) * WIDTH]
+    e -= e.max(1, keepdims=True)
+    np.exp(e, out=e)
+    return e, e @ np.ones(WIDTH, np.float32)
+
+
+def log_probs(p: Params, states: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each y's probability after the states."""
+    e, total = _classes(p, states)
+    out = np.log(np.maximum(e[_class(ys), np.arange(len(ys))], TINY)) - np.log(total)
+    at, y, parts = _by_class(ys)
+    e, total = _members(p, states[at], y, parts)
+    out[at] += np.log(np.maximum(e[np.arange(len(y)), y % WIDTH], TINY)) - np.log(total)
     return out
 
 
-class Documents:
-    """Documents (arrays of numbers, none empty) side by side."""
-
-    def __init__(self, docs: list[np.ndarray], begin: int):
-        sizes = np.array([len(d) for d in docs], np.int64)
-        self.order = np.argsort(-sizes, kind="stable")
-        self.sizes = sizes[self.order]
-        self.targets = np.concatenate([docs[i] for i in self.order]).astype(np.int64)
-        self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
-        self.begin, self.steps = begin, int(self.sizes[0])
-        self.active = len(docs) - np.searchsorted(self.sizes[::-1], np.arange(self.steps), "right")
-
-    def step(self, t: int) -> tuple[int, np.ndarray, np.ndarray]:
-        n = int(self.active[t])
-        at = self.starts[:n] + t
-        return n, (self.targets[at - 1] if t else np.full(n, self.begin)), self.targets[at]
-
-
-def log_likelihood(p: Params, docs: list[np.ndarray], begin: int, together: int = 16_384) -> np.ndarray:
+def log_likelihood(p: Params, docs: list[np.ndarray], begin: int, together: int = 8192) -> np.ndarray:
     """Natural logarithm of each whole document's probability, its state carried from its first to its last number."""
     if not docs:
         return np.zeros(0)
-    side = Documents(docs, begin)
+    sizes = np.array([len(d) for d in docs], np.int64)
+    side = Lanes(np.concatenate(docs), np.cumsum(sizes) - sizes, sizes, int(np.clip(sizes.sum() // sizes.max(), 16, 512)), begin)
     table = p["E"] @ p["Wx"] + p["bx"]
-    h, total = np.zeros((len(docs), HIDDEN), np.float32), np.zeros(len(docs))
-    states, ys, owners, held = [], [], [], 0
-
-    def settle():
-        lp = log_probs(p, np.concatenate(states), np.concatenate(ys))
-        at = np.concatenate(owners)
-        total[: at.max() + 1] += np.bincount(at, lp)
-
-    for t in range(side.steps):
-        n, x, y = side.step(t)
-        a, now = table[x], h[:n]
-        b = now @ p["U"]
-        gates = _sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        new = np.tanh(a[:, 2 * HIDDEN :] + r * b[:, 2 * HIDDEN :])
-        h[:n] = new + z * (now - new)
-        states.append(h[:n].copy())
-        ys.append(y)
-        owners.append(np.arange(n))
-        held += n
-        if held >= together:
-            settle()
-            states, ys, owners, held = [], [], [], 0
-    if held:
-        settle()
-    out = np.empty(len(docs))
-    out[side.order] = total
-    return out
+    h, total = np.zeros((HIDDEN, side.width), np.float32), np.zeros(len(docs))
+    states, rows, held = [], [], 0
+    with np.errstate(over="ignore"):
+        for t in range(side.steps):
+            n = int(side.active[t])
+            if side.starting[t] or n < h.shape[1]:
+                h = h[:, :n] * side.going[t, :n]
+            h = _step(p, table, side.inputs[t, :n], h)[4]
+            states.append(h.T)
+            rows.append((t, n))
+            held += n
+            if held >= together or t == side.steps - 1:
+                ys = np.concatenate([side.targets[s, :m] for s, m in rows])
+                of = np.concatenate([side.owner[s, :m] for s, m in rows])
+                total += np.bincount(of, log_probs(p, np.concatenate(states), ys), len(docs))
+                states, rows, held = [], [], 0
+    return total
 
 
 class Trainer:
-    """Adagrad steps on windows; keeps its own copy of the parameters."""
+    """Adagrad steps on windows; keeps its own copy of the parameters and of the sums of squared gradients."""
 
-    def __init__(self, p: Params, rate: float = 0.05):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.past = {k: np.full_like(v, 1e-6) for k, v in p.items()}
-        self.rate = rate
+    def __init__(self, p: Params, past: Params, rate: float = 0.05):
+        self.p, self.past, self.rate = {k: v.copy() for k, v in p.items()}, {k: v.copy() for k, v in past.items()}, rate
 
     def _move(self, k: str, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        self.past[k][rows] += g * g
-        self.p[k][rows] -= self.rate * g / np.sqrt(self.past[k][rows])
-
-    def _rows(self, k: str, at: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
-        at, g = at[order], g[order]
-        begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        self._move(k, np.add.reduceat(g, begins), at[begins])
-
-    def fit(self, docs: list[np.ndarray], begin: int) -> None:
-        """One pass of truncated backpropagation over the documents, side by side."""
-        side = Documents(docs, begin)
-        h = np.zeros((len(docs), HIDDEN), np.float32)
-        for s in range(0, side.steps, WINDOW):
-            h = self._window(side, h, range(s, min(s + WINDOW, side.steps)))
-
-    def _window(self, side: Documents, h: np.ndarray, steps: range) -> np.ndarray:
+        past = self.past[k][rows] + g * g
+        self.past[k][rows] = past
+        self.p[k][rows] -= self.rate * g / np.sqrt(past)
+
+    def fit(self, numbers: np.ndarray, sizes: np.ndarray, begin: int) -> None:
+        """One pass of truncated backpropagation over texts that stand one after the other in `numbers`, in stretches."""
+        starts = np.cumsum(sizes) - sizes
+        cuts = -(-sizes // STRETCH)
+        inside = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        begins = np.repeat(starts, cuts) + inside * STRETCH
+        parts = np.minimum(STRETCH, np.repeat(starts + sizes, cuts) - begins)
+        side = Lanes(numbers, begins, parts, int(np.clip(len(numbers) // 2048, 16, 256)), begin)
+        h = np.zeros((HIDDEN, side.width), np.float32)
+        with np.errstate(over="ignore"):
+            for t in range(0, side.steps, WINDOW):
+                h = self._window(side, h, range(t, min(t + WINDOW, side.steps)))
+
+    def _window(self, side: Lanes, h: np.ndarray, steps: range) -> np.ndarray:
         p, H = self.p, HIDDEN
-        table = p["E"] @ p["Wx"] + p["bx"] if len(h) * len(steps) > 512 else None
-        tape, h = [], h.copy()
-        for t in steps:
-            n, x, y = side.step(t)
-            before = h[:n].copy()
-            a = table[x] if table is not None else p["E"][x] @ p["Wx"] + p["bx"]
-            b = before @ p["U"]
-            gates = _sigmoid(a[:, : 2 * H] + b[:, : 2 * H])
-            z, r = gates[:, :H], gates[:, H:]
-            new = np.tanh(a[:, 2 * H :] + r * b[:, 2 * H :])
-            h[:n] = new + z * (before - new)
-            tape.append((n, x, y, before, z, r, new, b[:, 2 * H :], h[:n].copy()))
-        states, ys = np.concatenate([x[8] for x in tape]), np.concatenate([x[2] for x in tape])
-        count = len(ys)
-        logits = states @ p["Wc"] + p["bc"]
-        d = np.exp(logits - _log_sum(logits)[:, None])
-        d[np.arange(count), _class(ys)] -= 1
-        d /= count
-        back = d @ p["Wc"].T
-        gWc, gbc = states.T @ d, d.sum(0)
-        moves = []
-        for c, at in _by_class(ys):
+        table = p["E"] @ p["Wx"] + p["bx"]
+        ends = np.cumsum(side.active[steps.start : steps.stop]).tolist()
+        count, tape, states = np.float32(ends[-1]), [], np.empty((ends[-1], H), np.float32)
+        for t, end in zip(steps, ends):
+            n = int(side.active[t])
+            before = h[:, :n] * side.going[t, :n]
+            z, r, new, q, h = _step(p, table, side.inputs[t, :n], before)
+            states[end - n : end] = h.T
+            tape.append((t, n, before, z, r, new, q))
+        ys = np.concatenate([side.targets[t, :n] for t, n, *_ in tape])
+        d, total = _classes(p, states)
+        d /= total * count
+        d[_class(ys), np.arange(len(ys))] -= 1 / count
+        back = d.T @ p["Wc"].T
+        gWc, gbc = states.T @ d.T, d.sum(1)
+        at, y, parts = _by_class(ys)
+        own = states[at]
+        e, total = _members(p, own, y, parts)
+        e /= (total * count)[:, None]
+        e[np.arange(len(y)), y % WIDTH] -= 1 / count
+        gWw, gbw, more = np.zeros_like(p["Ww"]), np.zeros((HEADS, WIDTH), np.float32), np.empty_like(own)
+        for c, a, b in parts:
             words = slice(c * WIDTH, (c + 1) * WIDTH)
-            own = states[at]
-            s = own @ p["Ww"][words].T + p["bw"][words]
-            e = np.exp(s - _log_sum(s)[:, None])
-            e[np.arange(len(at)), ys[at] % WIDTH] -= 1
-            e /= count
-            back[at] += e @ p["Ww"][words]
-            moves.append((words, e.T @ own, e.sum(0)))
-        ends = np.cumsum([x[0] for x in tape])
-        dh, dx, du = np.zeros((0, H), np.float32), [], []
-        for (n, x, y, before, z, r, new, q, _), end in zip(reversed(tape), reversed(ends)):
-            g = back[end - n : end]
-            g[: len(dh)] += dh
-            dn = g * (1 - z) * (1 - new * new)
-            dz = g * (before - new) * z * (1 - z)
-            dr = dn * q * r * (1 - r)
-            dx.append(np.concatenate([dz, dr, dn], 1))
-            du.append(np.concatenate([dz, dr, dn * r], 1))
-            dh = g * z + du[-1] @ p["U"].T
-        xs = np.concatenate([x[1] for x in reversed(tape)])
-        dx, du, before = np.concatenate(dx), np.concatenate(du), np.concatenate([x[3] for x in reversed(tape)])
-        gE = dx @ p["Wx"].T
-        gWx = p["E"][xs].T @ dx
-        for k, g in (("Wc", gWc), ("bc", gbc), ("U", before.T @ du), ("Wx", gWx), ("bx", dx.sum(0))):
-            self._move(k, g.astype(np.float32))
-        self._rows("E", xs, gE)
-        for words, g, gb in moves:
-            self._move("Ww", g, words)
-            self._move("bw", gb, words)
+            np.matmul(e[a:b], p["Ww"][words], out=more[a:b])
+            np.matmul(e[a:b].T, own[a:b], out=gWw[words])
+            np.sum(e[a:b], 0, out=gbw[c])
+        back[at] += more
+        gU, gWx, gbx, gE = np.zeros_like(p["U"]), np.zeros_like(p["Wx"]), np.zeros_like(p["bx"]), np.empty((len(ys), EMBED), np.float32)
+        dh = np.zeros((H, 0), np.float32)
+        for (t, n, before, z, r, new, q), end in zip(reversed(tape), reversed(ends)):
+            g, u = np.ascontiguousarray(back[end - n : end].T), np.empty((3 * H, n), np.float32)
+            g[:, : dh.shape[1]] += dh
+            dh = g * z
+            dn = u[2 * H :]
+            np.subtract(g, dh, out=dn)
+            np.subtract(before, new, out=u[:H])
+            u[:H] *= dh
+            new *= new
+            new *= dn
+            dn -= new
+            np.multiply(dn, q, out=u[H : 2 * H])
+            u[H : 2 * H] *= r
+            np.subtract(1, z, out=z)
+            u[:H] *= z
+            np.subtract(1, r, out=z)
+            u[H : 2 * H] *= z
+            gE[end - n : end] = (p["Wx"] @ u).T
+            gWx += p["E"][side.inputs[t, :n]].T @ u.T
+            gbx += u.sum(1)
+            dn *= r  # from here on the gradient of U's part
+            gU += before @ u.T
+            dh += p["U"] @ u
+            dh *= side.going[t, :n]
+        xs = np.concatenate([side.inputs[t, :n] for t, n, *_ in tape])
+        order = np.argsort(xs.astype(np.int16), kind="stable")
+        xs = xs[order]
+        begins = np.flatnonzero(np.r_[True, xs[1:] != xs[:-1]])
+        for k, g in (("Wc", gWc), ("bc", gbc), ("U", gU), ("Wx", gWx), ("bx", gbx), ("Ww", gWw), ("bw", gbw.ravel())):
+            self._move(k, g)
+        self._move("E", np.add.reduceat(gE[order], begins), xs[begins])
         return h

@@ -5,23 +5,24 @@ crc32 doesn't leave the held-out remainder) give the base score, add-one smoothe
 words have outputs of their own; the others fall into classes by their last two bytes, within which a token has the share
 (count + 1) / (sum of the class's counts + 1 each + 1), the last 1 for what was never seen.
 
-The network (quarry.llm.gru) starts from these frequencies and learns in rounds, from every training document in one of them. In
-each round, every task runs truncated backpropagation from the same parameters over its part of the round's documents, and the
-results are averaged by tokens, in Spark, parameter by parameter. Scoring carries the state through whole documents. (A `share`
-below 1 trains the network, not the counts, on that share of the training documents.)
+Texts are split twice: to be counted, and to be written as the network's numbers, from which training and scoring go on. The
+network (quarry.llm.gru) starts from the frequencies and learns in rounds, from every training document in one of them. A round's
+documents are dealt to shards of about SHARD tokens by a hash of id and text, so that neither the cluster nor the input's files
+matter to the result. Each shard runs truncated backpropagation from the round's parameters, over its documents in the hash's
+order, and results are averaged by tokens, as arrays. Scoring carries the state through whole documents.
 
 What is broadcast or reaches the driver is bounded: at most KNOWN words with their counts, and the parameters. Counts of rarer
-words, however many, are joined: a row for each document and rare word. Being rare, none of them is a hot key.
+words, however many, are joined: a row for each document and rare word.
 
-Defined results: null text counts as empty: one token, the end; repeated rows get a row each; without training documents the base
-score is 0 and the model knows nothing; an empty table gives an empty result; the input's columns are carried in one struct.
+Defined results: null text counts as empty: one token, the end; repeated rows get a row each (those without an id are dealt to
+shards by their place in the input); without training documents the base score is 0 and the model knows nothing; an empty table
+gives an empty result; the input's columns are carried in one struct.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import filterfalse
 from zlib import crc32
 
 import numpy as np
@@ -33,14 +34,10 @@ from pyspark.sql import types as T
 from quarry.llm import gru
 from quarry.llm.common import as_bytes, crc_remainder, saved, whole
 
-KNOWN, FLUSH, GROUP = 1 << 17, 400_000, 128
+KNOWN, FLUSH, SHARD, TOGETHER = 1 << 17, 400_000, 1 << 20, 100_000
 END = b""
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
-
-
 def rare_class(token: bytes) -> int:
     return crc32(token[-2:]) % gru.RARE
 
@@ -67,6 +64,13 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+class Places(dict):
+    """Places of the known words; -1 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Lexicon:
     """The known words by falling count, and what scoring needs of the others."""
 
@@ -75,24 +79,18 @@ class Lexicon:
         place = next((i for i, w in enumerate(words) if w[0] == END), None)
         if place is None or place >= gru.WORDS:  # the end is always an output of its own
             words.insert(0, words.pop(place) if place is not None else (END, 0))
-        self.of = {w: i for i, (w, _) in enumerate(words)}
+        self.of = Places((w, i) for i, (w, _) in enumerate(words))
         self.counts = np.array([c for _, c in words], float)
         self.logs = np.log10(self.counts + 1)
-        self.classes = np.array([rare_class(w) for w, _ in words], np.int32)
+        classes = np.array([rare_class(w) for w, _ in words], np.int32)
         mass = np.array([masses.get(k, 0) for k in range(gru.RARE)], float)
         heads = self.counts[: gru.WORDS] + (self.counts[: gru.WORDS] > 0)  # a word of count 0 is in no mass
-        self.rare_mass = mass - np.bincount(self.classes[: gru.WORDS], heads, gru.RARE) + 1
+        self.rare_mass = mass - np.bincount(classes[: gru.WORDS], heads, gru.RARE) + 1
+        #: Each known word's number for the network, and the logarithm of its share among those of that number.
+        self.numbers = np.where(np.arange(len(words)) < gru.WORDS, np.arange(len(words)), gru.WORDS + classes).astype(np.int16)
+        self.shares = np.where(np.arange(len(words)) < gru.WORDS, 0, self.logs - np.log10(self.rare_mass)[classes])
         self.total, self.distinct, self.end = total, distinct, self.of[END]
 
-    def numbers(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's place in the list of known words (-1: none), and its number for the network."""
-        get = self.of.get
-        at = np.array([get(w, -1) for w in tokens], np.int32)
-        out = np.where(at < gru.WORDS, at, gru.WORDS + self.classes[at])
-        for i in np.flatnonzero(at < 0):
-            out[i] = gru.WORDS + rare_class(tokens[i])
-        return at, out
-
 
 def lexicon(counts: DataFrame, known: int = KNOWN) -> Lexicon:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -111,98 +109,156 @@ def lexicon(counts: DataFrame, known: int = KNOWN) -> Lexicon:
     return Lexicon([(bytes(r.token), r.c) for r in chosen.collect()], masses, total, distinct)
 
 
-def _learnt(sample: DataFrame, words: Lexicon, rounds: int) -> gru.Params:
-    """sample: slice (0 to rounds - 1), ids. Rounds of local training and averaging."""
+ENCODED = T.StructType([
+    T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("rest", T.DoubleType()),
+    T.StructField("ids", T.ArrayType(T.ShortType())),
+    T.StructField("rares", T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("times", T.IntegerType())]))),
+])
+
+
+def _encoded(texts: list[bytes], words: Lexicon) -> list[pa.Array]:
+    """Columns of ENCODED: known words' part of the base score and of the classes' shares, the network's numbers, and the words
+    that aren't known, each with its times."""
+    place, tokens, sizes = words.of.__getitem__, [], []
+    for text in texts:
+        own = text.lower().split()
+        tokens += own
+        tokens.append(END)
+        sizes.append(len(own) + 1)
+    at = np.fromiter(map(place, tokens), np.int32, len(tokens))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    numbers, seen = words.numbers[at], at >= 0
+    rare = np.flatnonzero(~seen)
+    names = [tokens[i] for i in rare.tolist()]
+    numbers[rare] = [gru.WORDS + rare_class(w) for w in names]
+    own = owner[seen]
+    sums = [np.bincount(own, x[at[seen]], len(sizes)) for x in (words.counts > 0, words.logs, words.shares)]
+    unseen = np.bincount(owner[rare], np.log10(words.rare_mass)[numbers[rare] - gru.WORDS], len(sizes))
+    times = Counter(zip(owner[rare].tolist(), names))
+    begins = np.r_[0, np.cumsum(np.bincount(np.array([i for i, _ in times], np.int64), minlength=len(sizes)))].astype(np.int32)
+    rares = pa.StructArray.from_arrays([pa.array([w for _, w in times], pa.binary()), pa.array(list(times.values()), pa.int32())], names=["token", "times"])
+    return [
+        pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2] - unseen),
+        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(numbers)), pa.ListArray.from_arrays(pa.array(begins), rares),
+    ]
+
+
+def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about TOGETHER words."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) // 6 + 1
+        if size >= TOGETHER:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def _learnt(taught: DataFrame, words: Lexicon, rounds: int) -> gru.Params:
+    """taught: slice (0 to rounds - 1), dealt (a hash), ids. Rounds of training in shards, and averaging."""
     params = gru.initial(words.counts[: gru.WORDS], words.rare_mass)
-    context, begin = sample.sparkSession.sparkContext, words.end
+    past = {k: np.full_like(v, 1e-6) for k, v in params.items()}
+    context, end = taught.sparkSession.sparkContext, words.end
+    shards = max(1, -(-words.total // (rounds * SHARD)))
     for r in range(rounds):
-        sent = context.broadcast(gru.flat(params))
+        sent = context.broadcast((gru.flat(params), gru.flat(past)))
 
         def train(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            trainer, tokens = gru.Trainer(gru.unflat(sent.value)), 0
-            rng = np.random.default_rng(1)
+            begin = [gru.unflat(x) for x in sent.value]
+            total, weight, shard, trainer, tokens = np.zeros(2 * gru.SIZE), 0, None, None, 0
+            ids, sizes = np.zeros(0, np.int16), np.zeros(0, np.int64)
+
+            def teach(n: int) -> None:
+                nonlocal ids, sizes, tokens
+                size = int(sizes[:n].sum())
+                trainer.fit(ids[:size], sizes[:n], end)
+                tokens, ids, sizes = tokens + size, ids[size:], sizes[n:]
+
+            def settle() -> None:
+                nonlocal total, weight
+                if trainer is not None:
+                    if len(sizes):
+                        teach(len(sizes))
+                    total += tokens * np.r_[gru.flat(trainer.p), gru.flat(trainer.past)].astype(float)
+                    weight += tokens
+
             for batch in batches:
-                column = batch.column("ids")
-                ends = np.cumsum(column.value_lengths().to_numpy())
-                docs = sorted(np.split(column.flatten().to_numpy(), ends[:-1])[: len(ends)], key=len)
-                groups = [docs[i : i + GROUP] for i in range(0, len(docs), GROUP)]
-                for g in rng.permutation(len(groups)):
-                    trainer.fit(groups[g], begin)
-                tokens += sum(map(len, docs))
-            if tokens:
-                values = pa.ListArray.from_arrays(pa.array([0, gru.SIZE], pa.int32()), pa.array(gru.flat(trainer.p), pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), values], names=["tokens", "params"])
-
-        each = sample.where(F.col("slice") == r).select("ids").mapInArrow(train, "tokens double, params array<float>")
-        each = each.select("tokens", F.posexplode("params").alias("at", "value"))
-        mean = each.groupBy("at").agg((F.sum(F.col("tokens") * F.col("value")) / F.sum("tokens")).cast("float").alias("value")).toPandas()
-        if len(mean):
-            params = gru.unflat(mean.sort_values("at")["value"].to_numpy())
+                own, lists = batch.column("shard").to_numpy(), batch.column("ids")
+                flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+                ends = np.r_[0, np.cumsum(lengths)]
+                cuts = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)] if len(own) else []
+                for a, b in zip(cuts, cuts[1:]):
+                    if own[a] != shard:
+                        settle()
+                        shard, trainer, tokens = own[a], gru.Trainer(*begin), 0
+                        ids, sizes = ids[:0], sizes[:0]
+                    ids, sizes = np.r_[ids, flat[ends[a] : ends[b]]], np.r_[sizes, lengths[a:b]]
+                    while len(ids) > 2 * SHARD:  # only where rows repeat in great numbers
+                        teach(int(np.searchsorted(np.cumsum(sizes), SHARD)) + 1)
+            settle()
+            if weight:
+                yield pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([total / weight], pa.list_(pa.float64()))], names=["tokens", "values"])
+
+        each = taught.where(F.col("slice") == r).select(F.pmod("dealt", F.lit(shards)).cast("int").alias("shard"), "dealt", "ids")
+        each = each.repartitionById(shards, "shard").sortWithinPartitions("shard", "dealt").select("shard", "ids").mapInArrow(train, "tokens double, values array<double>")
+        for parts in (32, 1):  # sums of sums, so that no task adds up more than a few
+            each = each.repartition(parts).mapInArrow(_averaged, "tokens double, values array<double>")
+        if found := each.collect():
+            params, past = (gru.unflat(np.array(x, np.float32)) for x in np.split(np.array(found[0]["values"]), 2))
         sent.unpersist()
     return params
 
 
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, weight = 0.0, 0.0
+    for batch in batches:
+        for tokens, values in zip(batch.column("tokens").to_pylist(), batch.column("values")):
+            total, weight = total + tokens * values.values.to_numpy(), weight + tokens
+    if weight:
+        yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total / weight], pa.list_(pa.float64()))], names=["tokens", "values"])
+
+
 def scores(
-    df: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2), share: float = 1.0, rounds: int = 4
+    df: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2), rounds: int = 4
 ) -> DataFrame:
     """Columns row (a struct of the columns `carry`), held_out, n_tokens, n_known, train_tokens, base_score, score."""
     apart = crc_remainder(id_col, held_out[0]) == held_out[1]
-    chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
-    part = F.pmod(F.xxhash64(F.col(id_col), F.lit("slice")), F.lit(rounds)).cast("int")
-    rows = saved(
-        df.select(F.struct(*carry).alias("row"), F.monotonically_increasing_id().alias("n"), apart.alias("held_out"), chosen.alias("chosen"), part.alias("slice"), whole(text_col).alias("text")), "rows"
-    )
+    own = F.monotonically_increasing_id()
+    rows = df.select(F.struct(*carry).alias("row"), own.alias("n"), F.col(id_col).alias("id"), apart.alias("held_out"), whole(text_col).alias("text"))
     counts = saved(token_counts(rows.where("not held_out")), "counts")
     words = lexicon(counts)
     sent = df.sparkSession.sparkContext.broadcast(words)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [sent.value.numbers(tokens_of(t))[1] for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(ids, pa.list_(pa.int32()))], names=["slice", "ids"])
+            texts = as_bytes(batch.column("text"))
+            for a, b in _parts(texts):
+                kept = [batch.column(c).slice(a, b - a) for c in ("row", "n", "held_out", "dealt")]
+                yield pa.RecordBatch.from_arrays([*kept, *_encoded(texts[a:b], sent.value)], names=["row", "n", "held_out", "dealt", *ENCODED.names])
 
-    sample = saved(rows.where("not held_out and chosen").select("slice", "text").mapInArrow(encode, "slice int, ids array<int>"), "sample")
-    model = df.sparkSession.sparkContext.broadcast(gru.flat(_learnt(sample, words, rounds)))
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value.of.__contains__
-        for batch in batches:
-            tokens: list[bytes] = []
-            times: list[int] = []
-            sizes = []
-            for text in as_bytes(batch.column("text")):
-                own = Counter(filterfalse(known, text.lower().split()))
-                tokens += own
-                times += own.values()
-                sizes.append(len(own))
-            owner = np.repeat(batch.column("n").to_numpy(), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(owner), pa.array(times, pa.int32())], names=["token", "n", "times"])
+    dealt = F.when(F.col("id").isNull(), F.xxhash64("n")).otherwise(F.xxhash64("id", "text"))
+    rows = rows.select("row", "n", "held_out", dealt.alias("dealt"), "text")
+    encoded = saved(rows.mapInArrow(encode, T.StructType([*rows.schema.fields[:4], *ENCODED.fields])), "encoded")
+    part = F.pmod(F.shiftright("dealt", 32), F.lit(rounds)).cast("int")
+    model = df.sparkSession.sparkContext.broadcast(gru.flat(_learnt(encoded.where("not held_out").select(part.alias("slice"), "dealt", "ids"), words, rounds)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, params = sent.value, gru.unflat(model.value)
+        params, end = gru.unflat(model.value), sent.value.end
         for batch in batches:
-            docs, known, base, rest = [], [], [], []
-            for text in as_bytes(batch.column("text")):
-                at, ids = words.numbers(tokens_of(text))
-                seen = at[at >= 0]
-                logs = words.logs[seen]
-                docs.append(ids)
-                known.append(int((words.counts[seen] > 0).sum()))
-                base.append(float(logs.sum()))
-                rest.append(float(logs[seen >= gru.WORDS].sum() - np.log10(words.rare_mass[ids[ids >= gru.WORDS] - gru.WORDS]).sum()))
-            own = gru.log_likelihood(params, docs, words.end) / np.log(10) + np.array(rest)
-            arrays = [pa.array([len(d) for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), batch.column("held_out"), *arrays], names=["row", "n", "held_out", "n_tokens", "known", "base", "own"])
-
-    fields = [("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("own", T.DoubleType())]
-    schema = T.StructType([*(rows.schema[c] for c in ("row", "n", "held_out")), *(T.StructField(a, b) for a, b in fields)])
-    found = rows.select("row", "n", "held_out", "text").mapInArrow(score, schema)
+            lists = batch.column("ids")
+            docs = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+            found = gru.log_likelihood(params, docs if len(lists) else [], end) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*batch.schema.names[:-1], "own"])
+
+    kept = ("row", "n", "held_out", "n_tokens", "known", "base", "rest")
+    found = encoded.select(*kept, "ids").mapInArrow(score, T.StructType([*(encoded.schema[c] for c in kept), T.StructField("own", T.DoubleType())]))
     log_count = F.log10(F.col("c").cast("double") + 1)
-    rares = rows.select("n", "text").mapInArrow(rare, "token binary, n long, times int").join(counts, "token")
+    rares = encoded.select("n", F.explode("rares").alias("rare")).select("n", "rare.token", "rare.times").join(counts, "token")
     rares = rares.groupBy(F.col("n").alias("of")).agg(F.sum("times").alias("times"), F.sum(F.col("times") * log_count).alias("logs"))
     more = F.coalesce("logs", F.lit(0.0))
     floor = float(np.log10(words.total + words.distinct + 1))
     return found.join(rares, F.col("n") == F.col("of"), "left").select(
         "row", "held_out", "n_tokens", (F.col("known") + F.coalesce("times", F.lit(0))).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * floor).alias("base_score"), (F.col("own") + more).alias("score"),
+        (F.col("base") + more - F.col("n_tokens") * floor).alias("base_score"), (F.col("own") + F.col("rest") + more).alias("score"),
     )

@@ -55,12 +55,18 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def working_path(spark: SparkSession, name: str) -> str:
+    """A fresh path that the open scope collects."""
+    path = fresh_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: this cuts the lineage, survives lost executors and fixes what was drawn."""
-    path = fresh_path(df.sparkSession, name)
+    path = working_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,17 +6,24 @@ quarter, and so on). In each round every open sequence offers slots (as many as
 the last one with what remains), and slots and pieces are sorted by size. Sweeping down the sizes, slots open and pieces close, like
 parentheses: the slot that matches a piece is the smallest free one that holds it, and a piece that nothing matches stays. The
 sweep is distributed: a place's depth follows from counts of each size and from its rank among its equals, and places of one depth
-alternate, so that each depth is a small group of its own (two rows for each size at most). Pieces that stay open new sequences,
-just enough to hold what the open ones have no room for (once a fiftieth of the band is left: enough to hold it all, which spares
-rounds), and the rounds repeat until the band is placed.
+alternate, so that each depth is a small group of its own (two rows for each size at most). Before a band's second and later
+rounds, the longest of what is left open new sequences, just enough to hold what the open ones have no room for, and the rounds
+repeat until the band is placed.
 
 Ranks among equals are taken in 64 salted groups for each size, so that one size that most pieces share is spread over tasks. Rounds
-are a few for each of the log2(capacity) bands, however many pieces there are; each is written to the shared folder.
+are a few for each of the log2(capacity) bands, however many pieces there are; each is written to the shared folder, so that every
+plan is as small as the first. The driver sees counts of each size alone.
 
-Token ids are those of the tokenizers library. Its pre-tokenizer never joins what stands left of a blank to a word after the blank, so
-texts are encoded in pieces that start there, and pieces that repeat are looked up (at most MEMO a worker). Pieces that are not
-known yet are encoded from the same vocabulary's ranks, where they lie beside it. Texts that hold a special string, or other
-white space next to a blank, go to the library whole.
+Token ids are those of the tokenizers library. The pre-tokenizer never joins what stands left of a blank to what follows it, unless
+more white space follows. So texts are cut before all other blanks, and chunks that repeat are looked up (at most MEMO a worker).
+Texts that hold a string of the tokenizer's added tokens go to the library whole, and so do chunks of rarer scripts. Other new
+chunks go to an encoder that merges by rank, several times as fast, if its results are proven equal for the vocabulary at hand
+(`mergeable_ranks`), else to the library as well. It takes its ranks from the same file. The proof: both start from bytes, and
+take the lowest rank first, leftmost; the library merges the listed pairs alone, the other whatever two neighbours make a token.
+Suppose they have gone the same way so far, and the lowest rank left to either joins x and y to the token t. No merge crossed the
+ends of xy, and all lower ones inside are done. So xy stands as t itself does, encoded alone, just before its last step. If every
+token, encoded alone, ends as itself, (x, y) is the pair that is listed for t. That is a finite check, which each worker makes
+once. Both cut chunks by one pattern; only characters that every version of Unicode puts into the same class go that way.
 
 Defined results: null text is empty and its document has one token, the end; repeated rows and ids are packed separately (their
 pieces' rows look alike but for their places); a null id stays null; an empty table gives an empty result; the input's other
@@ -25,10 +32,12 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,82 +46,106 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quarry.llm.common import as_bytes, saved, whole
+from quarry.llm.common import as_bytes, saved, whole, working_path
 
 CAPACITY, SALTS, MEMO, TOGETHER = 2048, 64, 500_000, 20_000
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: White space beyond ASCII begins with one of these bytes in UTF-8.
-_wide = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-#: Where cutting before a blank could change the result: white space of another kind, or a blank, next to a blank.
-_beside_blank = re.compile(r"\s | \s")
-_beside_blank_ascii = re.compile(rb"[\s\x1c-\x1f] | [\s\x1c-\x1f]")
-_rare = (b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+#: A blank before which a text may be cut: no white space, ASCII or other, and not the text's end follows it.
+_cut = re.compile(rb" (?![\s\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z)")
+#: Where a text has none of these, it may be cut before every blank; of white space beyond ASCII the last ones hold a part.
+_odd = (b"  ", b" \n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b" \xc2", b" \xe1\x9a", b" \xe2\x80", b" \xe2\x81", b" \xe3\x80")
+#: Chunks of these characters alone: ASCII but for control characters other than the line's end, Latin and Cyrillic letters and signs.
+_common = re.compile(rb"(?:[\n\x21-\x7e]|\xc2[\xa1-\xac\xae-\xbf]|[\xc3-\xc6][\x80-\xbf]|\xd0[\x80-\xbf]|\xd1[\x80-\xbf])+")
 _loaded: dict[str, tuple] = {}
 
 
+def _bytes_of() -> dict[str, int]:
+    """How byte-level vocabularies write a byte: printable ones as themselves, the others as characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+def mergeable_ranks(path: str) -> dict[bytes, int] | None:
+    """The bytes of a vocabulary's tokens with their ids, if encoding by these as ranks is proven equal to the library's; else None."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    of = _bytes_of()
+    added = {t["content"] for t in spec.get("added_tokens") or ()}
+    ranks = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    listed = {tuple(bytes(of[c] for c in x) for x in pair): i for i, pair in enumerate(pairs)}
+    ids = [ranks.get(a + b) for a, b in listed]
+    if None in ids or ids != sorted(ids) or len(set(ids)) != len(ids) or set(ranks.values()) - set(ids) != {ranks.get(bytes([b])) for b in range(256)}:
+        return None
+    if max(ranks[bytes([b])] for b in range(256)) > min(ids, default=1 << 60):
+        return None
+    for token in ranks:  # encoded alone, by the listed pairs
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            k = min(range(len(parts) - 1), key=lambda i: listed.get((parts[i], parts[i + 1]), 1 << 60))
+            if (parts[k], parts[k + 1]) not in listed:
+                return None
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return ranks
+
+
 def _tokenizer(path: str):
-    """The tokenizer of a .json file; if the same vocabulary lies beside it as ranks, an encoder of its pieces from these, which
-    gives the same ids several times as fast; and the worker's table of pieces."""
+    """The tokenizer of a .json file, the encoder by rank of new chunks if it is proven, the strings of its added tokens, and the
+    worker's table of chunks."""
     if path not in _loaded:
-        import base64
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        pieces = lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        ranks_file = path.removesuffix(".json") + ".tiktoken"
-        if os.path.exists(ranks_file):
+        tokenizer, encode = Tokenizer.from_file(path), None
+        if ranks := mergeable_ranks(path):
             import tiktoken
 
-            with open(ranks_file, "rb") as file:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            ordinary = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            pieces = lambda parts: [ordinary(p) for p in parts]
-        _loaded[path] = (tokenizer, pieces, {})
+            encode = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        _loaded[path] = (tokenizer, encode, added, {})
     return _loaded[path]
 
 
-def _needs_whole(text: bytes) -> bool:
-    """Whether the text can't be cut before its blanks: it may hold a special string, or white space next to a blank."""
-    if b"<|" in text or b"  " in text or b"\n " in text or b" \n" in text:
-        return True
-    if any(c in text for c in _rare) and _beside_blank_ascii.search(text):
-        return True
-    return any(w in text for w in _wide) and bool(_beside_blank.search(text.decode()))
-
-
 def token_ids(texts: list[bytes], path: str, end_id: int = 0) -> Iterator[np.ndarray]:
     """The ids of each UTF-8 text, then end_id, as unsigned 32-bit numbers."""
-    tokenizer, encode, memo = _tokenizer(path)
+    tokenizer, encode, added, memo = _tokenizer(path)
     end = array("I", [end_id]).tobytes()
     get = memo.get  # of what follows a blank, its ids with the blank
-    done: list[tuple[bytes, list[bytes], list[bytes | None]] | None] = []
-    missing: dict[bytes, bytes] = {}
+    done: list[tuple[list[bytes], list[bytes | None]] | None] = []
+    firsts: list[str] = []
+    missing: set[bytes] = set()
     for t in texts:
-        if _needs_whole(t):
+        if any(a in t for a in added):
             done.append(None)
+            firsts.append(t.decode())
             continue
-        first, *rest = t.split(b" ")
+        first, *rest = _cut.split(t) if t.endswith(b" ") or any(o in t for o in _odd) else t.split(b" ")
         ids = list(map(get, rest))
         if None in ids:
-            missing.update((p, b"") for p, i in zip(rest, ids) if i is None)
-        done.append((first, rest, ids))
-    keys = list(missing)
-    for i in range(0, len(keys), TOGETHER):
-        part = keys[i : i + TOGETHER]
-        missing.update(zip(part, (array("I", x).tobytes() for x in encode([" " + p.decode() for p in part]))))
-    for p in keys[: max(0, MEMO - len(memo))]:
-        memo[p] = missing[p]
-    for t, own in zip(texts, done):
-        if own is None:
-            body = array("I", tokenizer.encode(t.decode(), add_special_tokens=False).ids).tobytes()
-        else:
-            first, rest, ids = own
-            start = array("I", encode([first.decode()])[0]).tobytes()
-            body = start + b"".join([missing[p] if i is None else i for p, i in zip(rest, ids)] if None in ids else ids)
+            missing.update([p for p, i in zip(rest, ids) if i is None])
+        done.append((rest, ids))
+        firsts.append(first.decode())
+    quick = [p for p in missing if _common.fullmatch(p)] if encode else []
+    new = {p: array("I", encode(" " + p.decode())).tobytes() for p in quick}
+    slow = [p for p in missing if p not in new]
+    for i in range(0, len(slow), TOGETHER):
+        part = slow[i : i + TOGETHER]
+        found = tokenizer.encode_batch_fast([" " + p.decode() for p in part], add_special_tokens=False)
+        new.update(zip(part, (array("I", e.ids).tobytes() for e in found)))
+    memo.update(islice(new.items(), max(0, MEMO - len(memo))))
+    for first, own in zip(tokenizer.encode_batch_fast(firsts, add_special_tokens=False), done):
+        body = array("I", first.ids).tobytes()
+        if own is not None:
+            rest, ids = own
+            body += b"".join([new[p] if i is None else i for p, i in zip(rest, ids)] if None in ids else ids)
         yield np.frombuffer(body + end, np.uint32)
 
 
@@ -141,9 +174,10 @@ def pieces_of(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
-def _matched(slots: DataFrame, pieces: DataFrame) -> DataFrame:
-    """slots: value, seq; pieces: value, row. One row each (close: whether it is a piece), with hit: what it matches, hit_value."""
-    both = slots.select("value", F.lit(False).alias("close"), F.col("seq").alias("item")).unionAll(pieces.select("value", F.lit(True), F.col("row")))
+def _matched(slots: DataFrame, pieces: DataFrame, capacity: int) -> DataFrame:
+    """slots: value, seq, gap; pieces: value, row. Columns row, value, seq and offset (null where nothing matches) of each piece."""
+    both = slots.select("value", F.lit(False).alias("close"), F.col("seq").alias("item"), "gap")
+    both = both.unionAll(pieces.select("value", F.lit(True), F.col("row"), F.lit(0).cast("long")))
     both = both.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
     group = W.partitionBy("value", "close")
     sums = both.groupBy("value", "close", "salt").agg(F.count("*").alias("n"))
@@ -154,77 +188,92 @@ def _matched(slots: DataFrame, pieces: DataFrame) -> DataFrame:
     by_size = by_size.withColumn("depth", F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(down), F.lit(0)))
     base = sums.join(by_size, "value").select("value", "close", "salt", (F.col("depth") + F.when(F.col("close"), F.col("opens")).otherwise(0)).alias("depth"), "ahead")
     rank = F.row_number().over(W.partitionBy("value", "close", "salt").orderBy("item"))
-    placed = both.withColumn("rank", rank).join(base, ["value", "close", "salt"])
+    # base: 2 * capacity * SALTS rows at most
+    placed = both.withColumn("rank", rank).join(F.broadcast(base), ["value", "close", "salt"])
     order = F.col("ahead") + F.col("rank")
     level = F.when(F.col("close"), F.col("depth") - order + 1).otherwise(F.col("depth") + order)
-    at_level = W.partitionBy("level").orderBy(F.col("value").desc(), "close")
-    pair = F.when(F.col("close"), F.lag(F.struct("item", "value", "close")).over(at_level)).otherwise(F.lead(F.struct("item", "value", "close")).over(at_level))
-    fits = F.col("pair").isNotNull() & (F.col("pair.close") != F.col("close"))
-    return placed.withColumn("level", level).withColumn("pair", pair).select(
-        "close", "item", "value", F.when(fits, F.col("pair.item")).alias("hit"), F.when(fits, F.col("pair.value")).alias("hit_value")
-    )
+    before = F.lag(F.struct("item", "gap", "close")).over(W.partitionBy("level").orderBy(F.col("value").desc(), "close"))
+    hit = placed.withColumn("level", level).withColumn("pair", before).where("close").withColumn("slot", F.when(~F.col("pair.close"), F.col("pair")))
+    # pieces of one sequence stand one after the other; one without a match is alone
+    of_seq = W.partitionBy(F.coalesce("slot.item", -1 - F.col("item"))).orderBy("item")
+    offset = F.lit(capacity) - F.col("slot.gap") + F.sum("value").over(of_seq) - F.col("value")
+    return hit.select(F.col("item").alias("row"), "value", F.col("slot.item").alias("seq"), F.when(F.col("slot").isNotNull(), offset).alias("offset"))
+
+
+def _first_of(left: DataFrame, sizes: list[tuple[int, int]], new: int) -> DataFrame:
+    """left with a column opens: whether a piece is one of the `new` longest. sizes: value and number of pieces, longest first."""
+    for value, n in sizes:
+        if new <= n:
+            break
+        new -= n
+    longer = left.withColumn("opens", F.col("value") > value)
+    # among equals, so many in each salted group
+    salted = longer.where(F.col("value") == value).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    counts = dict(salted.groupBy("salt").count().collect())  # SALTS rows at most
+    quota, rest = {}, new
+    for salt, n in sorted(counts.items()):
+        quota[salt] = min(n, rest)
+        rest -= quota[salt]
+    of = F.element_at(F.create_map(*(F.lit(x) for s, q in quota.items() for x in (s, q))), F.col("salt"))
+    place = F.row_number().over(W.partitionBy("salt").orderBy("row"))
+    equal = salted.withColumn("opens", place <= of).drop("salt")
+    return longer.where(F.col("value") != value).unionByName(equal)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces: row (unique), length (1 to capacity). Columns row, sequence_id, offset."""
     spark = pieces.sparkSession
     pieces = pieces.select("row", F.col("length").alias("value"))
-    placed = pieces.where(F.col("value") > capacity // 2).select("row", F.col("row").alias("seq"), F.lit(0).cast("long").alias("offset"), "value")
+    folder, rounds = working_path(spark, "placed"), 0
+
+    def stored(found: DataFrame) -> DataFrame:
+        """Each round's pieces (row, value, seq, offset), in one folder for all rounds."""
+        nonlocal rounds
+        path, rounds = f"{folder}/round={rounds}", rounds + 1
+        found.write.parquet(path)
+        return spark.read.schema(found.schema).parquet(path)
+
+    zero = F.lit(0).cast("long")
+    placed = stored(pieces.where(F.col("value") > capacity // 2).select("row", "value", F.col("row").alias("seq"), zero.alias("offset")))
     # open sequences: seq, gap
     opened = placed.select("seq", (F.lit(capacity) - F.col("value")).alias("gap")).where("gap > 0")
-    done = [placed]
-    bound = capacity // 2
     sizes = pieces.groupBy("value").agg(F.count("*")).collect()  # a row for each length, `capacity` at most
+    bound = capacity // 2
     while bound >= 1:
         low = bound // 2 if bound > 64 else 0
         left = pieces.where((F.col("value") <= bound) & (F.col("value") > low))
-        band = [(v, m) for v, m in sizes if low < v <= bound]
-        n, words, top = sum(m for _, m in band), sum(v * m for v, m in band), max((v for v, _ in band), default=0)
-        band_words = words
-        while n:
+        band, room = sorted(((v, m) for v, m in sizes if low < v <= bound), reverse=True), None
+        while band:
+            words, top = sum(v * m for v, m in band), band[0][0]
+            begun = None
+            if room is not None and words > room:  # as many new sequences as fill up with what the open ones can't hold
+                ranked = _first_of(left, band, min(-(-(words - room) // capacity), sum(m for _, m in band)))
+                begun = ranked.where("opens").select("row", "value")
+                left = ranked.where("not opens").select("row", "value")
+                # the new ones' gaps count from their first piece on
+                opened = opened.unionAll(begun.select("row", (F.lit(capacity) - F.col("value")).alias("gap")))
             # top: the longest of what is left, which every slot but a sequence's last holds
             of_gap = F.greatest(F.lit(1), F.floor(F.col("gap") / top)).cast("int")
             slots = (
                 opened.where(F.col("gap") > low)
                 .select("seq", "gap", of_gap.alias("k"))
                 .withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k"))))
-                .select("seq", F.when(F.col("j") < F.col("k"), F.lit(top).cast("long")).otherwise(F.col("gap") - (F.col("k") - 1) * top).alias("value"))
+                .select("seq", "gap", F.when(F.col("j") < F.col("k"), F.lit(top).cast("long")).otherwise(F.col("gap") - (F.col("k") - 1) * top).alias("value"))
             )
-            # slots of one sequence need names of their own only to be ranked; equal ones are alike
-            found = saved(_matched(slots, left), "matched")
-            hits = found.where("close and hit is not null").select(F.col("item").alias("row"), F.col("hit").alias("seq"), "value")
-            inside = F.sum("value").over(W.partitionBy("seq").orderBy("row"))
-            hits = hits.withColumn("within", inside - F.col("value"))
-            hits = saved(hits.join(opened, "seq").select("row", "seq", (F.lit(capacity) - F.col("gap") + F.col("within")).alias("offset"), "value"), "hits")
-            left = found.where("close and hit is null").select(F.col("item").alias("row"), "value")
-            done.append(hits)
-            used = hits.groupBy("seq").agg(F.sum("value").alias("used"))
-            opened = opened.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0")
-            both = left.select("value", F.lit(True).alias("is_left")).unionAll(opened.where(F.col("gap") >= bound).select("gap", F.lit(False)))
-            of_left = F.when(F.col("is_left"), F.col("value"))
-            n, words, top, gaps = both.agg(F.count(of_left), F.sum(of_left), F.max(of_left), F.sum(F.when(~F.col("is_left"), F.col("value")))).first()
-            room = 0 if not n or words * 50 <= band_words else gaps or 0
-            if n and words > room:
-                # the longest of what is left open new sequences, as many as fill up with what the open ones can't hold
-                new = -(-(words - room) // capacity)
-                share = left.groupBy("value").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.orderBy(F.col("value").desc())) - F.col("n"))
-                ranked = left.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
-                counts = ranked.groupBy("value", "salt").agg(F.count("*").alias("m"))
-                counts = counts.withColumn("ahead", F.sum("m").over(W.partitionBy("value").orderBy("salt")) - F.col("m")).join(share.select("value", "before"), "value")
-                place = F.row_number().over(W.partitionBy("value", "salt").orderBy("row"))
-                ranked = ranked.withColumn("place", place).join(counts, ["value", "salt"]).withColumn("place", F.col("place") + F.col("ahead") + F.col("before"))
-                ranked = saved(ranked.select("row", "value", (F.col("place") <= new).alias("opens")), "ranked")
-                first = ranked.where("opens").select("row", F.col("row").alias("seq"), F.lit(0).cast("long").alias("offset"), "value")
-                done.append(first)
-                left = ranked.where("not opens").select("row", "value")
-                n -= min(new, n)
-                opened = opened.unionAll(first.select("seq", (F.lit(capacity) - F.col("value")).alias("gap")))
-            opened = saved(opened, "opened")
+            found = _matched(slots, left, capacity)
+            if begun is not None:
+                found = found.unionAll(begun.select("row", "value", F.col("row"), zero))
+            found = stored(found)
+            left = found.where("seq is null").select("row", "value")
+            used = found.where("seq is not null and offset > 0").groupBy("seq").agg(F.sum("value").alias("used"))
+            opened = saved(opened.join(used.hint("merge"), "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"), "opened")
+            both = left.select("value", F.lit(True).alias("is_left")).unionAll(opened.select("gap", F.lit(False)))
+            counts = both.groupBy("value", "is_left").agg(F.count("*").alias("n")).collect()  # 2 * capacity rows at most
+            band = sorted(((r.value, r.n) for r in counts if r.is_left), reverse=True)
+            room = sum(r.value * r.n for r in counts if not r.is_left and r.value >= bound)
         bound = low
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionAll(more)
-    return out.select("row", F.col("seq").alias("sequence_id"), "offset")
+    every = spark.read.schema(placed.schema).parquet(*(f"{folder}/round={i}" for i in range(rounds)))
+    return every.where("seq is not null").select("row", F.col("seq").alias("sequence_id"), "offset")
 
 
 def packed(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

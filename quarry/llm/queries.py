@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import line_dedup, mixing, topk
 from quarry.llm.common import fresh_path, table
 
-#: The tokenizers' vocabularies: a folder of public files.
-TOKENIZERS = "/opt/tokenizers"
+#: Vocabularies of public tokenizers: for counts, and for packed sequences.
+WORD_VOCABULARY, BYTE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole document; the cache starts empty, so that every distinct text is encoded."""
     from quarry.llm.token_counts import cached_counts
 
-    counts = cached_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", fresh_path(spark, "token-cache"))
+    counts = cached_counts(table(spark, sf_dir, "documents"), WORD_VOCABULARY, fresh_path(spark, "token-cache"))
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
@@ -48,7 +49,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every whole document and their places in sequences of 2048 tokens."""
     from quarry.llm.packing import packed
 
-    return packed(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json").withColumnRenamed("id", "doc_id")
+    return packed(table(spark, sf_dir, "documents"), BYTE_VOCABULARY).withColumnRenamed("id", "doc_id")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

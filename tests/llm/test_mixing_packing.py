@@ -121,6 +121,37 @@ def test_packing_of_equal_lengths_and_nothing(spark, nothing):
     assert packing.packed(nothing, BYTES).count() == 0
 
 
+def test_ranks_are_proven():
+    """Of the vocabulary at hand, and not of one in which a pair that isn't listed makes a token too."""
+    assert len(packing.mergeable_ranks(BYTES)) == 50_256
+    assert len(packing._bytes_of()) == 256 and sorted(packing._bytes_of().values()) == list(range(256))
+
+
+def test_unproven_vocabularies_go_to_the_library(tmp_path):
+    import json
+
+    spec = json.load(open(BYTES, encoding="utf-8"))
+    letters = sorted(packing._bytes_of(), key=lambda c: packing._bytes_of()[c])
+    base = {c: i for i, c in enumerate(letters)}
+    # "abc" is listed as a + bc, but ab comes first: encoded alone it ends as ab, c
+    small = spec | {"added_tokens": [], "model": spec["model"] | {"vocab": base | {"ab": 256, "bc": 257, "abc": 258}, "merges": [["a", "b"], ["b", "c"], ["a", "bc"]]}}
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps(small))
+    assert packing.mergeable_ranks(str(path)) is None
+    tokenizer, texts = Tokenizer.from_file(str(path)), ["abc x abc abcabc", "aabc bcabc"]
+    assert [x.tolist() for x in packing.token_ids([t.encode() for t in texts], str(path))] == [ids_of(tokenizer, t) for t in texts]
+
+
+def test_ids_of_random_texts():
+    import random
+
+    rng, tokenizer = random.Random(8), Tokenizer.from_file(BYTES)
+    signs = list("aabbeest'.,-19!\n\n  \t") + ["'s", "é", "Ж", "\xa0", "\u2003", "\U0001f600", "the", "²", "ª", "\xad", "\x1c", "<|endoftext|", ">", "中", "\u0301"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    found = packing.token_ids([t.encode() for t in texts], BYTES)
+    assert [x.tolist() for x in found] == [ids_of(tokenizer, t) for t in texts]
+
+
 def test_ids_of_odd_texts():
     tokenizer = Tokenizer.from_file(BYTES)
     texts = ["", " ", "  ", "a  b", "a \n b", "a\n b", "tab\t x", "it's I'll", "nbsp  x  y", " lead", "trail ", "<|endoftext|> x", "x<|endoftext|>", "é \U0001f600\U0001f600 12345 ab12", "\x1c a", "a\x85 b"]

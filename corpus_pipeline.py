@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import drop_tables, saved, scope, table
-from quarry.llm.queries import TOKENIZERS
+from quarry.llm.queries import BYTE_VOCABULARY
 
 #: A document stays if its quality score is at least this.
 LEAST_QUALITY = 0.7
@@ -83,7 +83,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every token's place in a sequence: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     from quarry.llm.packing import packed
 
-    return packed(docs, f"{TOKENIZERS}/byte_bpe_50k.json").withColumnRenamed("id", "doc_id")
+    return packed(docs, BYTE_VOCABULARY).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

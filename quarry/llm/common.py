@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -20,9 +21,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local runs, one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:  # a running session takes no new value for it
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="quarry-")
@@ -70,6 +73,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name in sums, the sum of that column over all rows before a row in the given order. Rows go by ranges of
+    the order to partitions; one row of sums for each partition is all that one task sees."""
+    given = [f"order{i}" for i in range(len(order))]
+    ranged = df.select("*", *(o.alias(n) for o, n in zip(order, given)), *(c.alias(f"{n} of row") for n, c in sums.items()))
+    up = [F.col(n).asc_nulls_last() for n in given]
+    ranged = saved(ranged.repartitionByRange(*up).withColumn("range", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("range").agg(*(F.sum(f"{n} of row").alias(f"{n} of range") for n in sums))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range", *(F.coalesce(F.sum(f"{n} of range").over(earlier), F.lit(0)).alias(f"{n} of range") for n in sums))
+    inside = Window.partitionBy("range").orderBy(*up).rowsBetween(Window.unboundedPreceding, -1)
+    own = {n: F.coalesce(F.sum(f"{n} of row").over(inside), F.lit(0)) for n in sums}
+    return ranged.withColumns({f"{n} inside": c for n, c in own.items()}).join(F.broadcast(totals), "range").select(
+        *(f"`{c}`" for c in df.columns), *((F.col(f"{n} inside") + F.col(f"{n} of range")).alias(n) for n in sums)
+    )
+
+
 def whole(text: str = "text") -> Column:
     """The text, with null read as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -1,28 +1,31 @@
 """Removal of lines that many documents share, over levelled sorted runs of line hashes, in DataFrame functions.
 
 A line's key is the line without ASCII white space at both ends, A-Z lower-cased; keys shorter than min_chars code points don't
-count. Keys stand as 128-bit hashes. Batches of documents come in descending order of their ids. Each batch's keys are counted,
-keys that the runs already settle (found in min_docs documents, so that neither their fate nor the document that keeps them can
-change) go by a merge anti-join, and the rest are written as a new sorted run. Whenever a level holds `fanout` runs, they are
-merged into one of the next level. The merged runs then tell which keys lose their lines in all documents but the largest id's.
+count. Keys stand as 128-bit hashes. Batches of documents come in descending order of their ids. Each batch's keys are counted, keys that
+a run already settles (found in min_docs documents, so that neither their fate nor the document that keeps them can change) go by
+a merge anti-join with each run, and the rest are written as a new sorted run. Whenever a level holds two runs, they are merged
+into one of the next level, and in the end all into one, which tells which keys lose their lines in all documents but the largest
+id's.
+
+A run is a table bucketed and sorted by the hash, with a bucket for each shuffle partition. Anti-joins and merges (full outer merge
+joins of two runs) read buckets beside each other and write them back as they are: only a batch's own new keys are shuffled.
 
 A key that most documents share is summed before each shuffle and is one row of a run; a document's lines are matched as rows
 (document, key) and come back as the document's own short list.
 
 Defined results: null and empty texts are one empty line; every row is a document, so that a repeated row counts again and rows
-with the same id keep a line together; a null id is smaller than every other; an empty table gives an empty result; the input's
+with the same id keep a line together (in the SQL as well); ids are of any type that can be ordered; a null id is smaller than every other; an empty table gives an empty result; the input's
 columns are carried inside one struct, so that clashing names do no harm.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_path, saved, whole
+from quarry.llm.common import drop_tables, saved, whole, working_path
 
 BLANK, UPPER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -44,62 +47,89 @@ class LineRuns:
 
     spark: SparkSession
     min_docs: int = 5
-    fanout: int = 2
     levels: list[list[str]] = field(default_factory=list)
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        path = fresh_path(self.spark, f"run{level}")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.repartition(parts, "h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
+        """rows: dealt by the hash to as many partitions as there are buckets."""
+        path = working_path(self.spark, f"run{level}")
+        name = f"run_{path[-32:]}"
+        rows.write.bucketBy(self._parts(), "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(f"{name} {path}")
+
+    def _parts(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _read(self, run: str) -> DataFrame:
+        return self.spark.table(run.split(" ")[0])
 
-    def _merge(self, paths: list[str]) -> DataFrame:
-        every = reduce(DataFrame.unionAll, [self.spark.read.parquet(p) for p in paths])
-        return every.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+    def _merged(self, one: str, other: str) -> DataFrame:
+        a, b = (self._read(r).select("h1", "h2", *(F.col(c).alias(f"{c} {i}") for c in ("n", "keeper"))) for i, r in enumerate((one, other)))
+        n = F.coalesce("n 0", F.lit(0)) + F.coalesce("n 1", F.lit(0))
+        return a.hint("merge").join(b, ["h1", "h2"], "full_outer").select("h1", "h2", n.alias("n"), F.greatest("keeper 0", "keeper 1").alias("keeper"))
 
-    def _delete(self, paths: list[str]) -> None:
-        for p in paths:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+    def _delete(self, runs: list[str]) -> None:
+        for r in runs:
+            name, path = r.split(" ", 1)
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_tables(self.spark, [path])
 
-    def settled(self) -> DataFrame | None:
-        """Keys in at least min_docs documents, each with its keeper."""
-        paths = [p for level in self.levels for p in level]
-        return self._merge(paths).where(F.col("n") >= self.min_docs) if paths else None
+    def _compact(self, level: int, runs: list[str]) -> None:
+        self._write(self._merged(*runs), level + 1)
+        self._delete(runs)
 
     def add(self, keys: DataFrame) -> None:
         """keys: a batch's rows (id, h1, h2), one for each key of a document; ids not above those of earlier batches."""
-        new = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
-        if (known := self.settled()) is not None:
-            new = new.join(known.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        new = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).repartition(self._parts(), "h1", "h2")
+        for run in (r for level in self.levels for r in level):
+            known = self._read(run).where(F.col("n") >= self.min_docs).select("h1", "h2")
+            new = new.join(known.hint("merge"), ["h1", "h2"], "left_anti")
         self._write(new, 0)
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            paths, self.levels[level] = self.levels[level], []
-            self._write(self._merge(paths), level + 1)
-            self._delete(paths)
+        while len(self.levels[level]) > 1:
+            runs, self.levels[level] = self.levels[level], []
+            self._compact(level, runs)
             level += 1
 
+    def settled(self) -> DataFrame:
+        """Merges all runs into one, and gives the keys in at least min_docs documents, each with its keeper."""
+        runs = [(level, r) for level, own in enumerate(self.levels) for r in own]
+        self.levels = []
+        while len(runs) > 1:
+            (_, one), (level, other), *rest = runs
+            self._compact(level, [one, other])
+            runs = [(level + 1, self.levels.pop().pop()), *rest]
+            self.levels = []
+        self.levels = [[r for _, r in runs]]
+        return self._read(runs[0][1]).where(F.col("n") >= self.min_docs)
+
+    def clear(self) -> None:
+        for level in self.levels:
+            self._delete(level)
+        self.levels = []
+
 
 def without_repeated_lines(
-    df: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2
+    df: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4
 ) -> DataFrame:
     """Columns row (a struct of the columns `carry`), text (what is left), n_lines, n_dropped."""
     docs = df.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), whole(text_col).alias("text"))
     long_lines = F.filter(F.split("text", "\n", -1), lambda x: F.char_length(F.btrim(x, F.lit(BLANK))) >= min_chars)
     of_doc = F.explode(F.array_distinct(F.transform(long_lines, key_hash)))
     keys = saved(docs.select("id", of_doc.alias("k")).select("id", "k.h1", "k.h2"), "line-keys")
-    ends = keys.where("id is not null").approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    runs, above = LineRuns(df.sparkSession, min_docs, fanout), None
-    for end in [*sorted({int(x) for x in ends}, reverse=True), None]:
-        batch = keys if above is None else keys.where((F.col("id") < above) | F.col("id").isNull())
+    # the least id of each of `batches` ranges: that many rows
+    ranges = docs.where(F.col("id").isNotNull()).select("id").repartitionByRange(batches, "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("least"))
+    ends = sorted({r.least for r in ranges.collect()}, reverse=True)[:-1]
+    runs, above, as_id = LineRuns(df.sparkSession, min_docs), None, docs.schema["id"].dataType
+    for end in [*ends, None]:
+        batch = keys if above is None else keys.where((F.col("id") < F.lit(above).cast(as_id)) | F.col("id").isNull())
         if end is not None:
-            batch = batch.where(F.col("id") >= end)
+            batch = batch.where(F.col("id") >= F.lit(end).cast(as_id))
         runs.add(batch)
         above = above if end is None else end
     repeated = saved(runs.settled(), "repeated")  # a side of its own, so that adaptive execution can split a hot key's rows
+    runs.clear()
     elsewhere = ~F.col("id").eqNullSafe(F.col("keeper"))
     drops = keys.join(repeated, ["h1", "h2"]).where(elsewhere).groupBy(F.col("id").alias("of")).agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
     lines = F.split("text", "\n", -1)
@@ -114,15 +144,17 @@ def without_repeated_lines(
     )
 
 
+#: The same in SQL; every row is a document of its own, as above.
 ORACLE = r"""
-WITH l AS (
-  SELECT doc_id, line, place, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
+l AS (
+  SELECT n, doc_id, line, place, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents)),
-k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT l.doc_id, line, place, k.key IS NOT NULL AND l.doc_id <> keeper AS gone FROM l LEFT JOIN k USING (key))
+  FROM (SELECT n, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM d)),
+k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT n) >= 5),
+m AS (SELECT l.n, l.doc_id, line, place, k.key IS NOT NULL AND l.doc_id IS DISTINCT FROM keeper AS gone FROM l LEFT JOIN k USING (key))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY n, doc_id
 """

@@ -4,28 +4,28 @@ Sources, ordered by code point with null last, have the weights 3, 1, 2, repeati
 target stops at `most` times its size; what is cut is shared by weight among the others until none is above: each target is
 least(most * size, level * weight) for one level, found from the sources ordered by size over weight.
 
-Each document draws an exponential key, -ln(u) / quality, with u from MD5 of its id and the seed, and with quality the share of
-distinct words (1 for no words); smaller keys come first. A source's target is met by complete epochs, then by its documents in
-key order until the rest of its words is used up. The last one is cut there, or, with whole=True, taken if at least half fits.
+Each document draws an exponential key, -ln(u) / quality, with u from MD5 of its id (of its text, if it has none) and the seed.
+Quality, unless the caller names a column of weights, is the share of distinct words (1 for no words), a stand-in that falls with
+length and repetition. Smaller keys come first. A source's target is met by complete epochs, then by its documents in key order
+until the rest of its words is used up. The last one is cut there, or, with whole_documents=True, taken if at least half fits.
 
-The order within a source is a prefix sum over 1024 bins of the keys (a bound however many documents a source has) and over the
-rows of each bin, so that one source that holds most rows is spread over all tasks. The table of sources (a row each) is handled
-in one task; nothing else is.
+What stands before a document in its source is a prefix sum over ranges of (source, key), as many as Spark makes of them, so that
+one source that holds most rows is spread over all tasks whatever its keys are. The targets' sums over sources are made in the
+same way. Only slim rows are sorted; the columns carried join them by row number at the end.
 
 Defined results: null text has size 0, takes nothing; null sources form one source; equal keys are ordered by id, then size; rows
-that repeat share a key and stand next to each other; a null id draws as the empty text; an empty table gives an empty result; the
-input's columns are carried inside one struct, so that clashing names do no harm.
+that repeat share a key and stand next to each other; weights that are null or not above 0 count as 1; an empty table gives an
+empty result; the input's columns are carried inside one struct, so that clashing names do no harm.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from quarry.llm.common import WORD, saved, whole
+from quarry.llm.common import WORD, prefix_sums, saved, whole
 
-WEIGHTS, BINS = (3, 1, 2), 1024
+WEIGHTS = (3, 1, 2)
 
 
 def words_of(text_col: str) -> Column:
@@ -34,69 +34,62 @@ def words_of(text_col: str) -> Column:
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """sizes: columns source, source_size, a row each. Adds target and the whole number of words to take, budget."""
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((place - 1) % len(weights) + 1).cast("int"))
-    every = W.partitionBy()
-    up = W.orderBy("ratio", F.col("source").asc_nulls_last())
+    placed = prefix_sums(sizes, [F.col("source")], {"place": F.lit(1), "start": F.col("source_size")})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     cap = F.col("source_size") * F.lit(float(most))
-    return (
-        sizes.withColumn("weight", weight)
-        .withColumn("cap", cap)
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("weights", F.sum("weight").over(up.rowsBetween(W.currentRow, W.unboundedFollowing)))
-        .withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
-        .withColumn("level", (F.col("total") - F.col("capped")) / F.col("weights"))
-        .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
-        .withColumn("target", F.least("cap", F.col("level") * F.col("weight")))
-        .select("source", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("budget"))
-    )
+    placed = placed.withColumn("weight", weight).withColumn("cap", cap).withColumn("ratio", F.col("cap") / F.col("weight"))
+    up = prefix_sums(placed, [F.col("ratio"), F.col("source")], {"capped": F.col("cap"), "passed": F.col("weight")})
+    words, weight_of_all = placed.agg(F.sum("source_size"), F.sum("weight")).first()  # one row of totals
+    # the level: of all sources that the sources before them, filled up, leave room for, the highest
+    level = (F.lit(float((words or 0) * share)) - F.col("capped")) / (F.lit(weight_of_all or 0) - F.col("passed"))
+    highest = up.withColumn("level", level).agg(F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level")))).first()[0]
+    return placed.withColumn("target", F.least("cap", F.lit(highest).cast("double") * F.col("weight"))).select(
+        "source", "source_size", "start", "target", F.floor(F.col("target") + 0.5).cast("long").alias("budget")
+    )
 
 
 def mix(
     df: DataFrame, carry: list[str], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-    seed: int = 7, share: float = 1.5, most: float = 2.0, whole_documents: bool = False,
+    seed: int = 7, share: float = 1.5, most: float = 2.0, whole_documents: bool = False, quality_col: str | None = None,
 ) -> DataFrame:
     """Columns row (a struct of the columns `carry`), source, size, source_size, target, taken (words, repeats counted)."""
     words = words_of(text_col)
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10)
+    own = F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit(""))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), own)), 1, 13), 16, 10)
+    weight = F.lit(None) if quality_col is None else F.when(F.col(quality_col) > 0, F.col(quality_col).cast("double")).otherwise(1.0)
+    given = ("source", "id", "size", "key")
     docs = (
-        df.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("words"), drawn.cast("long").alias("drawn"))
+        df.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.alias("words"), drawn.cast("long").alias("drawn"), weight.alias("weight"))
         .withColumn("size", F.size("words").cast("long"))
-        .withColumn("quality", F.when(F.col("size") == 0, 1.0).otherwise(F.size(F.array_distinct("words")) / F.col("size")))
+        .withColumn("quality", F.coalesce("weight", F.when(F.col("size") == 0, 1.0).otherwise(F.size(F.array_distinct("words")) / F.col("size"))))
         .withColumn("key", -F.log((F.col("drawn") + 0.5) / F.lit(float(1 << 52))) / F.col("quality"))
-        .withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int"))
-        .select("row", "id", "source", "size", "key", "bin")
+        .select("row", F.monotonically_increasing_id().alias("n"), *given)
     )
     docs = saved(docs, "mix")
-    bins = docs.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    plan = source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), share, most)
-    earlier = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.select("source", "bin", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)).alias("bins_before"))
-    known = bins.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
-        F.col("source").alias("of"), F.col("bin").alias("of_bin"), "bins_before", "source_size", "target", "budget"
-    )
-    inside = W.partitionBy("source", "bin").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("bins_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    epochs = F.coalesce(F.expr("try_divide(budget, source_size)"), F.lit(0.0))
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size")
-    room = F.col("rest") - F.col("before")
+    plan = saved(source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), share, most), "targets")
+    # rows without words take nothing and stand before nobody: they need no place
+    placed = prefix_sums(docs.where("size > 0").select("n", *given), [F.col(c) for c in ("source", "key", "id", "size")], {"before": F.col("size")})
+    epochs = F.floor(F.coalesce(F.expr("try_divide(budget, source_size)"), F.lit(0.0))).cast("long")
+    room = F.col("rest") - (F.col("before") - F.col("start"))
     more = F.when(room * 2 >= F.col("size"), F.col("size")).otherwise(0) if whole_documents else F.greatest(F.lit(0), F.least("size", room))
-    return (
-        docs.join(known, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("of_bin")))
-        .withColumn("before", before)
-        .withColumn("epochs", F.floor(epochs).cast("long"))
-        .withColumn("rest", rest)
-        .withColumn("taken", (F.col("epochs") * F.col("size") + more).cast("long"))
-        .select("row", "source", "size", "source_size", "target", "taken")
+    taken = (
+        placed.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        .withColumn("epochs", epochs)
+        .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
+        .select("n", (F.col("epochs") * F.col("size") + more).cast("long").alias("taken"))
     )
+    return (
+        docs.select("row", "n", "source", "size").join(taken, "n", "left")
+        .join(plan.select(F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of")))
+        .select("row", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    )
 
 
 #: The same in SQL: the order of a source's documents by one window, its targets by the same level.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-         ('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT AS drawn
+         ('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13))::BIGINT AS drawn
   FROM documents),
 e AS (
   SELECT doc_id, source, len(words)::BIGINT AS size,

@@ -1,7 +1,10 @@
 """Token counts of whole texts, kept in a cache of digests.
 
-Every text has a key: SHA-256 of its normalised content, and SHA-256 of the tokenizer's file. Counts found in the cache under
-that key are joined; of the texts that are missing, one of each content is encoded, and its count is appended to the cache.
+Every text has a key: SHA-256 of its normalised content, and SHA-256 of the tokenizer's file. (Null is read as the empty text; any
+other change of the content could change its tokens.) Counts found in the cache under that key are joined; of the texts that are
+missing, one of each content is encoded, and its count is appended to the cache. Texts are reduced to one of each content before
+they are shuffled, so that a content that a third of all rows share is one row of each task; rows then get their counts by a join
+of digests, whose hot keys adaptive execution can split.
 
 Encoding a text is a sum over its blank-separated pieces, because the pre-tokenizer's pattern never crosses white space: pieces
 that repeat are looked up, the others go to the tokenizers library. The lookup table holds at most MEMO pieces a worker.
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import as_bytes, whole
+from quarry.llm.common import as_bytes, saved, whole
 
 #: Pieces whose counts a Python worker keeps, and texts encoded by one call.
 MEMO, TOGETHER = 300_000, 20_000
@@ -78,19 +81,17 @@ def cached_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     folder = spark._jvm.org.apache.hadoop.fs.Path(own)
     exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     keyed = _keyed(docs, id_col, text_col)
-    first = keyed.groupBy("digest").agg(F.min("id").alias("first_id"))
+    missing = keyed.groupBy("digest").agg(F.any_value("text").alias("text"))
     if exists:
-        first = first.join(spark.read.schema(schema).parquet(own), "digest", "left_anti")
-    one = first.select(F.col("digest").alias("first_digest"), "first_id").hint("shuffle_hash")
-    missing = keyed.join(one, (keyed.digest == one.first_digest) & keyed.id.eqNullSafe(one.first_id), "left_semi")
+        missing = missing.join(spark.read.schema(schema).parquet(own), "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = counts_of(as_bytes(batch.column("text")), tokenizer_path)
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
-    encoded = missing.select("digest", "text").mapInArrow(encode, schema)
-    encoded.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(own)
-    counts = spark.read.schema(schema).parquet(own).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    missing.select("digest", "text").mapInArrow(encode, schema).write.mode("append").parquet(own)
+    # one count of each digest, should two runs have appended it at once
+    counts = saved(spark.read.schema(schema).parquet(own).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     sizes = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return sizes.join(counts, "digest").select("id", "digest", "n_bytes", "n_tokens")

@@ -55,6 +55,38 @@ def test_line_dedup_equals_sql(spark, data):
     assert sorted(mine) == sorted(con.execute(line_dedup.ORACLE).fetchall())
 
 
+def test_line_dedup_of_repeated_rows_and_other_ids(spark, awkward):
+    """Repeated rows and ids count one by one, in the SQL as well; ids may be texts."""
+    con = duckdb.connect()
+    con.register("documents", awkward.select("doc_id", "text").toArrow())
+    mine = [(str(r.row.doc_id), r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in line_dedup.without_repeated_lines(awkward, ["doc_id"]).collect()]
+    assert sorted(mine) == sorted((str(a), *b) for a, *b in con.execute(line_dedup.ORACLE).fetchall())
+    line = "a line of more than forty code points, in five rows"
+    rows = [("b", line), ("b", line), ("b", line), ("a", line), ("c", line + "\nown"), (None, line), ("d", "other")]
+    found = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id string, text string"), ["doc_id"])
+    assert sorted((str(r.row.doc_id), r.text) for r in found.collect()) == [("None", ""), ("a", ""), ("b", ""), ("b", ""), ("b", ""), ("c", line + "\nown"), ("d", "other")]
+
+
+def test_runs_are_merged_without_a_shuffle(spark):
+    """Of a merge of runs, and of a batch against them, only the batch's own keys are exchanged; ids of any type."""
+    for kind in ("long", "string"):
+        runs = line_dedup.LineRuns(spark)
+        keys = spark.range(1000).selectExpr(f"cast(id as {kind}) as id", "id % 10 AS h1", "id % 10 AS h2")
+        counted = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).repartition(4, "h1", "h2")
+        runs._write(counted, 0)
+        runs._write(counted, 0)
+        merged = runs._merged(*runs.levels[0])
+        assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.n for r in merged.collect()) == [200] * 10
+        batch = keys.groupBy("h1", "h2").count()
+        for run in runs.levels[0]:
+            batch = batch.join(runs._read(run).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        assert batch._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and batch.count() == 0
+        assert sorted(r.n for r in runs.settled().collect()) == [200] * 10
+        runs.clear()
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
 def print_of(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text or ""))
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []

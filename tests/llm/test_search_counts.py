@@ -22,15 +22,13 @@ def vectors(spark):
 def brute(rows, k=10):
     import math
 
-    good = [(r.vec_id, [math.floor(1024 * x) for x in r.embedding]) for r in rows if r.vec_id is not None and r.embedding is not None and all(x is not None and math.isfinite(x) for x in r.embedding)]
-    queries = {}
-    for i, v in good:
-        if i % 100 == 0:
-            queries[i] = min(v, queries.get(i, v))
+    most = (1 << 63) - 1
+    good = [(r.vec_id, [max(-most - 1, min(most, math.floor(1024 * x))) for x in r.embedding]) for r in rows if r.vec_id is not None and r.embedding is not None and all(x is not None and math.isfinite(x) for x in r.embedding)]
     out = []
-    for q, v in queries.items():
-        found = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    for n, (q, v) in enumerate(good):
+        if q % 100 == 0:
+            found = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(v, w)))), i) for m, (i, w) in enumerate(good) if m != n)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)
 
 
@@ -40,11 +38,21 @@ def test_topk(spark):
     for block in (topk.BLOCK, 3):
         found = topk.top_inner_products(df, F.col("id") % 100 == 0, block=block)
         assert sorted(map(tuple, found.collect())) == expect
-    large = df.withColumn("embedding", F.transform("embedding", lambda x: x * 1e4))  # sums beyond exact doubles
-    assert sorted(map(tuple, topk.top_inner_products(large, F.col("id") % 100 == 0).collect())) == brute(large.collect())
+    for times in (1e4, 3e6, 1e12, 1e300):  # sums beyond exact doubles, then beyond 64 bits
+        large = df.withColumn("embedding", F.transform("embedding", lambda x: x * times)).cache()
+        assert sorted(map(tuple, topk.top_inner_products(large, F.col("id") % 100 == 0).collect())) == brute(large.collect())
     assert topk.top_inner_products(df.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+def test_topk_equals_sql(spark):
+    import duckdb
+
+    df = vectors(spark).where("vec_id < 950 or vec_id = 951").repartition(3)  # lists of one length, as the SQL needs
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    assert sorted(map(tuple, topk.top_inner_products(df, F.col("id") % 100 == 0).collect())) == sorted(con.execute(topk.ORACLE).fetchall())
+
+
 def test_token_counts(spark, awkward, nothing, data, tmp_path):
     tokenizer = Tokenizer.from_file(WORDS)
     for docs in (awkward, spark.read.parquet(f"{data}/documents.parquet")):

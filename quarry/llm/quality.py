@@ -5,7 +5,7 @@ learns them: in turn, each feature's (then each pair's) table gains a small step
 the logistic loss. Scoring adds one entry of each table, by vectorised indexing, and takes the logistic function.
 
 Features are counts of kinds of bytes and of words, made from whole texts. They are written once, slim, so that no text is ever
-shuffled. The model learns from a bounded sample of the labelled rows (`max_rows`, drawn by a hash of the id); they are the only
+shuffled. The model learns from a bounded sample of the labelled ids (`max_rows`, those with the least hashes); they are the only
 rows that reach the driver. It is a few thousand numbers, whatever the input's size.
 
 Defined results: null text counts as empty and gets a score; null labels teach nothing, repeated labels of an id count as the
@@ -219,9 +219,10 @@ def quality_scores(
     made = saved(rows.mapInArrow(extract, schema), "features")
     teach = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.min(label_col).alias("label"))
     teach = teach.where(crc_remainder("of", held_out[0]) != held_out[1])
-    share = min(1.0, max_rows / max(1, teach.count()))
-    teach = teach.where(F.pmod(F.xxhash64("of"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    taught = made.join(teach, F.col("id") == F.col("of")).select("id", "features", "label").limit(2 * max_rows).toPandas().sort_values("id", kind="stable")
+    # one row of each labelled id, repeated ids with their least features; of more than max_rows, those with the least hashes
+    labelled = made.join(teach, F.col("id") == F.col("of")).groupBy("id").agg(F.min("features").alias("features"), F.min("label").alias("label"))
+    drawn = labelled.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    taught = drawn.toPandas().sort_values("id", kind="stable")
     x = np.array(taught["features"].tolist(), float).reshape(-1, len(FEATURES))
     model = fit(x, (taught["label"].to_numpy(float) > 0.5).astype(float))
 

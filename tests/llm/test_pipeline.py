@@ -85,3 +85,29 @@ def test_pack(kept):
 def test_run(spark, data, kept):
     key = lambda df: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert key(corpus_pipeline.run(spark, data)) == key(kept[4][1])
+
+
+def test_run_leaves_only_its_result(spark, data):
+    from quarry.llm.common import shared_folder
+
+    import glob
+
+    before = set(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/quarry/*"))
+    corpus_pipeline.run(spark, data).count()
+    left = set(glob.glob(f"{shared_folder(spark).removeprefix('file://')}/quarry/*")) - before
+    assert [x for x in left if "/stage" not in x] == [] and len(left) == 1
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_awkward_documents_in_every_stage(spark, data, awkward, nothing, empty):
+    """Nulls, repeated rows, long texts and clashing columns, or no rows at all, through stages that aren't stored in between."""
+    docs, columns = (nothing, nothing.columns) if empty else (awkward, awkward.columns)
+    steps = dict(corpus_pipeline.STAGES)
+    for name in ("quality classifier", "line dedup", "SimHash near-dedup", "mixing sources to target weights"):
+        made = steps[name](spark, docs, data)
+        assert made.columns == columns and (made.count() == 0) == (empty or made.count() == 0)
+        if name in ("line dedup", "SimHash near-dedup"):
+            assert empty or made.count() > 0
+            docs = made  # two stages in a row, lazily
+    packed = steps["best-fit packing"](spark, docs, data)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").distinct().collect()}

@@ -2,12 +2,18 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between stages
 the documents are written as Parquet and read again, so that a lost executor costs no more than the stage at hand.
+
+A stage's result may be read from working tables in the shared folder. They stay as long as the caller needs them: `scope()` of
+quarry.llm.common collects their paths, and `drop_tables` removes them, as `run` does for each stage once its result is stored.
+
+Defined results: documents with null, empty or repeated ids and texts go through every stage row by row, as the operators say; an
+empty table gives an empty result; columns beside doc_id, text and source are carried along whatever their names are (n_chars, if
+there is one, is counted anew where lines go).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,25 +25,8 @@ from quarry.llm.queries import BYTE_VOCABULARY
 LEAST_QUALITY = 0.7
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Working tables of the stage before, by the folder of the input: they go when the next stage begins, as its input is stored by then.
-_working: dict[str, list[str]] = {}
-
-
-def stage(f: Stage) -> Stage:
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        before = _working.pop(sf_dir, [])
-        if f.__name__ != "keep_quality":  # what another run's last stage left may still be read
-            drop_tables(spark, before)
-        with scope() as paths:
-            out = f(spark, docs, sf_dir)
-        _working[sf_dir] = paths
-        return out
-
-    return run_stage
 
 
-@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, taught by the labels beside them, doesn't reject."""
     from quarry.llm.quality import quality_scores
@@ -46,7 +35,6 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
-@stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many share; n_chars is counted anew. No document goes."""
     from quarry.llm.line_dedup import without_repeated_lines
@@ -56,7 +44,6 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
-@stage
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that SimHash links, the row with the smallest id (null last, repeated rows one by one)."""
     from quarry.llm.simhash import near_copies
@@ -68,7 +55,6 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
-@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, as often as the mix of sources takes them."""
     from quarry.llm.mixing import mix
@@ -78,7 +64,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select("row", copies.alias("copy")).select("row.*")
 
 
-@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token's place in a sequence: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     from quarry.llm.packing import packed
@@ -99,10 +84,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. Only the stored result stays in the shared folder."""
+    docs, given = table(spark, sf_dir, "documents"), []
     for i, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = saved(docs, f"stage{i + 1}")
+        with scope() as working:
+            made = step(spark, docs, sf_dir)
+        with scope() as stored:
+            docs = saved(made, f"stage{i + 1}")
+        drop_tables(spark, [*working, *given])
+        given = stored
     return docs

@@ -118,9 +118,10 @@ def without_repeated_lines(
     long_lines = F.filter(F.split("text", "\n", -1), lambda x: F.char_length(F.btrim(x, F.lit(BLANK))) >= min_chars)
     of_doc = F.explode(F.array_distinct(F.transform(long_lines, key_hash)))
     keys = saved(docs.select("id", of_doc.alias("k")).select("id", "k.h1", "k.h2"), "line-keys")
-    # the least id of each of `batches` ranges: that many rows
+    # the least id of each range of ids, of which every so many begin a batch: a row for each partition
     ranges = docs.where(F.col("id").isNotNull()).select("id").repartitionByRange(batches, "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("least"))
-    ends = sorted({r.least for r in ranges.collect()}, reverse=True)[:-1]
+    least = sorted(r.least for r in ranges.collect())
+    ends = sorted({least[len(least) * i // batches] for i in range(1, batches)} - {*least[:1]}, reverse=True) if least else []
     runs, above, as_id = LineRuns(df.sparkSession, min_docs), None, docs.schema["id"].dataType
     for end in [*ends, None]:
         batch = keys if above is None else keys.where((F.col("id") < F.lit(above).cast(as_id)) | F.col("id").isNull())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,24 +30,44 @@ def inn_valid(text: Column) -> Column:
     )
 
 
+#: Fixed value: a bank's code is 04, a region of three digits above 0, and a branch of four digits, 0 or from 50 on.
+BIK = r"^04(?!000)\d{3}(0000|00[5-9]\d|0[1-9]\d\d|[1-9]\d{3})$"
+
+
+def digits(text: Column) -> Column:
+    return F.regexp_replace(text, r"\D", "")
+
+
 def bik_valid(text: Column) -> Column:
-    return text.rlike(r"^04\d{7}$") & (F.substring(text, 7, 3).try_cast("int").isNotNull())
+    """Whether the digits are a bank's code; null for null."""
+    return digits(text).rlike(BIK)
 
 
 def kpp_valid(text: Column) -> Column:
-    return text.rlike(r"^\d{4}[\dA-Z]{2}\d{3}$")
+    return F.trim(text).rlike(r"^\d{4}[\p{L}\d]{2}\d{3}$")
 
 
 def account_valid(account: Column, bik: Column) -> Column:
-    """The control key of 20 digits together with the bank's last three digits: weights 7, 1, 3, each product modulo 10."""
-    joined = F.concat(F.substring(bik, 7, 3), account)
-    return F.when(account.rlike(r"^\d{20}$") & bik_valid(bik), _weighted(joined, (7, 1, 3) * 7 + (7, 1), each_mod=10) % 10 == 0).when(account.isNotNull() & bik.isNotNull(), False)
+    """The control key of 20 digits: behind the last three digits of the bank's code (accounts of clients), or behind 0 and its
+    fifth and sixth digit (accounts of banks), weights 7, 1, 3 in turn add up to a multiple of ten. Null for null."""
+    own, bank = digits(account), digits(bik)
+    fits = lambda prefix: _weighted(F.concat(prefix, own), ((7, 1, 3) * 8)[:23]) % 10 == 0
+    either = fits(F.substring(bank, 7, 3)) | fits(F.concat(F.lit("0"), F.substring(bank, 5, 2)))
+    return F.when(own.rlike(r"^\d{20}$") & bank.rlike(r"^\d{9}$"), either).when(account.isNotNull() & bik.isNotNull(), False)
+
+
+#: Rates of value added tax.
+RATES = (0.2, 0.1)
 
 
 def total_fits(lines: Column, tax: Column, total: Column, share: float = 0.01) -> Column:
-    """The total is the sum of the lines, with the tax or without, or of lines that hold it, within max(1, 1 %)."""
-    room = F.greatest(F.lit(1.0), F.abs(total) * share)
-    return (F.abs(lines + F.coalesce(tax, F.lit(0.0)) - total) <= room) | (F.abs(lines - total) <= room) | (F.abs(lines - F.coalesce(tax, F.lit(0.0)) - total) <= room)
+    """Whether the sum of the lines, the tax and the total go together within max(1, 1 %): the tax on top; or lines that hold it,
+    at one of the rates; or the tax and the total that follow from a rate. False if one of them is missing."""
+    room = F.greatest(F.lit(1.0), F.abs(F.when(total != 0, total).otherwise(lines)) * share)
+    near = lambda a, b: F.abs(a - b) <= room
+    held = [near(lines, total) & near(tax, total * r / (1 + r)) for r in RATES]
+    derived = [near(tax, lines * r) & near(total, lines * (1 + r)) for r in RATES]
+    return F.coalesce(reduce(or_, [near(lines + tax, total), *held, *derived]), F.lit(False))
 
 
 def confidence(value: Column, verified: Column, ambiguous: Column, prior: float = 0.95) -> Column:
@@ -57,7 +80,11 @@ def money(value: Column, digits: int = 2) -> Column:
     return F.translate(F.format_number(value, digits), ",.", " ,")
 
 
+#: Letters taken for digits, and the digits.
+LOOK_ALIKES = ("OoОоlIЗзБ", "000011336")
+
+
 def repaired_digits(text: Column, valid) -> Column:
     """Look-alikes as digits, if only then the check passes."""
-    fixed = F.translate(text, "OoОоlIЗзБ", "000011336")
+    fixed = F.translate(text, *LOOK_ALIKES)
     return F.when(F.coalesce(valid(text), F.lit(False)), text).when(F.coalesce(valid(fixed), F.lit(False)), fixed).otherwise(text)

@@ -69,26 +69,35 @@ def russian_number(text: Column) -> Column:
     )
 
 
-#: Strings that try to give orders to a model that reads the text.
+#: Strings that try to give orders to a model that reads the text, without regard to case.
 INJECTIONS = (
-    r"ignore (all )?(previous|prior|above) instructions", r"disregard (all )?(previous|prior|above)", r"you are now (a|an) ", r"system prompt",
-    r"reveal your (instructions|prompt)", r"do anything now", r"</?(system|assistant)>", r"act as (a|an) ",
+    r"ignore\s+(previous|all|above)\s+instructions?", r"you\s+are\s+now\s+(?:a|an|the)?\s*\w+\s+without\s+restrictions?", r"<\s*system\s*>",
+    r"\[INST\]|\[/?SYS\]|<<SYS>>", r"###\s*System\s*:", r"ASSISTANT\s*:\s*(?:OK|Sure|Of course)",
+    r"disregard\s+(?:all\s+)?(?:previous|prior)\s+(?:instructions?|prompts?|context)", r"new\s+instructions?\s*:",
 )
 
 
 def redacted(text: Column, most: int = 32_768) -> Column:
-    """A struct: text with injections as [redacted], cut after `most` characters, and warnings."""
-    clean = reduce(lambda c, p: F.regexp_replace(c, f"(?i){p}", "[redacted]"), INJECTIONS, text)
-    warnings = F.filter(F.array(*(F.when(text.rlike(f"(?i){p}"), p) for p in INJECTIONS), F.when(F.length(clean) > most, "truncated")), lambda x: x.isNotNull())
-    return F.struct(F.substring(clean, 1, most).alias("text"), warnings.alias("warnings"))
+    """A struct: the first `most` characters with injections as [redacted], and warnings (the patterns, in order, each searched in
+    what the ones before it left)."""
+    cut = F.substring(text, 1, most)
+    states = [cut]
+    for p in INJECTIONS:
+        states.append(F.regexp_replace(states[-1], f"(?i){p}", "[redacted]"))
+    found = [F.when(before.rlike(f"(?i){p}"), p) for before, p in zip(states, INJECTIONS)]
+    warnings = F.filter(F.array(F.when(F.length(text) > most, "truncated"), *found), lambda x: x.isNotNull())
+    return F.struct(states[-1].alias("text"), warnings.alias("warnings"))
 
 
-#: Spans that hold a model's thoughts.
-FENCES = (("<think>", "</think>"), ("<thinking>", "</thinking>"), ("<tool_call>", "</tool_call>"), ("<scratchpad>", "</scratchpad>"))
+#: Tags of spans that are not for readers, and a note that goes with the first.
+FENCES = ("memory-context", "think", "thinking", "reasoning")
+NOTE = r"(?i)\[System note:\s*The following is recalled memory context,[^\]]*\]\s*"
 
 
 def without_fences(text: Column) -> Column:
-    return reduce(lambda c, t: F.regexp_replace(c, f"(?is){t[0]}.*?({t[1]}|$)", ""), FENCES, text)
+    """Closed spans drop out with all they hold, then tags that stand alone, then the note."""
+    spans = reduce(lambda c, t: F.regexp_replace(c, rf"(?is)<\s*{t}\s*>.*?</\s*{t}\s*>", ""), FENCES, text)
+    return F.regexp_replace(F.regexp_replace(spans, rf"(?i)</?\s*({'|'.join(FENCES)})\s*>", ""), NOTE, "")
 
 
 def without_tags(html: Column) -> Column:

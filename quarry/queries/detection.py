@@ -93,13 +93,20 @@ def approval(t: Tables):
     return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", first.alias("rule_id")).where("rule_id IS NOT NULL")
 
 
-@query("arithmetic_check", """WITH s AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS lines, CAST(sum(CAST(l_extendedprice * l_tax AS DECIMAL(18,2))) AS DOUBLE) AS tax, count(*) AS n FROM lineitem GROUP BY 1)
-  SELECT o_orderkey, n, abs(lines + tax - o_totalprice) <= greatest(1, abs(o_totalprice) * 0.01) OR abs(lines - o_totalprice) <= greatest(1, abs(o_totalprice) * 0.01) OR abs(lines - tax - o_totalprice) <= greatest(1, abs(o_totalprice) * 0.01) AS fits
-  FROM orders JOIN s ON l_orderkey = o_orderkey""")
+_room = "abs(a - b) <= greatest(1, abs(CASE WHEN total <> 0 THEN total ELSE lines END) * 0.01)"
+_near = lambda a, b: _room.replace("a - b", f"({a}) - ({b})")
+_by_rate = " OR ".join(f"({_near('lines', 'total')} AND {_near('tax', f'total * {r} / {1 + r}')}) OR ({_near('tax', f'lines * {r}')} AND {_near('total', f'lines * {1 + r}')})" for r in (0.2, 0.1))
+
+
+@query("arithmetic_check", f"""WITH s AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS lines, CAST(sum(CAST(l_extendedprice * l_tax AS DECIMAL(18,2))) AS DOUBLE) AS tax, count(*) AS n FROM lineitem GROUP BY 1),
+  j AS (SELECT o_orderkey, n, lines, tax, unnest([o_totalprice, lines + tax, lines, lines * 1.2]) AS total, unnest([0, 1, 2, 3]) AS kind FROM orders JOIN s ON l_orderkey = o_orderkey)
+  SELECT o_orderkey, kind, n, {_near('lines + tax', 'total')} OR {_by_rate} AS fits FROM j""")
 def arithmetic(t: Tables):
     taxed = F.sum((F.col("l_extendedprice") * F.col("l_tax")).cast("decimal(18,2)")).cast("double")
     sums = t("lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("lines"), taxed.alias("tax"), F.count("*").alias("n"))
-    return t("orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "n", checks.total_fits(F.col("lines"), F.col("tax"), F.col("o_totalprice")).alias("fits"))
+    joined = t("orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey"))
+    totals = F.posexplode(F.array(F.col("o_totalprice"), F.col("lines") + F.col("tax"), F.col("lines"), F.col("lines") * 1.2)).alias("kind", "total")  # the given one, and some that ought to fit or not
+    return joined.select("o_orderkey", "n", "lines", "tax", totals).select("o_orderkey", "kind", "n", checks.total_fits(F.col("lines"), F.col("tax"), F.col("total")).alias("fits"))
 
 
 _check = " + ".join(f"CAST(substr(inn, {i + 1}, 1) AS INT) * {w}" for i, w in enumerate(checks.INN_10))

@@ -13,11 +13,13 @@ _own: dict[str, str] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir; one of our own where that is unset) and read again: its plan starts
+    """df written to the shared folder (spark.checkpoint.dir; in local runs, one of our own where that is unset) and read again: its plan starts
     anew, and a lost executor costs no more than what follows."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:  # a running session takes no new value for it
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="quarry-")

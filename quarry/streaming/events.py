@@ -52,8 +52,8 @@ def numbered(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(number, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-#: Spans that must not reach a reader: opening and closing tag.
-TAGS = {"<think>": "</think>", "<thinking>": "</thinking>", "<tool_call>": "</tool_call>"}
+#: Spans that must not reach a reader, opening and closing tag.
+TAGS = {"<memory-context>": "</memory-context>", "<think>": "</think>", "<thinking>": "</thinking>", "<reasoning>": "</reasoning>"}
 
 
 def scrub(piece: str, inside: str, held: str) -> tuple[str, str, str]:

@@ -39,6 +39,19 @@ def test_edits():
         edited(spec, [{"op": "fly"}])
 
 
+def test_edits_of_places_groups_and_filters():
+    fields = lambda s: [c.field for c in s.columns]
+    spec = TableSpec("invoices", (Shown("invoice_number"), Shown("status"), Shown("total_amount")), (Condition("status", "eq", "O"),), group_by=("status",))
+    assert fields(edited(spec, [{"op": "move_column", "field": "invoice_number", "after": "status"}])) == ["status", "invoice_number", "total_amount"]
+    assert fields(edited(spec, [{"op": "move_column", "field": "total_amount", "before": "status"}])) == ["invoice_number", "total_amount", "status"]
+    assert fields(edited(spec, [{"op": "add_column", "field": "segment", "after": "invoice_number"}])) == ["invoice_number", "segment", "status", "total_amount"]
+    assert edited(spec, [{"op": "set_group_by", "field": "segment"}]).group_by == ("segment", "status")
+    assert edited(spec, [{"op": "set_group_by", "field": "status"}]).group_by == ("status",) and edited(spec, [{"op": "clear_filters"}]).filters == ()
+    for bad in ({"op": "add_column", "field": "none"}, {"op": "move_column", "field": "segment"}, {"op": "remove_column", "field": "segment"}, {"op": "set_sort", "field": "none"}, {"op": "what"}):
+        with pytest.raises(ValueError):
+            edited(spec, [bad])
+
+
 def test_limits_and_total(spark, data):
     t = Tables(spark, data)
     spec = TableSpec("invoice_items", limit=0)

@@ -107,5 +107,17 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def stretches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of stretches of items, each as long as its sizes add up to `most`, or one item."""
+    begin = held = 0
+    for i, size in enumerate(sizes):
+        if i > begin and held + size > most:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -46,9 +46,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quarry.llm.common import as_bytes, saved, whole, working_path
+from quarry.llm.common import as_bytes, saved, stretches, whole, working_path
 
-CAPACITY, SALTS, MEMO, TOGETHER = 2048, 64, 500_000, 20_000
+CAPACITY, SALTS, MEMO, TOGETHER = 2048, 64, 400_000, 20_000
+#: Bytes of text whose chunks a worker holds at a time.
+PART = 2_000_000
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A blank before which a text may be cut: no white space, ASCII or other, and not the text's end follows it.
@@ -164,12 +166,13 @@ def pieces_of(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [cut(ids, capacity) for ids in token_ids(as_bytes(batch.column("text")), tokenizer_path)]
-            owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            flat = [(k, *x) for own in found for k, x in enumerate(own)]
-            columns = zip(*flat) if flat else [[]] * 4
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
+            texts = as_bytes(batch.column("text"))
+            for a, b in stretches([len(t) for t in texts], PART):
+                found = [cut(ids, capacity) for ids in token_ids(texts[a:b], tokenizer_path)]
+                owner = np.repeat(np.arange(a, b), [len(x) for x in found])
+                flat = [(k, *x) for own in found for k, x in enumerate(own)]
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), *(pa.array(c, k) for c, k in zip(zip(*flat), kinds))], names=schema.names)
 
     return rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 

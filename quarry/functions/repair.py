@@ -22,7 +22,7 @@ def found_number(text: Column) -> Column:
 def found_date(text: Column) -> Column:
     """The first date, as 31.12.2024 or as a day, a month's name and a year."""
     short = F.try_to_timestamp(F.regexp_extract(text, r"(\d{2}\.\d{2}\.\d{4})", 1), F.lit("dd.MM.yyyy")).cast("date")
-    pattern = rf"(?i)(\d{{1,2}})\s+({'|'.join(MONTHS)})\s+(\d{{4}})"
+    pattern = rf"(?iu)(\d{{1,2}})\s+({'|'.join(MONTHS)})\s+(\d{{4}})"
     month = F.array_position(F.lit(list(MONTHS)), F.lower(F.regexp_extract(text, pattern, 2)))
     long = F.try_to_timestamp(F.concat_ws(".", F.regexp_extract(text, pattern, 1), month.cast("string"), F.regexp_extract(text, pattern, 3)), F.lit("d.M.yyyy")).cast("date")
     return F.coalesce(short, long)

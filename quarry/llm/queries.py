@@ -90,6 +90,29 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visible_text(table(spark, sf_dir, "pages"), ["page_id"]).select("row.page_id", "text")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their spelling variants: near words, forms and roots."""
+    from quarry.llm.spelling import variants, word_counts
+
+    return variants(word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations, with sums over their subtrees."""
+    from quarry.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document, and the text that they decode to, as digests."""
+    from quarry.llm.bpe_trie import decoded, encoded
+
+    found = decoded(encoded(table(spark, sf_dir, "documents"), ["doc_id"], WORD_VOCABULARY), WORD_VOCABULARY)
+    n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
+    return found.select("row.doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_topk": op2_topk,
@@ -101,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_simhash": op9_simhash,
     "op10_html_text": op10_html_text,
+    "op11_spelling": op11_spelling,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLES: dict[str, str] = {

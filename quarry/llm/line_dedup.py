@@ -10,8 +10,12 @@ id's.
 A run is a table bucketed and sorted by the hash, with a bucket for each shuffle partition. Anti-joins and merges (full outer merge
 joins of two runs) read buckets beside each other and write them back as they are: only a batch's own new keys are shuffled.
 
-A key that most documents share is summed before each shuffle and is one row of a run; a document's lines are matched as rows
-(document, key) and come back as the document's own short list.
+A key that most documents share is summed before each shuffle and is one row of a run. A document's long lines are rows (id, digest
+of the text, place), joined with the keys as such; the places that go come back as the document's own list, and the stretches
+between them stay. All of this takes a document's lines once, or sorts them.
+
+There are `batches` batches whatever the size (four, which keeps the number of jobs small); their bounds come from a sixteenth of the
+ids, chosen by hash, and change nothing in the result.
 
 Defined results: null and empty texts are one empty line; every row is a document, so that a repeated row counts again and rows
 with the same id keep a line together (in the SQL as well); ids are of any type that can be ordered; a null id is smaller than every other; an empty table gives an empty result; the input's
@@ -110,39 +114,62 @@ class LineRuns:
         self.levels = []
 
 
+def _long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Rows id, t1, t2, h1, h2, place, first of every line that counts; first: whether the key stands there for the first time in its
+    document. A document's lines are sorted by their keys, so this takes no longer than sorting."""
+    named = F.transform("lines", lambda x, i: F.struct(x.alias("line"), i.alias("place")))
+    counts = F.filter(named, lambda x: F.char_length(F.btrim(x["line"], F.lit(BLANK))) >= min_chars)
+    hashed = F.sort_array(F.transform(counts, lambda x: F.struct(key_hash(x["line"]).alias("k"), x["place"].alias("place"))))
+    found = docs.select("id", "t1", "t2", hashed.alias("found")).where(F.size("found") > 0)
+    before = F.concat(F.array(F.element_at("found", -1)), F.slice("found", F.lit(1), F.size("found") - 1))  # the first one has none
+    with_first = F.zip_with("found", before, lambda x, y: F.struct(x["k"]["h1"].alias("h1"), x["k"]["h2"].alias("h2"), x["place"].alias("place"), (x["k"] != y["k"]).alias("changed")))
+    flat = found.select("id", "t1", "t2", F.posexplode(with_first).alias("nth", "x"))
+    return flat.select("id", "t1", "t2", "x.h1", "x.h2", "x.place", ((F.col("nth") == 0) | F.col("x.changed")).alias("first"))
+
+
+def _cuts(docs: DataFrame, batches: int) -> list:
+    """Ids that part the batches, the largest first: from ranges of a sixteenth of all ids, a row of each range."""
+    spark = docs.sparkSession
+    some = docs.select("id").where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(16)) == 0))
+    ranges = some.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("least"))
+    least = sorted(r.least for r in ranges.collect())
+    return sorted({least[len(least) * i // batches] for i in range(1, batches)} - {*least[:1]}, reverse=True) if least else []
+
+
 def without_repeated_lines(
     df: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4
 ) -> DataFrame:
     """Columns row (a struct of the columns `carry`), text (what is left), n_lines, n_dropped."""
-    docs = df.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    long_lines = F.filter(F.split("text", "\n", -1), lambda x: F.char_length(F.btrim(x, F.lit(BLANK))) >= min_chars)
-    of_doc = F.explode(F.array_distinct(F.transform(long_lines, key_hash)))
-    keys = saved(docs.select("id", of_doc.alias("k")).select("id", "k.h1", "k.h2"), "line-keys")
-    # the least id of each range of ids, of which every so many begin a batch: a row for each partition
-    ranges = docs.where(F.col("id").isNotNull()).select("id").repartitionByRange(batches, "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("least"))
-    least = sorted(r.least for r in ranges.collect())
-    ends = sorted({least[len(least) * i // batches] for i in range(1, batches)} - {*least[:1]}, reverse=True) if least else []
+    text = whole(text_col)
+    docs = df.select(
+        F.struct(*carry).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), F.split(text, "\n", -1).alias("lines")
+    )
+    keys = saved(_long_lines(docs, min_chars), "line-keys")
     runs, above, as_id = LineRuns(df.sparkSession, min_docs), None, docs.schema["id"].dataType
-    for end in [*ends, None]:
-        batch = keys if above is None else keys.where((F.col("id") < F.lit(above).cast(as_id)) | F.col("id").isNull())
-        if end is not None:
-            batch = batch.where(F.col("id") >= F.lit(end).cast(as_id))
-        runs.add(batch)
-        above = above if end is None else end
-    repeated = saved(runs.settled(), "repeated")  # a side of its own, so that adaptive execution can split a hot key's rows
-    runs.clear()
+    try:
+        for end in [*_cuts(docs, batches), None]:
+            batch = keys.where("first")
+            if above is not None:
+                batch = batch.where((F.col("id") < F.lit(above).cast(as_id)) | F.col("id").isNull())
+            if end is not None:
+                batch = batch.where(F.col("id") >= F.lit(end).cast(as_id))
+            runs.add(batch.select("id", "h1", "h2"))
+            above = above if end is None else end
+        repeated = saved(runs.settled(), "repeated")  # a side of its own, so that adaptive execution can split a hot key's rows
+    finally:
+        runs.clear()
     elsewhere = ~F.col("id").eqNullSafe(F.col("keeper"))
-    drops = keys.join(repeated, ["h1", "h2"]).where(elsewhere).groupBy(F.col("id").alias("of")).agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
-    lines = F.split("text", "\n", -1)
-    gone = lambda x: (F.char_length(F.btrim(x, F.lit(BLANK))) >= min_chars) & F.array_contains("drops", key_hash(x))
-    return (
-        docs.join(drops, F.col("id").eqNullSafe(F.col("of")), "left")
-        .withColumn("lines", lines)
-        .withColumn("kept", F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~gone(x))))
-        .select(
-            "row", F.array_join("kept", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped")
-        )
-    )
+    # rows with the same id and text lose the same lines
+    owner = [F.col("id").alias("of"), F.col("t1").alias("of1"), F.col("t2").alias("of2")]
+    gone = keys.join(repeated, ["h1", "h2"]).where(elsewhere).groupBy(*owner).agg(F.sort_array(F.collect_set("place")).alias("gone"))
+    is_own = (F.col("t1") == F.col("of1")) & (F.col("t2") == F.col("of2")) & F.col("id").eqNullSafe(F.col("of"))
+    # what stands between two lines that go stays in one slice
+    begins = F.concat(F.array(F.lit(0)), F.transform("gone", lambda x: x + 1))
+    kept = F.flatten(F.zip_with(begins, F.concat("gone", F.array(F.size("lines"))), lambda a, b: F.slice("lines", a + 1, b - a)))
+    left = F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(kept, "\n"))
+    return docs.join(gone, is_own, "left").select(
+        "row", left.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")
+    )
 
 
 #: The same in SQL; every row is a document of its own, as above.

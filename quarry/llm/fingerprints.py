@@ -9,18 +9,18 @@ with hardly any); its fingerprint is the 64 smallest of their 32-bit hashes, and
 the 64 smallest of either.
 
 Defined results: null text counts as empty, whose fingerprint is the empty string; two empty fingerprints have likeness 1, one
-empty 0. Rows are ordered by id, then by text; a null id comes last; the next document of the last row is the first row (itself,
-if it is alone). An empty table gives an empty result. Only the id and the text are read, whatever the other columns' names are.
+empty 0. Ids may be of any type that Spark orders; rows are ordered by id, then by text; a null id comes last; the next document
+of the last row is the first row (itself, if it is alone). An empty table gives an empty result. Only the id and the text are read, whatever the other columns' names are.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from quarry.llm.common import whole
 
 LEVELS, KEPT, FEW = (2, 3, 4), 64, 4
+#: Code points of a text's beginning by which rows of one id are dealt.
+HEAD = 32
 #: Code points parsed at a time, so that the arrays stay in the processor's cache.
 TOGETHER = 300_000
 
@@ -126,30 +128,53 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return sum(x in both for x in least) / len(least)
 
 
+def _in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (id, text, head: the text's beginning), each row with the number of its range of (id, head), null ids last; and, for each
+    range, the row that follows its last (the first of all after the last of all). There are as many ranges as shuffle partitions at
+    most; the first key of each is all that the driver sees. Equal rows with a text of less than HEAD characters may fill several
+    ranges; longer ones stay in one with all rows of the same id and head, so that their order is that of their texts."""
+    spark, parts = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "head")
+    ranged = docs.select("id", "head", F.monotonically_increasing_id().alias("row")).repartitionByRange(parts, F.col("id").asc_nulls_last(), "head", "row")
+    firsts = ranged.groupBy(F.spark_partition_id()).agg(F.min(key).alias("key")).select("key.id", "key.head").toArrow()
+    ordered = lambda i, head: (2, 0, head) if i is None else (1, 0, head) if i != i else (0, i, head)  # noqa: E731  NaN after all other numbers
+    begins = sorted((ordered(r["id"], r["head"]), n) for n, r in enumerate(firsts.to_pylist()))
+    keys = [k for k, _ in begins]
+
+    @F.arrow_udf(T.IntegerType())
+    def range_of(ids: pa.Array, heads: pa.Array, rows: pa.Array) -> pa.Array:
+        found = []
+        for i, head, row in zip(ids.to_pylist(), heads.to_pylist(), rows.to_pylist()):
+            own = ordered(i, head)
+            low, high = bisect_left(keys, own), bisect_right(keys, own)
+            found.append(low + row % (high - low) if high - low > 1 and len(head) < HEAD else max(high - 1, 0))
+        return pa.array(found, pa.int32())
+
+    numbered = docs.withColumn("bucket", range_of("id", "head", F.monotonically_increasing_id()))
+    # a range whose first key is also the next one's holds no row of its own if such rows stay together
+    own = [n for i, (k, n) in enumerate(begins) if i + 1 == len(begins) or keys[i + 1] != k or len(k[2]) < HEAD]
+    at = [i for i, (_, n) in enumerate(begins) if n in set(own)]
+    follows = pa.array([at[n - 1] for n in range(len(at))], pa.int32())
+    next_rows = spark.createDataFrame(firsts.take(pa.array(own, pa.int64())).append_column("of", follows))
+    next_rows = next_rows.select(F.col("id").cast(docs.schema["id"].dataType).alias("of_id"), F.col("head").alias("of_head"), "of")
+    guards = (
+        docs.join(F.broadcast(next_rows), (F.col("head") == F.col("of_head")) & F.col("id").eqNullSafe(F.col("of_id")))
+        .groupBy("of", "id").agg(F.min("text").alias("text")).select("id", "text", F.col("of").alias("bucket"))
+    )
+    return numbered, guards
+
+
 def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row. The edited text
     is the text, its last half replaced by as much of the next document's beginning.
 
     Rows go by ranges of ids to partitions, one shuffle of the texts; a copy of the row that follows a range is put at its end."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type = df.schema[id_col].dataType
-    place = F.coalesce(F.col(id_col).cast("double"), F.lit(float("inf")))
-    docs = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), place.alias("place"))
-    ends = docs.where(F.col("id").isNotNull()).approxQuantile("place", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    splits = [float("-inf"), *(sorted(set(ends)) or [0.0]), float("inf")]
-    docs = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(docs).withColumn("bucket", F.col("bucket").cast("int"))
-    begins = sorted(tuple(r) for r in docs.groupBy("bucket").agg(F.min("place")).collect())  # a row for each partition at most
-    follows = [(bucket, begins[(i + 1) % len(begins)][1]) for i, (bucket, _) in enumerate(begins)]
-    next_places = spark.createDataFrame(follows, "of_bucket int, of_place double")
-    guards = (
-        docs.where(F.col("place").isin([p for _, p in follows]))
-        .join(F.broadcast(next_places), F.col("place") == F.col("of_place"))
-        .groupBy("of_bucket")
-        .agg(F.min(F.struct("id", "text")).alias("row"))
-        .select("row.id", "row.text", F.col("of_bucket").alias("bucket"), F.lit(1).alias("guard"))
-    )
-    rows = docs.select("id", "text", "bucket", F.lit(0).alias("guard")).unionAll(guards)
+    docs = df.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), F.left(whole(text_col), F.lit(HEAD)).alias("head"))
+    numbered, guards = _in_order(docs)
+    columns = ["id", "text", "bucket"]
+    rows = numbered.select(*columns, F.lit(0).alias("guard")).unionAll(guards.select(*columns, F.lit(1).alias("guard")))
     rows = rows.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "guard", F.col("id").asc_nulls_last(), "text")
     out = T.StructType([T.StructField("id", id_type), *(T.StructField(n, t) for n, t in (
         ("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()),

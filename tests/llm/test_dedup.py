@@ -216,6 +216,80 @@ def test_parsing_is_locally_consistent():
     assert together[0].tolist() == fingerprints.sketches([middle])[0].tolist() == together[2].tolist() and not len(together[1])
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def plain_names(symbols):
+    """One level of the parse, place by place."""
+    runs = []
+    for x in symbols:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    symbols = [x if n == 1 else plain_mix((x * 31 + n) & M64) for x, n in runs]
+    labels = symbols
+    for _ in range(4):
+        tossed = []
+        for i, x in enumerate(labels):
+            differ = x ^ (labels[i - 1] if i else 0)
+            at = (differ & -differ).bit_length() - 1 if differ else None
+            # equal neighbours differ nowhere: the place past the last bit
+            tossed.append((2 * at + (x >> at & 1)) if differ else 2 * (64 if labels is symbols else 8))
+        labels = tossed
+    begins = [i for i in range(len(symbols)) if i == 0 or (labels[i] > labels[i - 1] and i + 1 < len(symbols) and not labels[i + 1] > labels[i])]
+    weights = [int(w) for w in fingerprints._weights]
+    out = []
+    for a, b in zip(begins, [*begins[1:], len(symbols)]):
+        out.append(plain_mix(sum((x + 1) * weights[k & 63] for k, x in enumerate(symbols[a:b])) & M64))
+    return out
+
+
+def plain_sketch(text):
+    symbols, levels = [ord(c) for c in text], []
+    for _ in range(4):
+        symbols = plain_names(symbols)
+        levels.append({x >> 32 for x in symbols})
+    found = set().union(*levels[1:])
+    return sorted(found if len(found) >= 4 else found | levels[0])[:64]
+
+
+def test_fingerprints_against_a_plain_parser(spark, awkward, data):
+    rng = random.Random(4)
+    docs = awkward.unionByName(spark.read.parquet(f"{data}/documents.parquet").limit(80), allowMissingColumns=True)
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = []
+    for n, (i, t) in enumerate(rows):
+        after = rows[(n + 1) % len(rows)][1]
+        own, changed, following = (plain_sketch(x) for x in (t, t[: len(t) - len(t) // 2] + after[: len(t) // 2], after))
+        like = lambda a, b: float(a == b) if not a or not b else len(set(a) & set(b) & set(sorted({*a, *b})[:64])) / len(sorted({*a, *b})[:64])
+        as_text = lambda x: "".join(f"{v:08x}" for v in x)
+        want.append((str(i), as_text(own), as_text(changed), round(like(own, changed), 9), round(like(own, following), 9)))
+    got = [(str(r.id), r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.with_edits(docs.repartition(5, F.lit(rng.random()))).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_edits_of_other_ids(spark):
+    """Texts, dates and numbers beyond 2^53 as ids, null and repeated ids and rows that fill several ranges."""
+    rows = [(i % 7 if i % 3 else None, f"{'the same beginning of a text, ' if i % 2 else ''}{i % 11}") for i in range(150)] + [(None, "again")] * 60 + [(3, "")] * 60 + [(2**60 + 1, "x"), (2**60, "y")]
+    for kind in ("long", "string", "decimal(30,0)"):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(3)
+        plain = sorted(((None if i is None else str(i) if kind == "string" else i, t) for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0 if kind != "string" else r[0] or "", r[1]))
+        want = []
+        for n, (i, t) in enumerate(plain):
+            after = plain[(n + 1) % len(plain)][1]
+            want.append((str(i), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()))
+        assert sorted((str(r.id), r.edited_sha256) for r in fingerprints.with_edits(docs).collect()) == sorted(want), kind
+    days = spark.sql("SELECT date '2020-01-01' + int(id) AS doc_id, string(id) AS text FROM range(50)")
+    assert fingerprints.with_edits(days).count() == 50
+
+
 def test_quality_held_out(spark, data):
     sf = f"{data.rsplit('/', 1)[0]}/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

@@ -11,8 +11,11 @@ table's cells stand at their columns, two blanks apart, below each other where t
 navigation, notes, the text of drawings and formulas and the values of text fields included.
 
 Open elements are looked up by name, not by walking the stack, and every element is closed once, so that a page takes time in
-proportion to its length however deep or broken its markup is. Two bounds concern layout alone: indentation stops at MOST_INDENT
-columns, and tables inside more than MOST_TABLES others have their cells one after the other on a row's line.
+proportion to its length however deep or broken its markup is. Three bounds concern layout alone: indentation stops at MOST_INDENT
+columns, tables inside more than MOST_TABLES others have their cells one after the other on a row's line, and a page's tables have
+PADDING blanks for each of its characters (and a thousand more) to align their cells with; where a line needs more than are left,
+its cells stand two blanks apart. So the text is at most so many times as long as the page. Not followed: rules of style sheets,
+and what stands in place of an object, a sound or a film.
 
 Defined results: null and empty pages give the empty text; markup that is never closed runs to the page's end, and so does a tag
 that never ends; numbers in attributes are read as HTML does (leading digits, no more than 1000 columns for a cell), and what is no
@@ -46,10 +49,10 @@ _space = re.compile(r"[ \t\n\f\r]+")
 _number = re.compile(r"[ \t\n\f\r]*([+-]?)0*([0-9]+)")
 _zeros, _beyond = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,}")
 
-MOST_INDENT, MOST_TABLES, MOST_COLUMNS = 60, 16, 1000
+MOST_INDENT, MOST_TABLES, MOST_COLUMNS, PADDING = 60, 16, 1000, 8
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas datalist meta link base param source track area col colgroup progress meter".split())
+UNSEEN = frozenset("rp script style head title template noscript iframe noembed noframes object audio video canvas datalist meta link base param source track area col colgroup progress meter".split())
 #: Parts of drawings and formulas that are not shown where they stand.
 UNSEEN_FOREIGN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -266,7 +269,8 @@ class Table:
                 out.append(here)
         return out
 
-    def lines(self) -> list[str]:
+    def lines(self, room: list[int]) -> list[str]:
+        """room: the blanks that may still be spent on alignment; what they don't suffice for stands two blanks apart."""
         rows = self._placed()
         # only columns where a cell begins or ends count
         bounds = {c: i for i, c in enumerate(sorted({c for row in rows for cell in row for c in cell[:2]}))}
@@ -291,12 +295,16 @@ class Table:
                 parts, width = [], 0
                 for where, _, lines, at in open_cells:
                     if at[0] < len(lines):
-                        parts.append(" " * (where - width) + lines[at[0]])
-                        width = max(width, where) + len(lines[at[0]])
+                        blanks = max(0, where - width)
+                        if blanks > 2 and blanks > room[0]:
+                            blanks = 2 if parts else 0
+                        room[0] -= blanks
+                        parts.append(" " * blanks + lines[at[0]])
+                        width += blanks + len(lines[at[0]])
                         at[0] += 1
                 if line := "".join(parts).rstrip():
                     out.append(line)
-            open_cells = [x for x in open_cells if x[1] > r]
+            open_cells = [x for x in open_cells if x[1] > r and x[3][0] < len(x[2])]
         return out
 
 
@@ -329,13 +337,15 @@ def ordinal(n: int, kind: str) -> str:
 
 def render(html: str | None) -> str:
     """The visible text of a page."""
+    html = (html or "").replace("\r\n", "\n").replace("\r", "\n")
+    room = [PADDING * (len(html) + 1000)]
     flows: list[Flow] = [Flow()]
     tables: list[Table | None] = []  # None: cells one after the other
     lists: list[list] = []  # kind, number, type
     opened: list[tuple[str, bool, bool, int]] = []  # name, whether text is visible in it, whether it is closed details, indent or cell
     skip = kept = foreign = 0
     begins = False  # right after the start of preformatted text
-    for kind, name, a in events(html or ""):
+    for kind, name, a in events(html):
         flow = flows[-1]
         if kind == "text":
             fresh, begins = begins, False
@@ -423,7 +433,7 @@ def render(html: str | None) -> str:
             if name == "table":
                 if (table := tables.pop()) is not None:
                     flow.set_off()  # from text beside the cells, which comes first
-                    for x in table.lines():
+                    for x in table.lines(room):
                         flow.text(x, True)
                         flow.end_line()
             elif name in ("ul", "ol"):

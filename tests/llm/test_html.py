@@ -189,6 +189,22 @@ def test_deep_and_long_pages():
     assert time.perf_counter() - began < 60
 
 
+def test_output_is_bounded():
+    """Staircases of cells, also inside one another, cost no more than a constant times their page; small ones are aligned."""
+    assert html_text.render("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a  b\n   c\n   d"
+    stairs = lambda n, inside="": "<table>" + "".join(f"<tr><td rowspan=0>cell {i}{inside}" for i in range(n)) + "</table>"
+    began = time.perf_counter()
+    for html in (stairs(500), stairs(4000), stairs(40_000), stairs(300, stairs(20)), "<table>" + "<tr><td rowspan=0>" + "x" * 500 + "<tr><td colspan=1000>y" * 3000):
+        text = html_text.render(html)
+        assert len(text) <= 12 * (len(html) + 1000) and text.count("cell") == html.count("cell")
+    assert time.perf_counter() - began < 30
+
+
+def test_lone_returns_and_ruby():
+    assert html_text.render("<pre>a\rb\r\nc</pre>") == "a\nb\nc"
+    assert html_text.render("<ruby>base<rp>(</rp><rt>top</rt><rp>)</rp></ruby>") == "basetop"
+
+
 class Words(HTMLParser):
     """Visible words as the standard parser sees them, for pages whose hidden parts are scripts, styles and titles alone."""
 

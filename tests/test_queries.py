@@ -1,10 +1,12 @@
 """Every query with SQL equals it on the small tables."""
 
+import datetime as dt
 import glob
 import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from quarry import queries as relational
@@ -21,8 +23,10 @@ def duck(data):
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and value != value) or str(value) == "NaT":
+    if value is None or value is pd.NA or (isinstance(value, float) and value != value) or str(value) == "NaT":
         return None
+    if isinstance(value, dt.date) and not isinstance(value, dt.datetime):  # pandas reads one engine's dates as timestamps
+        return str(pd.Timestamp(value))
     if isinstance(value, (bool, np.bool_)):
         return str(bool(value))
     if isinstance(value, (int, float, np.integer, np.floating)) or type(value).__name__ == "Decimal":

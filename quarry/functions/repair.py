@@ -69,7 +69,7 @@ def typed(text: Column, kind: str) -> Column:
     """A written cell as a number (blanks out, a comma as the point) or a date (three formats); null where it is neither."""
     if kind == "number":
         return F.replace(F.regexp_replace(text, r"[\s\x{a0}]", ""), F.lit(","), F.lit(".")).try_cast("double")
-    return F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy")))
+    return F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "dd.MM.yyyy", "dd.MM.yy")))
 
 
 def containment(number: Column, line: Column, tokens: Column, own: Column) -> Column:

@@ -18,6 +18,15 @@ def name_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), "ё", "е"), r"[^\p{L}\p{N}]+", " "))
 
 
+def match_key(text: Column) -> Column:
+    """Lower case, ё as е, everything but a-z, а-я and digits as single blanks."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), "ё", "е"), "[^a-zа-я0-9]+", " "))
+
+
+def match_tokens(text: Column, least_chars: int = 1) -> Column:
+    return F.array_distinct(F.filter(F.split(match_key(text), " "), lambda x: F.length(x) >= least_chars))
+
+
 def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(name_key(text), " "), lambda x: x != ""))
 
@@ -45,13 +54,13 @@ def phone_key(text: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """Host in lower case, no fragment, no tracking parameters, no slash at the end."""
+    """Scheme and host in lower case, no fragment, no tracking parameters, no slash at the path's end; no path is a slash."""
     bare = F.regexp_replace(url, "#.*$", "")
     base, query = F.split_part(bare, F.lit("?"), F.lit(1)), F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(utm_[a-z]*|yclid|gclid)=")), "&")
-    host = F.lower(F.regexp_extract(base, r"^([a-zA-Z]+://[^/]+)", 1))
-    path = F.regexp_replace(F.regexp_extract(base, r"^[a-zA-Z]+://[^/]+(.*)$", 1), "/+$", "")
-    return F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(?i)(utm_|yclid|gclid)[^=]*(=|$)")), "&")
+    host = F.regexp_extract(base, r"^(([a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/]*)", 1)
+    path = F.regexp_replace(F.substr(base, F.length(host) + 1), "/+$", "")
+    return F.concat(F.lower(host), F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
 def russian_number(text: Column) -> Column:

@@ -85,3 +85,28 @@ def confirmed_rules(seen: DataFrame, needed: int, most: int = 20) -> DataFrame:
     words = seen.select("rule", F.explode("words").alias("word")).distinct().groupBy("rule").agg(F.slice(F.array_sort(F.collect_list("word")), 1, most).alias("words"))
     counts = seen.groupBy("rule").agg(F.count("*").alias("occurrences"))
     return counts.join(words, "rule", "left").withColumn("confidence", F.least(F.lit(1.0), F.col("occurrences") / needed)).withColumn("is_active", F.col("occurrences") >= needed)
+
+
+def agreement(rows: DataFrame, keys: list[str], is_main: Column, mandatory: list[str], fields: list[str], numeric: list[str], threshold: float = 0.95, room: float = 0.01) -> DataFrame:
+    """How far the other extractions of a document agree with its main one: keys, score (the share of the main one's fields that all
+    others have and agree on), accepted (at least the threshold). A document whose main extraction lacks a mandatory field, or that has
+    no other extraction or no field, scores 0. Texts agree without regard to case and outer blanks, numbers within `room`.
+
+    Each document is a row of least and greatest values: no set of values is kept."""
+    own = {f: F.col(f).cast("double") if f in numeric else F.nullif(F.lower(F.trim(F.col(f).cast("string"))), F.lit("")) for f in {*mandatory, *fields}}
+    other = lambda c: F.when(~is_main, c)
+    sums = [F.count_if(~is_main).alias("others")]
+    for f, c in own.items():
+        sums += [F.max(F.when(is_main, c)).alias(f"{f} main"), F.count(other(c)).alias(f"{f} n"), F.min(other(c)).alias(f"{f} least"), F.max(other(c)).alias(f"{f} most")]
+    found = rows.groupBy(*keys).agg(*sums)
+
+    def agrees(f: str) -> Column:
+        main, least, most = (F.col(f"{f} {x}") for x in ("main", "least", "most"))
+        near = (F.abs(least - main) < room) & (F.abs(most - main) < room) if f in numeric else (least == main) & (most == main)
+        return (main.isNotNull() & (F.col(f"{f} n") == F.col("others")) & near).cast("int")
+
+    n = reduce(lambda a, b: a + b, (F.col(f"{f} main").isNotNull().cast("int") for f in fields))
+    whole = reduce(and_, (F.col(f"{f} main").isNotNull() for f in mandatory), F.col("others") > 0)
+    share = F.coalesce(F.try_divide(reduce(lambda a, b: a + b, (F.coalesce(agrees(f), F.lit(0)) for f in fields)).cast("double"), n), F.lit(0.0))
+    scored = found.select(*keys, F.when(whole, share).otherwise(0.0).alias("score"), (whole & (n > 0)).alias("whole"))
+    return scored.select(*keys, "score", (F.col("whole") & (F.col("score") >= threshold)).alias("accepted"))

@@ -1,4 +1,4 @@
-"""Best matches by tokens, searches with several branches, and paths along edges."""
+"""Searches with several branches, and paths along edges."""
 
 from __future__ import annotations
 
@@ -9,21 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.text import overlap_score
-
-
-def best_matches(lines: DataFrame, entries: DataFrame, least: float = 0.5) -> DataFrame:
-    """lines: line, tokens; entries: entry, tokens (sets of words). Each line's entry of the highest score from `least` on, ties
-    to the smaller entry: line, entry, score. Pairs are made of those alone that share a token; lines of the same tokens are
-    matched once."""
-    kinds = lines.select(F.array_sort("tokens").alias("tokens")).distinct()
-    one = kinds.select("tokens", F.explode("tokens").alias("token"))
-    other = entries.select("entry", F.col("tokens").alias("own"), F.explode("tokens").alias("token"))
-    pairs = one.join(other, "token").select("tokens", "entry", "own").distinct()
-    scored = pairs.select("tokens", "entry", overlap_score(F.col("tokens"), F.col("own")).alias("score")).where(F.col("score") >= least)
-    best = scored.groupBy("tokens").agg(F.max_by("entry", F.struct("score", -F.col("entry"))).alias("entry"), F.max("score").alias("score"))
-    return lines.select("line", F.array_sort("tokens").alias("tokens")).join(best, "tokens").select("line", "entry", "score")
-
 
 def expanded(items: DataFrame, words: list[str], text_cols: list[str], key: str, most: int = 200) -> DataFrame:
     """Keys of the items that hold every word in one of the columns, the first `most` by key."""

@@ -227,7 +227,7 @@ def coerced(t: Tables):
     """Cells as they are written by hand, in three formats of dates."""
     from quarry.functions.checks import money
 
-    written = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", " dd/MM/yyyy"))
+    written = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.when(F.year("o_orderdate") >= 2000, F.date_format("o_orderdate", " dd.MM.yy")).otherwise(F.date_format("o_orderdate", " dd.MM.yyyy ")))
     return t("orders").select("o_orderkey", repair.typed(money(F.col("o_totalprice")), "number").alias("number"), repair.typed(written, "date").alias("date"))
 
 
@@ -251,14 +251,17 @@ def requisites(t: Tables):
     return t("supplier").select("s_suppkey", F.inline(each))
 
 
-@query("extraction_agreement", """WITH g AS (SELECT l_orderkey, count(DISTINCT l_returnflag) = 1 AS a, count(DISTINCT l_linestatus) = 1 AS b, bool_and(l_tax > 0) AS complete FROM lineitem GROUP BY 1)
-  SELECT l_orderkey, CASE WHEN complete THEN (CAST(a AS INT) + CAST(b AS INT)) / 2.0::DOUBLE ELSE 0.0::DOUBLE END AS agreement, complete AND (CAST(a AS INT) + CAST(b AS INT)) / 2.0 >= 0.5 AS accepted FROM g""")
+@query("extraction_agreement", """WITH x AS (SELECT l_orderkey, l_linenumber, l_returnflag AS number, nullif(l_linestatus, 'O') AS day, CASE WHEN l_tax > 0 THEN l_tax END AS tax FROM lineitem),
+  m AS (SELECT * FROM x WHERE l_linenumber = 1), o AS (SELECT * FROM x WHERE l_linenumber > 1),
+  j AS (SELECT m.l_orderkey, m.number, m.day, m.tax, count(o.l_linenumber) AS others, coalesce(bool_and(coalesce(o.number = m.number, false)), false) AS a, coalesce(bool_and(coalesce(o.day = m.day, false)), false) AS b, coalesce(bool_and(coalesce(abs(o.tax - m.tax) < 0.03, false)), false) AS c FROM m LEFT JOIN o USING (l_orderkey) GROUP BY ALL),
+  s AS (SELECT DISTINCT x.l_orderkey, CASE WHEN number IS NULL OR others = 0 THEN 0.0::DOUBLE ELSE ((number IS NOT NULL AND a)::INT + (day IS NOT NULL AND b)::INT + (tax IS NOT NULL AND c)::INT) / ((number IS NOT NULL)::INT + (day IS NOT NULL)::INT + (tax IS NOT NULL)::INT)::DOUBLE END AS score FROM (SELECT DISTINCT l_orderkey FROM x) x LEFT JOIN j USING (l_orderkey))
+  SELECT l_orderkey, coalesce(score, 0.0) AS score, coalesce(score >= 0.5, false) AS accepted FROM s""")
 def agreement(t: Tables):
-    """The share of fields on which all extractions of a document agree; 0 where one lacks a mandatory field."""
-    same = lambda c: (F.min(c) == F.max(c)).cast("int")  # noqa: E731  no set of values is kept
-    own = t("lineitem").groupBy("l_orderkey").agg(((same("l_returnflag") + same("l_linestatus")) / 2.0).alias("share"), F.bool_and(F.col("l_tax") > 0).alias("complete"))
-    share = F.when(F.col("complete"), F.col("share")).otherwise(0.0)
-    return own.select("l_orderkey", share.alias("agreement"), (F.col("complete") & (F.col("share") >= 0.5)).alias("accepted"))
+    """A document's first line against all others, as extractions; open lines lack a day, lines without tax a tax."""
+    rows = t("lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("number"), F.nullif(F.col("l_linestatus"), F.lit("O")).alias("day"), F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("tax")
+    )
+    return lifecycle.agreement(rows, ["l_orderkey"], F.col("l_linenumber") == 1, ["number"], ["number", "day", "tax"], ["tax"], threshold=0.5, room=0.03)
 
 
 @query("type_detection", r"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'pdf' WHEN page_id % 4 = 1 THEN 'sheet' WHEN page_id % 4 = 2 THEN 'image' ELSE 'other' END AS kind FROM pages""")

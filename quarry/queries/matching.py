@@ -5,39 +5,46 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import repair, text
-from quarry.operators import matching, retrieval
+from quarry.operators import matching, retrieval, setjoin
 from quarry.plans.catalog import Tables
 from quarry.queries import query
 from quarry.queries.aggregates import money
 
 # ---- matches
 
-_entries = "SELECT p_name, min(p_partkey) AS entry FROM part WHERE p_partkey % 2 = 0 GROUP BY 1"
+def _key(x: str) -> str:
+    return f"trim(regexp_replace(replace(lower({x}), 'ё', 'е'), '[^a-zа-я0-9]+', ' ', 'g'))"
 
 
-def entries(t: Tables):
-    own = t("part").where("p_partkey % 2 = 0").groupBy("p_name").agg(F.min("p_partkey").alias("entry"))
-    return own.select("entry", text.tokens(F.col("p_name")).alias("tokens"))
-
-
-@query("match_best_catalog_entry", f"""WITH e AS ({_entries}), l AS (SELECT p_partkey AS line, p_name || ' extra' AS name FROM part), n AS (SELECT DISTINCT name FROM l),
-  s AS (SELECT n.name, entry, list_distinct(string_split(n.name, ' ')) AS a, list_distinct(string_split(p_name, ' ')) AS b FROM n JOIN e ON len(list_intersect(string_split(n.name, ' '), string_split(p_name, ' '))) > 0),
-  r AS (SELECT name, entry, round(0.7::DOUBLE * len(list_intersect(a, b)) / len(a) + 0.3::DOUBLE * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 3) AS score FROM s)
-  SELECT line, entry, score FROM l JOIN (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, entry) AS place FROM r WHERE score >= 0.5) USING (name) WHERE place = 1""")
+@query("match_best_catalog_entry", f"""WITH l AS (SELECT DISTINCT {_key("p_brand || ' ' || p_name || ' ' || p_type")} AS key FROM part),
+  n AS (SELECT {_key("p_name || ' fine'")} AS name, min(p_partkey) AS entry FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), r AS (SELECT {_key("p_brand")} AS name, min(p_partkey) AS entry FROM part WHERE p_partkey % 8 = 0 GROUP BY 1),
+  s AS (SELECT key, entry, len(list_intersect(string_split(key, ' '), string_split(name, ' '))) / CAST(len(list_distinct(string_split(name, ' '))) AS DOUBLE) AS score FROM l JOIN n ON true
+        UNION ALL SELECT key, entry, 1.0::DOUBLE FROM l JOIN r ON contains(key, r.name)),
+  b AS (SELECT key, entry, score, row_number() OVER (PARTITION BY key ORDER BY score DESC, entry) AS place FROM s WHERE score >= 0.5)
+  SELECT p_partkey AS line, entry, score FROM part JOIN b ON key = {_key("p_brand || ' ' || p_name || ' ' || p_type")} WHERE place = 1""")
 def best_entry(t: Tables):
-    lines = t("part").select(F.col("p_partkey").alias("line"), text.tokens(F.concat("p_name", F.lit(" extra"))).alias("tokens"))
-    return matching.best_matches(lines, entries(t))
+    """Of each line the entry of which it holds most words, or whose number stands in it."""
+    line = F.concat_ws(" ", "p_brand", "p_name", "p_type")
+    lines = t("part").select(F.col("p_partkey").alias("line"), text.match_tokens(line).alias("tokens"), text.match_key(line).alias("text"))
+    number = F.when(F.col("p_partkey") % 8 == 0, text.match_key(F.col("p_brand")))
+    entries = t("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("entry"), text.match_tokens(F.concat("p_name", F.lit(" fine"))).alias("tokens"), number.alias("part"))
+    return setjoin.best_entries(lines, entries)
 
 
-@query("match_canonical_threshold", f"""WITH e AS ({_entries}), l AS (SELECT DISTINCT p_name AS name FROM part),
-  s AS (SELECT l.name, entry, list_distinct(string_split(l.name, ' ')) AS a, list_distinct(string_split(p_name, ' ')) AS b FROM l JOIN e ON len(list_intersect(string_split(l.name, ' '), string_split(p_name, ' '))) > 0),
-  r AS (SELECT name, entry, round(0.7::DOUBLE * len(list_intersect(a, b)) / len(a) + 0.3::DOUBLE * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 3) AS score FROM s),
+@query("match_canonical_threshold", f"""WITH e AS (SELECT p_name AS name, min(p_partkey) AS entry FROM part WHERE p_partkey % 2 = 0 GROUP BY 1 UNION ALL SELECT p_type || ' ' || split_part(p_name, ' ', 2) || ' no. ' || p_size % 5, min(p_partkey) FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+  l AS (SELECT DISTINCT p_name || ' X ' || p_type || ' extra' AS name FROM part), w AS (SELECT name, list_filter(list_distinct(string_split({_key("name")}, ' ')), lambda x: length(x) > 1) AS a FROM l), v AS (SELECT entry, list_filter(list_distinct(string_split({_key("name")}, ' ')), lambda x: length(x) > 1) AS b FROM e),
+  s AS (SELECT name, entry, a, b, len(list_intersect(a, b)) AS n FROM w JOIN v ON true), r AS (SELECT name, entry, round(0.7::DOUBLE * (n / CAST(len(b) AS DOUBLE)) + 0.3::DOUBLE * (n / CAST(len(a) + len(b) - n AS DOUBLE)), 3) AS score FROM s),
   b AS (SELECT name, entry, score, row_number() OVER (PARTITION BY name ORDER BY score DESC, entry) AS place FROM r WHERE score >= 0.5)
-  SELECT name, entry, score, CASE WHEN score >= 0.75 THEN 'match' ELSE 'suggestion' END AS verdict FROM b WHERE place = 1""")
+  SELECT name, entry, score, CASE WHEN score >= 0.75 THEN 'auto' WHEN score IS NULL THEN 'none' ELSE 'review' END AS verdict FROM l LEFT JOIN (SELECT * FROM b WHERE place = 1) USING (name)""")
 def canonical(t: Tables):
-    names = t("part").select(F.col("p_name").alias("line")).distinct()
-    best = matching.best_matches(names.select("line", text.tokens(F.col("line")).alias("tokens")), entries(t))
-    return best.select(F.col("line").alias("name"), "entry", "score", F.when(F.col("score") >= 0.75, "match").otherwise("suggestion").alias("verdict"))
+    """Names and their other names against lines; what reaches no threshold has no entry."""
+    own = t("part").where("p_partkey % 2 = 0")
+    other = F.concat("p_type", F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" no. "), (F.col("p_size") % 5).cast("string"))
+    entries = own.select(F.col("p_partkey").alias("entry"), F.explode(F.array("p_name", other)).alias("name")).select("entry", text.match_tokens(F.col("name"), 2).alias("tokens"))
+    names = t("part").select(F.concat("p_name", F.lit(" X "), "p_type", F.lit(" extra")).alias("line")).distinct()
+    best = setjoin.best_entries(names.select("line", text.match_tokens(F.col("line"), 2).alias("tokens")), entries, setjoin.weighted_score)
+    verdict = F.when(F.col("score") >= 0.75, "auto").when(F.col("score").isNull(), "none").otherwise("review")
+    return names.join(best, "line", "left").select(F.col("line").alias("name"), "entry", "score", verdict.alias("verdict"))
 
 
 @query("match_part_number", """WITH l AS (SELECT p_partkey, p_name, p_brand, replace(p_brand, '#', ' ') || ' ' || p_name AS line FROM part), b AS (SELECT *, regexp_replace(lower(line), '[^a-z0-9]', '', 'g') AS bare, list_distinct(string_split(p_name, ' ')) AS own FROM l)

@@ -42,8 +42,8 @@ def company(t: Tables):
     return t("supplier").select("s_suppkey", text.company_key(raw).alias("company"), text.phone_key(phone).alias("phone"))
 
 
-@query("text_url_dedup", r"""WITH q AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)) || regexp_replace(regexp_extract(regexp_replace(url, '#.*$', ''), '^[a-zA-Z]+://[^/]+([^?]*)', 1), '/+$', '') AS base,
-    list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '[?](.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]*|yclid|gclid)=')) AS kept FROM pages),
+@query("text_url_dedup", r"""WITH q AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)) || coalesce(nullif(regexp_replace(regexp_extract(regexp_replace(url, '#.*$', ''), '^[a-zA-Z]+://[^/?#]+([^?]*)', 1), '/+$', ''), ''), '/') AS base,
+    list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '[?](.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_|yclid|gclid)[^=]*(=|$)')) AS kept FROM pages),
   k AS (SELECT page_id, base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS key FROM q) SELECT key, min(page_id) AS page_id, count(*) AS copies FROM k GROUP BY 1""")
 def urls(t: Tables):
     return t("pages").groupBy(text.url_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"))

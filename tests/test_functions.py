@@ -19,6 +19,9 @@ def test_text(spark):
     assert (r.number1, r.number2, r.number3, r.number4) == (1200.5, 1234.56, 1234.56, None)
     assert (r.company, r.phone, r.slug) == ("альфа плюс", "79001234567", "альфа-beta-2")
     assert (r.url, r.bare) == ("http://site.ru/a?q=1", "acd")
+    cases = {"http://a.b": "http://a.b/", "http://a.b/": "http://a.b/", "a.b/c/": "a.b/c", "": "/", "/x//?UTM_a=1&b=&utm": "/x?b=&utm", "HTTPS://A.b/C?gclid=1&d=2#x": "https://a.b/C?d=2", "//H/p": "//h/p"}
+    found = spark.createDataFrame([(u,) for u in cases], "u string").select("u", text.url_key(F.col("u")).alias("k")).collect()
+    assert {x.u: x.k for x in found} == cases
     assert r.red.text == "Please [redacted]." and len(r.red.warnings) == 1
 
 

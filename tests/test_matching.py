@@ -1,18 +1,76 @@
 """Matches, ranks and paths against plain Python, with ties, nulls and rows that share nothing."""
 
 import math
+import random
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
-from quarry.functions import repair
-from quarry.operators import lifecycle, matching, retrieval
+from quarry.functions import repair, text
+from quarry.operators import lifecycle, matching, retrieval, setjoin
 
 
-def test_best_matches(spark):
-    lines = [(1, ["a", "b"]), (2, ["b", "a"]), (3, ["z"]), (4, []), (5, ["a"])]
-    entries = [(10, ["a", "b"]), (9, ["b", "a"]), (11, ["a", "c", "d", "e", "f"])]
-    found = matching.best_matches(spark.createDataFrame(lines, "line long, tokens array<string>"), spark.createDataFrame(entries, "entry long, tokens array<string>"))
-    assert sorted(map(tuple, found.collect())) == [(1, 9, 1.0), (2, 9, 1.0), (5, 9, 0.85)]
+def all_pairs(lines, entries, score, least):
+    found = {}
+    for a in {tuple(sorted(set(x))) for x in lines}:
+        for b in {tuple(sorted(set(x))) for x in entries}:
+            both = len(set(a) & set(b))
+            if both and score(both, len(a), len(b)) >= least:
+                found[a, b] = round(score(both, len(a), len(b)), 9)
+    return found
+
+
+COVERAGE = lambda n, a, b: n / b
+WEIGHTED = lambda n, a, b: float(Decimal(repr(0.7 * (n / b) + 0.3 * (n / (a + b - n)))).quantize(Decimal("0.001"), ROUND_HALF_UP))
+
+
+def test_similar_sets_equal_all_pairs(spark):
+    rng = random.Random(3)
+    some = lambda n: [["common"] * (rng.random() < 0.5) + rng.choices("abcdefghijklmnopqrst", weights=range(1, 21), k=rng.randint(0, 6)) for _ in range(n)]
+    lines, entries = some(150) + [[]], some(120) + [[]]
+    frames = [spark.createDataFrame([(x,) for x in rows] + [(None,)], "tokens array<string>") for rows in (lines, entries)]
+    for score, plain in ((setjoin.coverage_score, COVERAGE), (setjoin.weighted_score, WEIGHTED)):
+        for least in (0.3, 0.5, 0.75, 1.0):
+            found = setjoin.similar_sets(*frames, score, least).collect()
+            got = {(tuple(r.line_tokens), tuple(r.entry_tokens)): round(r.score, 9) for r in found}
+            assert len(found) == len(got) and got == all_pairs([x for x in lines if x], [x for x in entries if x], plain, least)
+
+
+def test_a_token_that_half_the_entries_hold(spark):
+    """Pairs are met for what decides alone: the token that all share is never joined."""
+    entries = spark.range(3000).select(F.array(F.lit("bolt"), F.concat(F.lit("e"), "id")).alias("tokens"))
+    lines = spark.range(3000).select(F.array(F.lit("bolt"), F.concat(F.lit("e"), (F.col("id") + 2990))).alias("tokens"))
+    found = setjoin.similar_sets(lines, entries, setjoin.weighted_score, 0.5)
+    assert found.count() == 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
+def test_containing(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 12))) for _ in range(200)] + ["", "x"]
+    parts = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 5))) for _ in range(60)] + ["x", "xy"]
+    found = setjoin.containing(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string"), spark.createDataFrame([(p,) for p in parts] + [(None,)], "part string")).collect()
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} == {(t, p) for t in texts for p in parts if p and p in t}
+
+
+def test_best_entries(spark):
+    lines = [(1, ["a", "b"]), (2, ["b", "a", "a"]), (3, ["z"]), (4, []), (5, ["a"]), (6, None)]
+    entries = [(10, ["a", "b"]), (9, ["b", "a"]), (11, ["a", "c", "d", "e", "f"]), (12, []), (13, ["z", "y"]), (14, ["z", "y"])]
+    frames = spark.createDataFrame(lines, "line long, tokens array<string>"), spark.createDataFrame(entries, "entry long, tokens array<string>")
+    assert sorted(map(tuple, setjoin.best_entries(*frames).collect())) == [(1, 9, 1.0), (2, 9, 1.0), (3, 13, 0.5), (5, 9, 0.5)]
+
+
+def test_names_that_a_line_covers(spark):
+    """What a line holds in full goes before what it shares more words with."""
+    row = spark.range(1).select(text.match_tokens(F.lit("Фреза концевая Ø12 твердосплавная"), 2).alias("l"), text.match_tokens(F.lit("фреза концевая"), 2).alias("a"), text.match_tokens(F.lit("фреза концевая ø12 иная длинная серия особая"), 2).alias("b")).first()
+    lines = spark.createDataFrame([(1, row.l)], "line long, tokens array<string>")
+    entries = spark.createDataFrame([(7, row.a), (8, row.b)], "entry long, tokens array<string>")
+    assert [tuple(r) for r in setjoin.best_entries(lines, entries, setjoin.weighted_score).collect()] == [(1, 7, 0.85)]
+    assert [tuple(r) for r in setjoin.best_entries(lines, entries).collect()] == [(1, 7, 1.0)]
+    with_parts = spark.createDataFrame([(7, row.a, None), (9, row.b, "12 твердо"), (8, row.b, "999")], "entry long, tokens array<string>, part string")
+    found = setjoin.best_entries(lines.withColumn("text", F.lit("фреза концевая 12 твердосплавная")), with_parts)
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 1.0)]  # of equals the smaller one
 
 
 def test_document_search(spark):
@@ -60,3 +118,13 @@ def test_repair(spark):
         repair.net_price(F.lit(120.0), F.lit(20.0), F.lit(True), F.lit(2)).alias("g"), repair.requisite(F.lit(None).cast("string"), [10]).alias("h"),
     ).first()
     assert tuple(one) == ("12-A/3", None, "2024-03-05", None, 1234.5, None, 50.0, "missing")
+
+
+def test_agreement(spark):
+    """A value that another extraction lacks does not agree; fields that the main one lacks don't count."""
+    rows = [
+        (1, True, "A-1", "5", 10.0), (1, False, " a-1 ", "5", 10.001), (2, True, "A", None, 1.0), (2, False, "A", "x", None), (3, True, None, "5", 1.0), (3, False, "A", "5", 1.0),
+        (4, True, "A", "5", 1.0), (5, True, "A", "5", 1.0), (5, False, "A", "5", 1.0), (5, False, "B", "5", 1.0), (6, False, "A", "5", 1.0),
+    ]
+    found = lifecycle.agreement(spark.createDataFrame(rows, "k long, main boolean, n string, d string, x double"), ["k"], F.col("main"), ["n"], ["n", "d", "x"], ["x"])
+    assert {r.k: (round(r.score, 3), r.accepted) for r in found.collect()} == {1: (1.0, True), 2: (0.5, False), 3: (0.0, False), 4: (0.0, False), 5: (0.667, False), 6: (0.0, False)}

@@ -90,10 +90,10 @@ def confirmed_rules(seen: DataFrame, needed: int, most: int = 20) -> DataFrame:
 def agreement(rows: DataFrame, keys: list[str], is_main: Column, mandatory: list[str], fields: list[str], numeric: list[str], threshold: float = 0.95, room: float = 0.01) -> DataFrame:
     """How far the other extractions of a document agree with its main one: keys, score (the share of the main one's fields that all
     others have and agree on), accepted (at least the threshold). A document whose main extraction lacks a mandatory field, or that has
-    no other extraction or no field, scores 0. Texts agree without regard to case and outer blanks, numbers within `room`.
+    no other extraction or no field, scores 0. Texts agree without regard to outer blanks, numbers within `room`.
 
     Each document is a row of least and greatest values: no set of values is kept."""
-    own = {f: F.col(f).cast("double") if f in numeric else F.nullif(F.lower(F.trim(F.col(f).cast("string"))), F.lit("")) for f in {*mandatory, *fields}}
+    own = {f: F.col(f).cast("double") if f in numeric else F.nullif(F.trim(F.col(f).cast("string")), F.lit("")) for f in {*mandatory, *fields}}
     other = lambda c: F.when(~is_main, c)
     sums = [F.count_if(~is_main).alias("others")]
     for f, c in own.items():

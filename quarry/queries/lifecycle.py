@@ -252,7 +252,7 @@ def requisites(t: Tables):
 
 
 @query("extraction_agreement", """WITH x AS (SELECT l_orderkey, l_linenumber, l_returnflag AS number, nullif(l_linestatus, 'O') AS day, CASE WHEN l_tax > 0 THEN l_tax END AS tax FROM lineitem),
-  m AS (SELECT * FROM x WHERE l_linenumber = 1), o AS (SELECT * FROM x WHERE l_linenumber > 1),
+  m AS (SELECT l_orderkey, max(number) AS number, max(day) AS day, max(tax) AS tax FROM x WHERE l_linenumber = 1 GROUP BY 1), o AS (SELECT * FROM x WHERE l_linenumber > 1),
   j AS (SELECT m.l_orderkey, m.number, m.day, m.tax, count(o.l_linenumber) AS others, coalesce(bool_and(coalesce(o.number = m.number, false)), false) AS a, coalesce(bool_and(coalesce(o.day = m.day, false)), false) AS b, coalesce(bool_and(coalesce(abs(o.tax - m.tax) < 0.03, false)), false) AS c FROM m LEFT JOIN o USING (l_orderkey) GROUP BY ALL),
   s AS (SELECT DISTINCT x.l_orderkey, CASE WHEN number IS NULL OR others = 0 THEN 0.0::DOUBLE ELSE ((number IS NOT NULL AND a)::INT + (day IS NOT NULL AND b)::INT + (tax IS NOT NULL AND c)::INT) / ((number IS NOT NULL)::INT + (day IS NOT NULL)::INT + (tax IS NOT NULL)::INT)::DOUBLE END AS score FROM (SELECT DISTINCT l_orderkey FROM x) x LEFT JOIN j USING (l_orderkey))
   SELECT l_orderkey, coalesce(score, 0.0) AS score, coalesce(score >= 0.5, false) AS accepted FROM s""")

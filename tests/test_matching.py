@@ -123,7 +123,7 @@ def test_repair(spark):
 def test_agreement(spark):
     """A value that another extraction lacks does not agree; fields that the main one lacks don't count."""
     rows = [
-        (1, True, "A-1", "5", 10.0), (1, False, " a-1 ", "5", 10.001), (2, True, "A", None, 1.0), (2, False, "A", "x", None), (3, True, None, "5", 1.0), (3, False, "A", "5", 1.0),
+        (1, True, "A-1", "5", 10.0), (1, False, " A-1 ", "5", 10.001), (2, True, "A", None, 1.0), (2, False, "A", "x", None), (3, True, None, "5", 1.0), (3, False, "A", "5", 1.0),
         (4, True, "A", "5", 1.0), (5, True, "A", "5", 1.0), (5, False, "A", "5", 1.0), (5, False, "B", "5", 1.0), (6, False, "A", "5", 1.0),
     ]
     found = lifecycle.agreement(spark.createDataFrame(rows, "k long, main boolean, n string, d string, x double"), ["k"], F.col("main"), ["n"], ["n", "d", "x"], ["x"])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import text
-from quarry.operators import retrieval
+from quarry.functions import stems, text
+from quarry.operators import retrieval, search_index
 from quarry.plans.catalog import Tables
 from quarry.queries import query
+from quarry.sources.shared import shared_path
 
 _dot = "list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
 _cosine = "{d} / (sqrt({a}) * sqrt({b}))".format(d=_dot.format("e.embedding", "q.embedding"), a=_dot.format("e.embedding", "e.embedding"), b=_dot.format("q.embedding", "q.embedding"))
@@ -86,3 +90,40 @@ def boosts(t: Tables):
     base = text.term_overlap(F.col("text"), TERMS)
     boosted = base + F.when(F.col("source") == "src0", 0.15).otherwise(0.0) + F.when(F.contains(F.lower("text"), F.lit("the of")), 0.08).otherwise(0.0)
     return t("documents").where(base > 0).select("doc_id", F.round(F.least(F.lit(1.0), boosted), 4).alias("score"))
+
+
+# ---- a stored index
+
+TEN = ("the", "license heand", "ofthe and tion", "que les", "und der ungen", "в по не", "Copyright license", "the the of and", "nosuchwordatall", "tion nosuchwordatall")
+_endings, _fleeting = stems.WITH_ENDING.replace("'", "''"), stems.FLEETING
+_key = rf"regexp_replace(regexp_replace(replace(w, 'ё', 'е'), '{_endings}', '\1'), '{_fleeting}', '\1\2')"
+_words = rf"w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM documents), c AS (SELECT doc_id, {_key} AS term, count(*) AS tf FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS length FROM c GROUP BY 1), n AS (SELECT CAST((SELECT count(*) FROM documents) AS DOUBLE) AS n, (SELECT sum(length) FROM l) / CAST((SELECT count(*) FROM documents) AS DOUBLE) AS mean), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1)"
+_scored = rf"q AS (SELECT * FROM (VALUES {', '.join(f'({i}, {chr(39)}{q}{chr(39)})' for i, q in enumerate(TEN))}) AS v(q, text)), t AS (SELECT DISTINCT q, {_key} AS term FROM (SELECT q, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM q)), s AS (SELECT q, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score, count(*) AS held FROM t JOIN c USING (term) JOIN d USING (term) JOIN l USING (doc_id), n GROUP BY 1, 2)"
+
+
+def built(t: Tables) -> search_index.SearchIndex:
+    """An index of all documents, added in two segments."""
+    index = search_index.SearchIndex(t.spark, shared_path(t.spark, "search-index"))
+    for i in range(2):
+        index.add(t("documents").where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == i), "doc_id", "text", str(i))
+    return index
+
+
+@query("search_index_ten", f"WITH {_words}, {_scored}, r AS (SELECT q, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, doc_id) AS place FROM s) SELECT CAST(q AS INT) AS q, doc_id, score FROM r WHERE place <= 20")
+def ten_queries(t: Tables):
+    """Ten free-text queries, the twenty best of each, over the stored index."""
+    index = built(t)
+    return reduce(DataFrame.unionAll, (index.search(text, 20).select(F.lit(i).alias("q"), F.col("doc").alias("doc_id"), "score") for i, text in enumerate(TEN)))
+
+
+_grams = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_alike = "len(list_intersect({a}, {b})) / CAST(greatest(len(list_distinct(list_concat({a}, {b}))), 1) AS DOUBLE)"
+
+
+@query("search_documents_ranked", f"WITH {_words}, q AS (SELECT 0 AS q, 'src1 the' AS text), t AS (SELECT DISTINCT {_key} AS term FROM (SELECT unnest(['src1', 'the']) AS w)), s AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score, count(*) AS held FROM t JOIN c USING (term) JOIN d USING (term) JOIN l USING (doc_id), n GROUP BY 1 HAVING count(*) = 2),"
+       f" g AS (SELECT doc_id, {_grams.format('source')} AS a, {_grams.format('lang')} AS e, {_grams.format(chr(39) + 'src1 the' + chr(39))} AS b, contains(lower(source), 'src1 the') OR contains(lower(lang), 'src1 the') AS holds FROM documents),"
+       f" k AS (SELECT doc_id, holds, greatest(coalesce({_alike.format(a='a', b='b')}, 0), coalesce({_alike.format(a='e', b='b')}, 0)) AS likeness FROM g)"
+       " SELECT doc_id, round(coalesce(score, 0.0) + 0.5 * likeness, 6) AS rank FROM k LEFT JOIN s USING (doc_id) WHERE score IS NOT NULL OR holds OR likeness > 0.15 ORDER BY rank DESC, doc_id LIMIT 50")
+def ranked_search(t: Tables):
+    """Words by the index, short columns by what stands in them and by trigrams, one rank of both."""
+    return search_index.ranked_documents(built(t), t("documents"), "doc_id", ["source", "lang"], "src1 the")

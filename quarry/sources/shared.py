@@ -5,17 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Our own folder, by application, where the session names none.
 _own: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir; in local runs, one of our own where that is unset) and read again: its plan starts
-    anew, and a lost executor costs no more than what follows."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses in the shared folder (spark.checkpoint.dir; in local runs, one of our own where that is unset)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:  # a running session takes no new value for it
         if not spark.sparkContext.master.split("[")[0] == "local":
@@ -24,6 +22,21 @@ def cut(df: DataFrame) -> DataFrame:
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="quarry-")
         folder = _own[app]
-    path = f"{folder.rstrip('/')}/quarry/cut-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: its plan starts anew, and a lost executor costs no more than what follows."""
+    path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

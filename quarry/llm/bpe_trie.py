@@ -15,8 +15,8 @@ comes before the merge that takes x into a longer part, and not after the one th
 
 Texts are cut at ASCII white space, as neither the normaliser nor the pre-tokenizer's pattern reaches across it; of the pieces,
 distinct ones alone are normalised and cut into words, by the library's own normaliser and pre-tokenizer. Strings of added tokens
-become their ids wherever they stand, as is the library's default. A worker holds MEMO pieces and MOST_NODES nodes at most, and one
-stretch of texts (PART bytes, or one text) beside them; what it holds changes its speed alone.
+become their ids wherever they stand, as is the library's default. A worker holds twice MEMO pieces and MOST_NODES nodes, and what one
+stretch of texts (PART bytes, or one text) adds to them, at most; what it holds changes its speed alone.
 
 Decoding writes the tokens' strings with blanks between, as the library does for vocabularies that name no decoder.
 
@@ -26,10 +26,12 @@ an empty table gives an empty result; the columns to carry come back in one stru
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,7 +41,7 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import as_bytes, stretches, whole
 
-MEMO, MOST_NODES, MOST_PAIRS = 200_000, 400_000, 500_000
+MEMO, MOST_NODES, MOST_PAIRS = 300_000, 400_000, 500_000
 #: Bytes of text (or ids) that are worked on at a time.
 PART = 2_000_000
 NEVER = 1 << 60
@@ -104,12 +106,20 @@ class Vocabulary:
         self.ends, self.starts = ends, starts
         self.inner = {t: ids[t] for t in made if not single or not t.endswith(self.mark)}
         self.final = {t.removesuffix(self.mark): ids[t] for t in made if t.endswith(self.mark)} if single else self.inner
-        # the longest token, of three characters or more, that has a given end of three
-        self.reach: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        for tokens, reach in zip((self.inner, self.final), self.reach):
-            for t in tokens:
-                if len(t) > reach.get(t[-3:], 2):
-                    reach[t[-3:]] = len(t)
+        # lengths of the tokens, the longest first, that may end a word that ends with given four characters; filled as they come up
+        self.inner_sizes, self.final_sizes = self._sizes(self.inner), self._sizes(self.final)
+
+    def _sizes(self, tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        long: dict[str, set[int]] = {}
+        for t in tokens:
+            if len(t) >= 4:
+                long.setdefault(t[-4:], set()).add(len(t))
+        return {end: (*sorted(sizes, reverse=True), *self.short_sizes(end, tokens)) for end, sizes in long.items()}
+
+    @staticmethod
+    def short_sizes(end: str, tokens: dict[str, int]) -> tuple[int, ...]:
+        """Which of the last three, two and one characters are tokens."""
+        return tuple(n for n in (3, 2, 1) if n <= len(end) and end[-n:] in tokens)
 
     def _meets(self, x: int, y: int, taken: int, kept: int) -> bool:
         m = self.rank.get((x, y))
@@ -134,66 +144,73 @@ class Trie:
         self.child: dict[tuple[int, str], int] = {}
         self.last, self.length = array("q", [-1]), array("q", [0])
 
-    def _last(self, word: str, end: int, path: list[int], tokens: dict[str, int], reach: dict[str, int]) -> tuple[int, int]:
+    def _last(self, word: str, end: int, path: list[int], tokens: dict[str, int], sizes: dict[str, tuple[int, ...]]) -> tuple[int, int]:
         """The token that ends the encoding of word[:end], and its length. path: the nodes of the shorter prefixes."""
-        last, known, may_follow, get = self.last, self.vocabulary.pairs, self.vocabulary.may_follow, tokens.get
-        for begin in range(max(0, end - reach.get(word[max(0, end - 3) : end], 2)), end):
-            t = get(word[begin:end])
-            if t is None:
+        tail = word[end - 4 : end] if end > 4 else word[:end]
+        found = sizes.get(tail)
+        if found is None:
+            if len(sizes) >= MOST_PAIRS:
+                sizes.clear()
+                sizes.update(self.vocabulary._sizes(tokens))
+            found = sizes[tail] = self.vocabulary.short_sizes(tail, tokens)
+        last, known = self.last, self.vocabulary.pairs
+        for size in found:
+            if size >= end:
+                if size == end and word[:end] in tokens:
+                    return tokens[word[:end]], end
                 continue
-            if not begin:
-                return t, end
-            left = last[path[begin]]
-            fits = known.get((left, t))
-            if may_follow(left, t) if fits is None else fits:
-                return t, end - begin
+            t = tokens.get(word[end - size : end])
+            if t is not None:
+                pair = (last[path[end - size]], t)
+                fits = known.get(pair)
+                if self.vocabulary.may_follow(*pair) if fits is None else fits:
+                    return t, size
         raise ValueError(f"no token for {word[end - 1]!r}")
 
     def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each word. In sorted order the words walk the trie depth first: the nodes on the way to a word stay while the words
         below them come, and each new node gets its last token from those above it."""
-        v, found = self.vocabulary, {}
-        (inner_reach, final_reach), child = v.reach, self.child
+        v, found, child, last, length = self.vocabulary, {}, self.child, self.last, self.length
+        inner, final, inner_sizes, final_sizes, last_of = v.inner, v.final, v.inner_sizes, v.final_sizes, self._last
         path, before = [0], ""
         for word in sorted(words):
-            shared = 0
-            most = min(len(before), len(word) - 1, len(path) - 1)
+            shared, size = 0, len(word)
+            most = min(len(before), size - 1, len(path) - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del path[shared + 1 :]
-            for end in range(shared + 1, len(word)):
-                key = (path[-1], word[end - 1])
+            node = path[-1]
+            for end in range(shared + 1, size):
+                key = (node, word[end - 1])
                 node = child.get(key)
                 if node is None:
-                    token, size = self._last(word, end, path, v.inner, inner_reach)
-                    node = child[key] = len(self.last)
-                    self.last.append(token)
-                    self.length.append(size)
+                    token, n = last_of(word, end, path, inner, inner_sizes)
+                    node = child[key] = len(last)
+                    last.append(token)
+                    length.append(n)
                 path.append(node)
-            token, size = self._last(word, len(word), path, v.final, final_reach)
-            ids, at = [token], len(word) - size
+            token, n = last_of(word, size, path, final, final_sizes)
+            ids, at = [token], size - n
             while at:
-                ids.append(self.last[path[at]])
-                at -= self.length[path[at]]
-            found[word] = ids[::-1]
+                ids.append(last[path[at]])
+                at -= length[path[at]]
+            ids.reverse()
+            found[word] = ids
             before = word
         return found
 
 
 class Encoder:
-    """Ids of texts, with a worker's trie and its table of pieces."""
+    """Ids of texts, with a worker's trie and its table of pieces: the younger half of it, and the older, from which what is met again
+    comes back."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.trie, self.memo = Trie(self.vocabulary), {}
+        self.trie, self.memo, self.old = Trie(self.vocabulary), {}, {}
 
     def _words(self, piece: bytes) -> list[str | int]:
         """A piece's words in order, and ids where strings of added tokens stand."""
-        v, out = self.vocabulary, []
-        if v.letters and (found := _plain.fullmatch(piece)):
-            word, marks = found.groups()
-            return [word.lower().decode(), marks.decode()] if marks else [word.lower().decode()]
-        text = piece.decode()
+        v, out, text = self.vocabulary, [], piece.decode()
         for part in v.cut.split(text) if v.cut else [text]:
             if part in v.added:
                 out.append(v.added[part])
@@ -203,23 +220,60 @@ class Encoder:
         return [w for w in out if w != ""]
 
     def _encoded(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that aren't in the younger half. A piece of letters and marks is its word's ids and its marks'."""
         if len(self.trie.last) > MOST_NODES:
             self.trie = Trie(self.vocabulary)
-        cut = {p: self._words(p) for p in pieces}
-        ids = self.trie.encode({w for own in cut.values() for w in own if isinstance(w, str)})
-        return {p: array("I", [i for w in own for i in (ids[w] if isinstance(w, str) else (w,))]).tobytes() for p, own in cut.items()}
+        found: dict[bytes, bytes] = {}
+        plain: list[tuple[bytes, bytes, bytes]] = []
+        other: dict[bytes, list[str | int]] = {}
+        new: set[str] = set()
+        for p in pieces:
+            if p in self.old:
+                found[p] = self.old[p]
+            elif self.vocabulary.letters and (parts := _plain.fullmatch(p)):
+                word, marks = parts.groups()
+                word = word.lower()
+                plain.append((p, word, marks))
+                for x in (word, marks) if marks else (word,):
+                    if x not in found:
+                        ids = self.memo.get(x) or self.old.get(x)
+                        if ids is None:
+                            new.add(x.decode())
+                        else:
+                            found[x] = ids
+            else:
+                other[p] = self._words(p)
+                new.update(w for w in other[p] if isinstance(w, str))
+        ids_of = {w: array("I", ids).tobytes() for w, ids in self.trie.encode(new).items()}
+        for p, word, marks in plain:
+            for x in (word, marks) if marks else (word,):
+                if x not in found:
+                    found[x] = ids_of[x.decode()]
+            found[p] = found[word] + found[marks] if marks else found[word]
+        for p, words in other.items():
+            found[p] = b"".join(ids_of[w] if isinstance(w, str) else array("I", [w]).tobytes() for w in words)
+        return found
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, as unsigned 32-bit numbers of the machine's order."""
         memo, pieces = self.memo, [t.split() for t in texts]
-        found = self._encoded(list({p for own in pieces for p in own if p not in memo}))
-        if len(memo) + len(found) > MEMO:
-            get = lambda p: found[p] if p in found else memo[p]
-            out = [b"".join(map(get, own)) for own in pieces]
-            memo.clear()  # words of other texts take the place of old ones
-            return out
-        memo.update(found)
-        return [b"".join(map(memo.__getitem__, own)) for own in pieces]
+        memo.update(self._encoded(list({p for own in pieces for p in own if p not in memo})))
+        out = [b"".join(map(memo.__getitem__, own)) for own in pieces]
+        if len(memo) > MEMO:
+            self.memo, self.old = {}, memo
+        return out
+
+
+@contextmanager
+def without_cycles() -> Iterator[None]:
+    """No search for cycles of references meanwhile: the tables hold none, and going through them again and again takes a fifth of the time."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 _loaded: dict[str, Encoder] = {}
@@ -257,7 +311,8 @@ def encoded(df: DataFrame, carry: list[str], tokenizer_path: str, text_col: str
             sizes = pc.binary_length(batch.column("text")).to_pylist()
             for a, b in stretches(sizes, PART):
                 part = batch.slice(a, b - a)
-                ids = [_little_endian(x) for x in own.ids(as_bytes(part.column("text")))]
+                with without_cycles():
+                    ids = [_little_endian(x) for x in own.ids(as_bytes(part.column("text")))]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ids, pa.binary())], ["row", "ids"])
 
     return given.mapInArrow(run, schema)

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from quarry.queries import aggregates, detection, graphs, lifecycle, matching, ranking, search, tables, texts  # noqa: F401
+    from quarry.queries import aggregates, detection, graphs, lifecycle, matching, ranking, search, streams, tables, texts  # noqa: F401

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quarry.plans.catalog import Tables
 from quarry.queries import query
+from quarry.sources.shared import shared_path
 from quarry.streaming import work
+from quarry.streaming.upserts import EVERYONE, KeyedTable, routed
 
 _kinds = "CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'heartbeat' WHEN 'purchase' THEN 'finish' ELSE 'fail' END"
 
@@ -36,3 +38,24 @@ def leases(t: Tables):
         (F.floor("value") * 900).cast("double").alias("seconds"),
     )
     return work.outcome(work.replayed(events))
+
+
+@query("upsert_by_key", """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events WHERE event_id % 5 <> 4 OR event_type <> 'error') SELECT user_id, event_id, event_type, value FROM e WHERE back = 1 AND event_type <> 'signup'""")
+def upserted(t: Tables):
+    """Each user's latest event, merged from three batches that come out of order, one of them twice; a signup removes the user."""
+    rows = t("events").where("event_id % 5 <> 4 OR event_type <> 'error'").withColumn("gone", F.col("event_type") == "signup")
+    rows = rows.select("user_id", "event_id", "event_type", "value", F.struct("ts", "event_id").alias("at"), "gone")
+    table = KeyedTable(t.spark, shared_path(t.spark, "users"), rows.schema, ("user_id",), "at", "gone")
+    for batch, part in ((0, 2), (1, 0), (0, 2), (2, 1), (2, 1)):
+        table.merge(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part), batch)
+    return table.read().select("user_id", "event_id", "event_type", "value")
+
+
+@query("messages_routed", """WITH s AS (SELECT s_suppkey AS subscriber, CASE s_nationkey % 4 WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'error' ELSE 'purchase' END AS channel FROM supplier), h AS (SELECT * FROM s UNION SELECT subscriber, '*' FROM s)
+  SELECT subscriber, channel, count(*) AS messages, max(event_id) AS last_message FROM (SELECT event_id, CASE WHEN event_type = 'signup' THEN '*' ELSE event_type END AS channel FROM events) JOIN h USING (channel) GROUP BY 1, 2""")
+def routes(t: Tables):
+    """How many messages each subscriber hears on each channel; signups go to everyone."""
+    kind = F.when(F.col("s_nationkey") % 4 == 0, "view").when(F.col("s_nationkey") % 4 == 1, "click").when(F.col("s_nationkey") % 4 == 2, "error").otherwise("purchase")
+    channel = F.when(F.col("event_type") == "signup", EVERYONE).otherwise(F.col("event_type"))
+    found = routed(t("events").select("event_id", channel.alias("channel")), t("supplier").select(kind.alias("channel"), F.col("s_suppkey").alias("subscriber")))
+    return found.groupBy("subscriber", "channel").agg(F.count("*").alias("messages"), F.max("event_id").alias("last_message"))

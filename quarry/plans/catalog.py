@@ -31,6 +31,22 @@ class Source:
     synonyms: tuple[str, ...] = ()
     #: Where a smart filter looks, if not in the primary text: another source, its text field and the key that leads back.
     smart_through: tuple[str, str, str] | None = None
+    #: The field that leads to canonical items, whose names and other names a smart filter looks through too.
+    canonical: str | None = None
+
+
+@dataclass(frozen=True)
+class Virtual:
+    """A source that computes its rows for what a condition names: `required` is that condition's field. build: of the tables, the
+    conditions' values by field and the most rows, rows with the fields and a column __place, which orders them."""
+
+    title: str
+    build: Callable[[Tables, dict[str, object], int], DataFrame]
+    fields: dict[str, Field]
+    default: tuple[str, ...]
+    required: str
+    rows: int | None = None  # where the specification names no limit
+    synonyms: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -68,12 +84,78 @@ def _invoices(t: Tables, needed: frozenset[str]) -> DataFrame:
 def _items(t: Tables, needed: frozenset[str]) -> DataFrame:
     found = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     found = found.join(t("part"), F.col("l_partkey") == F.col("p_partkey"), "left").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    canonical = {}
+    if "canonical_id" in needed:
+        found = found.join(canonical_items(t).select("canonical_id", "name"), F.split_part("p_name", F.lit(" "), F.lit(2)) == F.col("name"), "left")
+        canonical = {"canonical_id": F.col("canonical_id")}
     return _select(
-        found, invoice_id=F.col("l_orderkey"), line_number=F.col("l_linenumber"), description=F.col("p_name"), sku=F.col("p_partkey").cast("string"), quantity=F.col("l_quantity"), amount=F.col("l_extendedprice"),
+        found, **canonical, invoice_id=F.col("l_orderkey"), line_number=F.col("l_linenumber"), description=F.col("p_name"), sku=F.col("p_partkey").cast("string"), quantity=F.col("l_quantity"), amount=F.col("l_extendedprice"),
         unit_price=F.try_divide("l_extendedprice", "l_quantity"), tax_rate=F.col("l_tax"), invoice_number=F.col("l_orderkey").cast("string"), invoice_date=F.col("o_orderdate"), supplier_name=F.col("s_name"),
     )
 
 
+def canonical_items(t: Tables) -> DataFrame:
+    """canonical_id, name, aliases: one item for each kind of part, with the type of its first part as another name."""
+    kind = F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name")
+    found = t("part").groupBy(kind).agg(F.min("p_partkey").alias("canonical_id"), F.array(F.min_by("p_type", "p_partkey")).alias("aliases"))
+    return found.select("canonical_id", "name", "aliases")
+
+
+def _anomalies(t: Tables, needed: frozenset[str]) -> DataFrame:
+    found = t("events").where("event_type = 'error'")
+    severity = F.when(F.col("value") >= 100, "critical").when(F.col("value") >= 50, "warning").otherwise("info")
+    solved = F.get_json_object("props", "$.k").cast("int") % 2 == 0
+    return _select(
+        found, anomaly_id=F.col("event_id"), title=F.concat(F.lit("error of user "), F.col("user_id").cast("string")), anomaly_type=F.col("event_type"), severity=severity,
+        status=F.when(solved, "resolved").otherwise("open"), created_at=F.col("ts"), resolved_by=F.when(solved, F.concat(F.lit("user "), F.col("user_id").cast("string"))),
+        resolved_at=F.when(solved, F.col("ts") + F.expr("INTERVAL 1 DAY")), description=F.col("props"),
+    )
+
+
+def _vector_search(t: Tables, wanted: dict[str, object], most: int) -> DataFrame:
+    """The rows nearest to the one that the query names; a condition on the type is part of the scan."""
+    from quarry.operators.retrieval import cosine
+
+    own = t("embeddings").where(F.col("vec_id") == int(wanted["query"])).select(F.col("embedding").alias("own")).limit(1)
+    rows = t("embeddings").where(F.col("vec_id") != int(wanted["query"]))
+    if "doc_type" in wanted:
+        rows = rows.where(F.col("label").cast("string") == str(wanted["doc_type"]))
+    scored = rows.join(F.broadcast(own)).select("vec_id", "label", cosine(F.col("embedding"), F.col("own")).alias("exact"))  # one row beside the scan
+    best = scored.orderBy(F.desc_nulls_last("exact"), "vec_id").limit(most)
+    return best.select(
+        F.coalesce(F.round("exact", 3), F.lit(0.0)).alias("score"), F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("file_name"), F.col("label").cast("string").alias("doc_type"),
+        F.col("vec_id").cast("string").alias("doc_id"), F.lit(str(wanted["query"])).alias("query"), F.struct(-F.coalesce("exact", F.lit(0.0)), "vec_id").alias("__place"),
+    )
+
+
+def knowledge(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, title, kind, confidence) and edges (source, target, edge_type, confidence, reason) of parties and places."""
+    ids = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    nodes = [("supplier", "s_suppkey", "s_name", F.col("s_acctbal") / 10_000), ("nation", "n_nationkey", "n_name", F.lit(1.0)), ("region", "r_regionkey", "r_name", F.lit(2.0))]
+    every = [t(table).select(ids(table, key).alias("node"), F.col(name).alias("title"), F.lit(table).alias("kind"), c.alias("confidence")) for table, key, name, c in nodes]
+    edges = [("supplier", "s_suppkey", "nation", "s_nationkey", "located_in", F.col("s_acctbal") / 10_000), ("nation", "n_nationkey", "region", "n_regionkey", "part_of", F.lit(1.0))]
+    links = [
+        t(a).select(ids(a, x).alias("source"), ids(b, y).alias("target"), F.lit(kind).alias("edge_type"), c.cast("double").alias("confidence"), F.lit(f"{a} table").alias("reason"))
+        for a, x, b, y, kind, c in edges
+    ]
+    return every[0].unionAll(every[1]).unionAll(every[2]), links[0].unionAll(links[1])
+
+
+def _graph_query(t: Tables, wanted: dict[str, object], most: int) -> DataFrame:
+    """The edges of the surest node whose title or name holds the text."""
+    nodes, edges = knowledge(t)
+    text = f"%{wanted['start_node']}%"
+    center = nodes.where(F.col("title").ilike(text) | F.col("node").ilike(text)).orderBy(F.desc("confidence"), "node").limit(1).select(F.col("node").alias("center"), F.col("title").alias("start_node"))
+    own = F.broadcast(center)  # one row at most
+    near = edges.join(own, F.col("source") == F.col("center")).unionAll(edges.join(own, (F.col("target") == F.col("center")) & (F.col("source") != F.col("center"))))
+    named = near.join(nodes.select(F.col("node").alias("source"), F.col("title").alias("source_title")), "source", "left")
+    named = named.join(nodes.select(F.col("node").alias("target"), F.col("title").alias("target_title"), F.col("kind").alias("target_type")), "target", "left")
+    return named.select(
+        "start_node", F.coalesce("source_title", F.lit("")).alias("source_title"), "edge_type", F.coalesce("target_title", F.lit("")).alias("target_title"), F.coalesce("target_type", F.lit("")).alias("target_type"),
+        F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence"), F.coalesce("reason", F.lit("")).alias("reason"), F.struct("source", "target", "edge_type").alias("__place"),
+    )
+
+
 def _suppliers(t: Tables, needed: frozenset[str]) -> DataFrame:
     found = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return _select(found, supplier_id=F.col("s_suppkey"), name=F.col("s_name"), address=F.col("n_name"), region=F.col("r_name"), balance=F.col("s_acctbal"))
@@ -131,9 +213,10 @@ SOURCES: dict[str, Source] = {
         ("supplier_name", "invoice_number", "invoice_date", "total_amount"), "invoice_id", "supplier_name", ("invoice", "bill"), ("invoice_items", "description", "invoice_id"),
     ),
     "invoice_items": Source(
-        "Invoice lines", _items, _fields("description sku invoice_number supplier_name", "invoice_id line_number quantity amount unit_price tax_rate", "invoice_date"),
-        ("description", "quantity", "unit_price", "amount", "supplier_name", "invoice_number"), "invoice_id", "description", ("items", "lines", "goods"),
+        "Invoice lines", _items, _fields("description sku invoice_number supplier_name", "canonical_id invoice_id line_number quantity amount unit_price tax_rate", "invoice_date"),
+        ("description", "quantity", "unit_price", "amount", "supplier_name", "invoice_number"), "invoice_id", "description", ("items", "lines", "goods"), canonical="canonical_id",
     ),
+    "anomalies": Source("Anomalies", _anomalies, _fields("title anomaly_type severity status resolved_by description", "anomaly_id", "created_at resolved_at"), ("title", "anomaly_type", "severity", "status", "created_at"), "anomaly_id", "title", ("anomaly", "problems")),
     "suppliers": Source("Suppliers", _suppliers, _fields("name address region", "supplier_id balance"), ("name", "address"), "supplier_id", "name", ("supplier", "vendor")),
     "warehouse": Source("Stock", _warehouse, _fields("name sku location below_min", "item_id current_qty min_qty"), ("name", "sku", "current_qty", "location"), "item_id", "name", ("stock", "inventory")),
     "documents": Source("Documents", _documents, _fields("file_name doc_type source_channel", "document_id page_count"), ("file_name", "doc_type", "source_channel"), "document_id", "file_name", ("document", "file")),
@@ -144,5 +227,11 @@ SOURCES: dict[str, Source] = {
 }
 
 
+VIRTUAL: dict[str, Virtual] = {
+    "vector_search": Virtual("Likeness", _vector_search, _fields("file_name doc_type doc_id query", "score"), ("score", "file_name", "doc_type"), "query", 50, ("semantic search",)),
+    "graph_query": Virtual("Relations", _graph_query, _fields("start_node source_title edge_type target_title target_type reason", "confidence"), ("source_title", "edge_type", "target_title", "confidence"), "start_node", None, ("relations",)),
+}
+
+
 def names_of(fields: Iterable[str]) -> frozenset[str]:
     return frozenset(fields)

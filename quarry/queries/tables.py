@@ -238,3 +238,40 @@ def fill_nulls(t: Tables):
     a = t("customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("balance"))
     b = t("supplier").select((F.col("s_suppkey") * 20).alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
     return compare.merged(a, b, ["key"], ["name", "balance"])
+
+
+# ---- virtual sources, canonical items, hidden keys
+
+_dot = "list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
+_near = "{0} / (sqrt({1}) * sqrt({2}))".format(_dot.format("e.embedding", "q.embedding"), _dot.format("e.embedding", "e.embedding"), _dot.format("q.embedding", "q.embedding"))
+
+
+@query("spec_vector_search", f"""WITH s AS (SELECT e.vec_id, e.label, {_near} AS x FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE e.vec_id <> 5 AND e.label = 2), k AS (SELECT * FROM s ORDER BY x DESC, vec_id LIMIT 25)
+  SELECT round(x, 3) AS score, 'vector ' || vec_id AS file_name, CAST(label AS VARCHAR) AS doc_type FROM k""")
+def vector_table(t: Tables):
+    spec = TableSpec("vector_search", filters=(Condition("query", "contains", "5"), Condition("doc_type", "eq", "2")), sort=(("file_name", False),), limit=25)
+    return compiled(spec, t)
+
+
+@query("spec_graph_query", """WITH c AS (SELECT n_nationkey, n_name FROM nation WHERE n_name ILIKE '%NATION_1%' OR 'nation:' || n_nationkey ILIKE '%NATION_1%' ORDER BY 'nation:' || n_nationkey LIMIT 1)
+  SELECT n_name AS start_node, s_name AS source_title, 'located_in' AS edge_type, n_name AS target_title, 'nation' AS target_type, round(s_acctbal / 10000, 3) AS confidence FROM supplier JOIN c ON s_nationkey = n_nationkey
+  UNION ALL SELECT c.n_name, c.n_name, 'part_of', r_name, 'region', 1.0 FROM c JOIN nation USING (n_nationkey) JOIN region ON n_regionkey = r_regionkey""")
+def graph_table(t: Tables):
+    columns = tuple(map(Shown, ("start_node", "source_title", "edge_type", "target_title", "target_type", "confidence")))
+    return compiled(TableSpec("graph_query", columns, (Condition("start_node", "contains", "NATION_1"),), (("confidence", True),)), t)
+
+
+@query("spec_anomalies", """SELECT 'error of user ' || user_id AS title, 'error' AS anomaly_type, CASE WHEN value >= 100 THEN 'critical' WHEN value >= 50 THEN 'warning' ELSE 'info' END AS severity, ts AS created_at, event_id AS __pk FROM events
+  WHERE event_type = 'error' AND value >= 50 AND CAST(json_extract_string(props, '$.k') AS INT) % 2 <> 0 ORDER BY ts DESC, event_id LIMIT 5000""")
+def anomalies(t: Tables):
+    """Open anomalies, the newest first, with their hidden keys."""
+    filters = (Condition("status", "eq", "open"), Condition("severity", "in", ["critical", "warning"]))
+    return compiled(TableSpec("anomalies", tuple(map(Shown, ("title", "anomaly_type", "severity", "created_at"))), filters, (("created_at", True),)), t, hidden_key=True)
+
+
+@query("spec_smart_canonical", """WITH c AS (SELECT split_part(p_name, ' ', 2) AS name, min(p_partkey) AS id, arg_min(p_type, p_partkey) AS alias FROM part GROUP BY 1), w AS (SELECT id FROM c WHERE alias ILIKE '%econ%' OR name ILIKE '%econ%' ORDER BY id LIMIT 200)
+  SELECT p_name AS description, count(*) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN c ON split_part(p_name, ' ', 2) = c.name
+  WHERE p_name ILIKE '%econ%' OR c.id IN (SELECT id FROM w) GROUP BY 1 ORDER BY 1 LIMIT 5000""")
+def smart_items(t: Tables):
+    """Lines found by another name of their canonical item."""
+    return compiled(TableSpec("invoice_items", (Shown("description"), Shown("quantity", agg="count")), (Condition("description", "smart", "Econom"),), group_by=("description",)), t)

@@ -73,3 +73,34 @@ def test_guard(spark, data):
     assert guarded(spark, "SELECT * FROM orders", {"orders": orders}).count() == 200
     with pytest.raises(ValueError):
         guarded(spark, "DROP TABLE orders", {})
+
+
+def test_virtual_sources(spark, data):
+    t = Tables(spark, data)
+    assert problems(TableSpec("graph_query")) == ["graph_query needs a filter on start_node"]
+    with pytest.raises(ValueError):
+        compiled(TableSpec("vector_search", sort=(("score", False),)), t)
+    near = TableSpec("vector_search", filters=(Condition("query", "contains", "3"),))
+    assert compiled(near, t).count() == min(50, t("embeddings").count() - 1) and compiled(near, t).columns == ["score", "file_name", "doc_type"]
+    scores = [r.score for r in compiled(near, t).collect()]
+    assert scores == sorted(scores, reverse=True)
+    upward = [r.score for r in compiled(TableSpec("vector_search", filters=near.filters, sort=(("score", False),), limit=7), t).collect()]
+    assert upward == scores[:7][::-1]  # the seven best, then sorted
+    assert compiled(TableSpec("graph_query", filters=(Condition("start_node", "eq", "no such node"),)), t).count() == 0
+    assert repaired(TableSpec("Semantic search", filters=near.filters))[0].source == "vector_search"
+    assert [c.field for c in edited(near, [{"op": "add_column", "field": "doc_id"}]).columns] == ["doc_id"]
+
+
+def test_smart_filters_through_items(spark, data):
+    t = Tables(spark, data)
+    from quarry.plans.catalog import canonical_items
+
+    item = canonical_items(t).orderBy("canonical_id").first()
+    lines = TableSpec("invoice_items", (Shown("description"),), (Condition("description", "smart", item.aliases[0]),))
+    found = {r.description.split(" ")[1] for r in compiled(lines, t).collect()}
+    same = {r.name for r in canonical_items(t).collect() if item.aliases[0] in r.aliases}
+    assert found and found <= same
+    numbers = TableSpec("invoice_items", (Shown("description"),), (Condition("description", "smart", f"{item.aliases[0]} 7"),))
+    assert compiled(numbers, t).count() == 0  # an item does not stand for a number
+    keyed = compiled(lines, t, hidden_key=True)
+    assert keyed.columns == ["description", "__pk"]

@@ -148,7 +148,9 @@ def mentions(df: DataFrame, text: str, families: dict[str, str] | None = None) -
     def of(kind: str):
         return lambda m: F.struct(F.lit(kind).alias("mention_type"), F.trim(F.regexp_replace(m, r"\s+", " ")).alias("mention"))
 
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p)), of(k)) for k, p in (families or MENTIONS).items()]
+    # a pattern that looks for a sign is run where the sign is
+    where = lambda k, c: F.when(F.contains(text, F.lit("@")), c).otherwise(F.array().cast("array<string>")) if k == "email" else c
+    found = [F.transform(where(k, F.regexp_extract_all(text, F.lit(p))), of(k)) for k, p in (families or MENTIONS).items()]
     return df.select("*", F.explode(F.array_distinct(F.concat(*found))).alias("m")).select("*", "m.mention_type", "m.mention").drop("m").where(F.length("mention") >= 3)
 
 

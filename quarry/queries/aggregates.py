@@ -91,10 +91,10 @@ def percentiles(t: Tables):
     return counted.withColumn("upto", upto).withColumn("total", total).groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
-@query("percentile_small_groups", """WITH r AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem WHERE l_linenumber = 1)
-  SELECT l_suppkey, max(l_quantity) FILTER (i = CAST(round_even(0.9 * (n - 1), 0) AS BIGINT) + 1) AS p90 FROM r GROUP BY 1""")
+@query("percentile_small_groups", """WITH r AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM (SELECT l_orderkey AS l_suppkey, l_quantity FROM lineitem))
+  SELECT l_suppkey AS l_orderkey, max(l_quantity) FILTER (i = CAST(round_even(0.9 * (n - 1), 0) AS BIGINT) + 1) AS p90 FROM r GROUP BY l_suppkey""")
 def small_percentiles(t: Tables):
-    return _counted_p90(t("lineitem").where("l_linenumber = 1"))
+    return _counted_p90(t("lineitem").select(F.col("l_orderkey").alias("l_suppkey"), "l_quantity")).withColumnRenamed("l_suppkey", "l_orderkey")
 
 
 @query("percentile_all_lines", """WITH r AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)

@@ -16,9 +16,9 @@ def duplicates(t: Tables):
     return detectors.duplicates(t("orders"), ["o_custkey", "o_orderdate"], "o_orderkey")
 
 
-@query("detect_first_timers", "SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders WHERE o_totalprice > 300000 GROUP BY o_custkey HAVING count(*) = 1")
+@query("detect_first_timers", "SELECT min(o_orderkey) AS o_orderkey, o_custkey || ' ' || o_orderpriority AS buyer FROM orders GROUP BY 2 HAVING count(*) = 1")
 def first_timers(t: Tables):
-    return detectors.first_timers(t("orders").where("o_totalprice > 300000"), "o_custkey", "o_orderkey")
+    return detectors.first_timers(t("orders").withColumn("buyer", F.concat_ws(" ", F.col("o_custkey").cast("string"), "o_orderpriority")), "buyer", "o_orderkey")
 
 
 @query("detect_price_spikes", """WITH p AS (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, o_orderdate, l_extendedprice / l_quantity AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey),

@@ -69,9 +69,9 @@ def entity_edges(t: Tables):
     return edges(t).where("src = 'n3' OR dst = 'n3'").select("src", "dst", F.when(F.col("src") == "n3", "out").otherwise("in").alias("side"))
 
 
-@query("graph_conflicts", """WITH v AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity >= 45) SELECT a.l_orderkey, a.l_suppkey AS first, b.l_suppkey AS second FROM v a JOIN v b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey""")
+@query("graph_conflicts", """WITH v AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) SELECT a.l_orderkey, a.l_suppkey AS first, b.l_suppkey AS second FROM v a JOIN v b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey""")
 def conflicts(t: Tables):
     """Different values of one document, each with the next one: within a document's own short sorted list."""
-    values = t("lineitem").where("l_quantity >= 45").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("v")).where(F.size("v") > 1)
+    values = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("v")).where(F.size("v") > 1)
     pairs = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b > a), lambda b: F.struct(a.alias("first"), b.alias("second")))))
     return values.select("l_orderkey", F.explode(pairs).alias("p")).select("l_orderkey", "p.first", "p.second")

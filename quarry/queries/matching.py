@@ -17,7 +17,7 @@ def _key(x: str) -> str:
 
 
 @query("match_best_catalog_entry", f"""WITH l AS (SELECT DISTINCT {_key("p_brand || ' ' || p_name || ' ' || p_type")} AS key FROM part),
-  n AS (SELECT {_key("p_name || ' fine'")} AS name, min(p_partkey) AS entry FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), r AS (SELECT {_key("p_brand")} AS name, min(p_partkey) AS entry FROM part WHERE p_partkey % 8 = 0 GROUP BY 1),
+  n AS (SELECT {_key("p_name || ' fine'")} AS name, min(p_partkey) AS entry FROM part GROUP BY 1), r AS (SELECT {_key("p_brand")} AS name, min(p_partkey) AS entry FROM part WHERE p_brand LIKE '%3' GROUP BY 1),
   s AS (SELECT key, entry, len(list_intersect(string_split(key, ' '), string_split(name, ' '))) / CAST(len(list_distinct(string_split(name, ' '))) AS DOUBLE) AS score FROM l JOIN n ON true
         UNION ALL SELECT key, entry, 1.0::DOUBLE FROM l JOIN r ON contains(key, r.name)),
   b AS (SELECT key, entry, score, row_number() OVER (PARTITION BY key ORDER BY score DESC, entry) AS place FROM s WHERE score >= 0.5)
@@ -26,19 +26,19 @@ def best_entry(t: Tables):
     """Of each line the entry of which it holds most words, or whose number stands in it."""
     line = F.concat_ws(" ", "p_brand", "p_name", "p_type")
     lines = t("part").select(F.col("p_partkey").alias("line"), text.match_tokens(line).alias("tokens"), text.match_key(line).alias("text"))
-    number = F.when(F.col("p_partkey") % 8 == 0, text.match_key(F.col("p_brand")))
-    entries = t("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("entry"), text.match_tokens(F.concat("p_name", F.lit(" fine"))).alias("tokens"), number.alias("part"))
+    number = F.when(F.col("p_brand").endswith("3"), text.match_key(F.col("p_brand")))
+    entries = t("part").select(F.col("p_partkey").alias("entry"), text.match_tokens(F.concat("p_name", F.lit(" fine"))).alias("tokens"), number.alias("part"))
     return setjoin.best_entries(lines, entries)
 
 
-@query("match_canonical_threshold", f"""WITH e AS (SELECT p_name AS name, min(p_partkey) AS entry FROM part WHERE p_partkey % 2 = 0 GROUP BY 1 UNION ALL SELECT p_type || ' ' || split_part(p_name, ' ', 2) || ' no. ' || p_size % 5, min(p_partkey) FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+@query("match_canonical_threshold", f"""WITH e AS (SELECT p_name AS name, min(p_partkey) AS entry FROM part GROUP BY 1 UNION ALL SELECT p_type || ' ' || split_part(p_name, ' ', 2) || ' no. ' || p_size % 5, min(p_partkey) FROM part GROUP BY 1),
   l AS (SELECT DISTINCT p_name || ' X ' || p_type || ' extra' AS name FROM part), w AS (SELECT name, list_filter(list_distinct(string_split({_key("name")}, ' ')), lambda x: length(x) > 1) AS a FROM l), v AS (SELECT entry, list_filter(list_distinct(string_split({_key("name")}, ' ')), lambda x: length(x) > 1) AS b FROM e),
   s AS (SELECT name, entry, a, b, len(list_intersect(a, b)) AS n FROM w JOIN v ON true), r AS (SELECT name, entry, round(0.7::DOUBLE * (n / CAST(len(b) AS DOUBLE)) + 0.3::DOUBLE * (n / CAST(len(a) + len(b) - n AS DOUBLE)), 3) AS score FROM s),
   b AS (SELECT name, entry, score, row_number() OVER (PARTITION BY name ORDER BY score DESC, entry) AS place FROM r WHERE score >= 0.5)
   SELECT name, entry, score, CASE WHEN score >= 0.75 THEN 'auto' WHEN score IS NULL THEN 'none' ELSE 'review' END AS verdict FROM l LEFT JOIN (SELECT * FROM b WHERE place = 1) USING (name)""")
 def canonical(t: Tables):
     """Names and their other names against lines; what reaches no threshold has no entry."""
-    own = t("part").where("p_partkey % 2 = 0")
+    own = t("part")
     other = F.concat("p_type", F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" no. "), (F.col("p_size") % 5).cast("string"))
     entries = own.select(F.col("p_partkey").alias("entry"), F.explode(F.array("p_name", other)).alias("name")).select("entry", text.match_tokens(F.col("name"), 2).alias("tokens"))
     names = t("part").select(F.concat("p_name", F.lit(" X "), "p_type", F.lit(" extra")).alias("line")).distinct()
@@ -240,13 +240,13 @@ def similar(t: Tables):
 
 # ---- graphs
 
-_edges = "SELECT DISTINCT p_size AS source, p_partkey % 50 + 1 AS target FROM part WHERE p_size <> p_partkey % 50 + 1 AND p_partkey % 4 = 0 AND p_size <= 40"
+_edges = "SELECT DISTINCT p_size AS source, p_partkey % 50 + 1 AS target FROM part WHERE p_size <> p_partkey % 50 + 1"
 
 
 @query("graph_impact_paths", f"""WITH RECURSIVE e AS ({_edges}), r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth, [CAST(1 AS BIGINT)] AS path UNION ALL SELECT e.target, r.depth + 1, list_append(r.path, e.target) FROM r JOIN e ON r.node = e.source WHERE r.depth < 3)
   SELECT node, depth, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, path) AS place FROM r) WHERE place = 1""")
 def impact(t: Tables):
-    edges = t("part").where("p_partkey % 4 = 0 AND p_size <= 40").select(F.col("p_size").cast("long").alias("source"), (F.col("p_partkey") % 50 + 1).alias("target")).where("source <> target").distinct()
+    edges = t("part").select(F.col("p_size").cast("long").alias("source"), (F.col("p_partkey") % 50 + 1).alias("target")).where("source <> target").distinct()
     starts = edges.sparkSession.range(1, 2).select(F.col("id").alias("node"))
     found = matching.reached(edges, starts, 3)
     return found.select("node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))

@@ -10,7 +10,8 @@ alternate, so that each depth is a small group of its own (two rows for each siz
 rounds, the longest of what is left open new sequences, just enough to hold what the open ones have no room for, and the rounds
 repeat until the band is placed.
 
-Ranks among equals are taken in 64 salted groups for each size, so that one size that most pieces share is spread over tasks. Rounds
+Ranks among equals are taken in salted groups, as many for each size as its rows fill (OF_SALT of them each), so that one size that
+most pieces share is spread over tasks. Rounds
 are a few for each of the log2(capacity) bands, however many pieces there are; each is written to the shared folder, so that every
 plan is as small as the first. The driver sees counts of each size alone.
 
@@ -48,7 +49,9 @@ from pyspark.sql import Window as W
 
 from quarry.llm.common import as_bytes, saved, stretches, whole, working_path
 
-CAPACITY, SALTS, MEMO, TOGETHER = 2048, 64, 400_000, 20_000
+CAPACITY, MEMO, TOGETHER = 2048, 400_000, 20_000
+#: Rows of one size that a task ranks; groups of a size that new sequences are chosen from at most.
+OF_SALT, MOST_SALTS = 20_000, 1000
 #: Bytes of text whose chunks a worker holds at a time.
 PART = 2_000_000
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
@@ -177,11 +180,12 @@ def pieces_of(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
-def _matched(slots: DataFrame, pieces: DataFrame, capacity: int) -> DataFrame:
-    """slots: value, seq, gap; pieces: value, row. Columns row, value, seq and offset (null where nothing matches) of each piece."""
+def _matched(slots: DataFrame, pieces: DataFrame, capacity: int, salts: int) -> DataFrame:
+    """slots: value, seq, gap; pieces: value, row. Columns row, value, seq and offset (null where nothing matches) of each piece.
+    salts: groups of each size."""
     both = slots.select("value", F.lit(False).alias("close"), F.col("seq").alias("item"), "gap")
     both = both.unionAll(pieces.select("value", F.lit(True), F.col("row"), F.lit(0).cast("long")))
-    both = both.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
+    both = both.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts)).cast("int"))
     group = W.partitionBy("value", "close")
     sums = both.groupBy("value", "close", "salt").agg(F.count("*").alias("n"))
     sums = sums.withColumn("ahead", F.sum("n").over(group.orderBy("salt")) - F.col("n"))
@@ -191,8 +195,8 @@ def _matched(slots: DataFrame, pieces: DataFrame, capacity: int) -> DataFrame:
     by_size = by_size.withColumn("depth", F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(down), F.lit(0)))
     base = sums.join(by_size, "value").select("value", "close", "salt", (F.col("depth") + F.when(F.col("close"), F.col("opens")).otherwise(0)).alias("depth"), "ahead")
     rank = F.row_number().over(W.partitionBy("value", "close", "salt").orderBy("item"))
-    # base: 2 * capacity * SALTS rows at most
-    placed = both.withColumn("rank", rank).join(F.broadcast(base), ["value", "close", "salt"])
+    # base: a row for each group, which adaptive execution sends to all tasks where it is small
+    placed = both.withColumn("rank", rank).join(base, ["value", "close", "salt"])
     order = F.col("ahead") + F.col("rank")
     level = F.when(F.col("close"), F.col("depth") - order + 1).otherwise(F.col("depth") + order)
     before = F.lag(F.struct("item", "gap", "close")).over(W.partitionBy("level").orderBy(F.col("value").desc(), "close"))
@@ -203,7 +207,7 @@ def _matched(slots: DataFrame, pieces: DataFrame, capacity: int) -> DataFrame:
     return hit.select(F.col("item").alias("row"), "value", F.col("slot.item").alias("seq"), F.when(F.col("slot").isNotNull(), offset).alias("offset"))
 
 
-def _first_of(left: DataFrame, sizes: list[tuple[int, int]], new: int) -> DataFrame:
+def _first_of(left: DataFrame, sizes: list[tuple[int, int]], new: int, salts: int) -> DataFrame:
     """left with a column opens: whether a piece is one of the `new` longest. sizes: value and number of pieces, longest first."""
     for value, n in sizes:
         if new <= n:
@@ -211,8 +215,8 @@ def _first_of(left: DataFrame, sizes: list[tuple[int, int]], new: int) -> DataFr
         new -= n
     longer = left.withColumn("opens", F.col("value") > value)
     # among equals, so many in each salted group
-    salted = longer.where(F.col("value") == value).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
-    counts = dict(salted.groupBy("salt").count().collect())  # SALTS rows at most
+    salted = longer.where(F.col("value") == value).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(min(salts, MOST_SALTS))))
+    counts = dict(salted.groupBy("salt").count().collect())  # MOST_SALTS rows at most
     quota, rest = {}, new
     for salt, n in sorted(counts.items()):
         quota[salt] = min(n, rest)
@@ -223,6 +227,19 @@ def _first_of(left: DataFrame, sizes: list[tuple[int, int]], new: int) -> DataFr
     return longer.where(F.col("value") != value).unionByName(equal)
 
 
+def _salts(band: list[tuple[int, int]], gaps: dict[int, int], top: int, low: int, new: int) -> int:
+    """Groups that the most frequent size of pieces or of slots fills. band: sizes of pieces and their numbers; gaps: of sequences."""
+    slots: dict[int, int] = {}
+    for gap, n in gaps.items():
+        if gap > low:
+            k = max(1, gap // top)
+            last = gap - (k - 1) * top
+            slots[last] = slots.get(last, 0) + n
+            slots[top] = slots.get(top, 0) + n * (k - 1)
+    most = max([*(n for _, n in band), *(n for n in slots.values())], default=0) + new * max(1, CAPACITY // top)
+    return 1 + most // OF_SALT
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces: row (unique), length (1 to capacity). Columns row, sequence_id, offset."""
     spark = pieces.sparkSession
@@ -241,6 +258,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # open sequences: seq, gap
     opened = placed.select("seq", (F.lit(capacity) - F.col("value")).alias("gap")).where("gap > 0")
     sizes = pieces.groupBy("value").agg(F.count("*")).collect()  # a row for each length, `capacity` at most
+    gaps: dict[int, int] = {}
+    for value, n in sizes:
+        if value > capacity // 2:
+            gaps[capacity - value] = n
     bound = capacity // 2
     while bound >= 1:
         low = bound // 2 if bound > 64 else 0
@@ -248,9 +269,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         band, room = sorted(((v, m) for v, m in sizes if low < v <= bound), reverse=True), None
         while band:
             words, top = sum(v * m for v, m in band), band[0][0]
-            begun = None
+            begun, new = None, 0
             if room is not None and words > room:  # as many new sequences as fill up with what the open ones can't hold
-                ranked = _first_of(left, band, min(-(-(words - room) // capacity), sum(m for _, m in band)))
+                new = min(-(-(words - room) // capacity), sum(m for _, m in band))
+                ranked = _first_of(left, band, new, _salts(band, {}, top, low, 0))
                 begun = ranked.where("opens").select("row", "value")
                 left = ranked.where("not opens").select("row", "value")
                 # the new ones' gaps count from their first piece on
@@ -263,7 +285,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 .withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k"))))
                 .select("seq", "gap", F.when(F.col("j") < F.col("k"), F.lit(top).cast("long")).otherwise(F.col("gap") - (F.col("k") - 1) * top).alias("value"))
             )
-            found = _matched(slots, left, capacity)
+            found = _matched(slots, left, capacity, _salts(band, gaps, top, low, new))
             if begun is not None:
                 found = found.unionAll(begun.select("row", "value", F.col("row"), zero))
             found = stored(found)
@@ -273,6 +295,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             both = left.select("value", F.lit(True).alias("is_left")).unionAll(opened.select("gap", F.lit(False)))
             counts = both.groupBy("value", "is_left").agg(F.count("*").alias("n")).collect()  # 2 * capacity rows at most
             band = sorted(((r.value, r.n) for r in counts if r.is_left), reverse=True)
+            gaps = {r.value: r.n for r in counts if not r.is_left}
             room = sum(r.value * r.n for r in counts if not r.is_left and r.value >= bound)
         bound = low
     every = spark.read.schema(placed.schema).parquet(*(f"{folder}/round={i}" for i in range(rounds)))

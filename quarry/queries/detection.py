@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import detectors
+from quarry.operators import detectors, tolerance
 from quarry.functions import checks
 from quarry.plans.catalog import Tables
 from quarry.queries import query
@@ -146,3 +146,18 @@ def compliance(t: Tables):
     return counts.select(F.explode(F.array(*(F.struct(F.lit(w).alias("keyword"), F.col(w).alias("missing")) for w in words))).alias("x")).select("x.*")
 
 
+
+
+@query("dedup_within_tolerance", """WITH RECURSIVE f AS (SELECT p_brand AS kind, 100.0::DOUBLE + p_size AS value, p_partkey AS seq, (p_partkey * 37 % 101) / 101.0::DOUBLE AS sure, p_type AS view FROM part),
+  d AS (SELECT kind, value, min(seq) AS seq FROM f GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY seq) AS n FROM d),
+  r(kind, n, value, head, heads) AS (SELECT kind, n, value, value, [value] FROM o WHERE n = 1 UNION ALL
+    SELECT kind, n, value, coalesce(list_filter(heads, lambda h: abs(h - value) / greatest(h, value) < 0.02)[1], value), CASE WHEN len(list_filter(heads, lambda h: abs(h - value) / greatest(h, value) < 0.02)) > 0 THEN heads ELSE list_append(heads, value) END
+    FROM (SELECT o.kind, o.n, o.value, r.heads FROM r JOIN o ON o.kind = r.kind AND o.n = r.n + 1)),
+  g AS (SELECT f.*, head, row_number() OVER (PARTITION BY f.kind, head ORDER BY sure DESC, f.seq) AS place FROM f JOIN r ON f.kind = r.kind AND f.value = r.value),
+  s AS (SELECT kind, head, count(*) AS votes, string_agg(DISTINCT view, ',' ORDER BY view) AS views FROM g GROUP BY 1, 2)
+  SELECT kind, seq, value, round(CASE WHEN votes >= 2 THEN least(1.0, sure + 0.1) ELSE sure END, 3) AS confidence, views, votes FROM g JOIN s USING (kind, head) WHERE place = 1""")
+def within_tolerance(t: Tables):
+    """Sizes of a brand that are the same within two percent: the surest, who says so, and how many."""
+    rows = t("part").select(F.col("p_brand").alias("kind"), (F.lit(100.0) + F.col("p_size")).alias("value"), F.col("p_partkey").alias("seq"), ((F.col("p_partkey") * 37 % 101) / 101.0).alias("sure"), F.col("p_type").alias("view"))
+    found = tolerance.same_within(rows, "kind", "value", "seq", "sure", "view")
+    return found.select("kind", "seq", "value", "confidence", F.array_join("views", ",").alias("views"), "votes")

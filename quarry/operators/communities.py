@@ -94,7 +94,7 @@ def _level(edges: DataFrame, nodes: DataFrame, rounds: int) -> tuple[DataFrame,
     return state, moved
 
 
-def communities(edges: DataFrame, levels: int = 6, rounds: int = 16) -> DataFrame:
+def communities(edges: DataFrame, levels: int = 4, rounds: int = 10) -> DataFrame:
     """node, component, community of edges (src, dst, and weight where there is one), taken as undirected."""
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     simple = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), weight.alias("weight")).where("src IS NOT NULL AND dst IS NOT NULL AND weight > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import graph
+from quarry.operators import communities, graph, typed_graph
 from quarry.plans.catalog import Tables
 from quarry.queries import query
 
@@ -75,3 +75,34 @@ def conflicts(t: Tables):
     values = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("v")).where(F.size("v") > 1)
     pairs = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b > a), lambda b: F.struct(a.alias("first"), b.alias("second")))))
     return values.select("l_orderkey", F.explode(pairs).alias("p")).select("l_orderkey", "p.first", "p.second")
+
+
+_typed = "t AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target, 'depends_on' AS type FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'mates_with' FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'part_of' FROM nation), a AS (SELECT source, target FROM t WHERE type = 'mates_with' UNION SELECT target, source FROM t)"
+
+
+@query("graph_typed_impact", f"""WITH RECURSIVE {_typed}, w(node, depth, path) AS (SELECT 'r1', 0, ['r1'] UNION ALL SELECT a.target, depth + 1, list_append(path, a.target) FROM w JOIN a ON a.source = w.node WHERE NOT list_contains(path, a.target)),
+  b AS (SELECT node, depth, path, row_number() OVER (PARTITION BY node ORDER BY depth, path) AS place FROM w)
+  SELECT node, CASE substr(node, 1, 1) WHEN 'c' THEN 'Artifact' WHEN 's' THEN 'View' WHEN 'n' THEN 'Component' ELSE 'System' END AS type, CAST(depth AS INT) AS depth, array_to_string(path, '>') AS path, depth = 1 AS direct FROM b WHERE place = 1""")
+def typed_impact(t: Tables):
+    """What a change of a region affects, to any depth, with the way there; cycles of mates included."""
+    e = edges(t)
+    kind = F.when(F.col("src").startswith("c"), "depends_on").when(F.col("src").startswith("s"), "mates_with").otherwise("part_of")
+    typed = e.select(F.col("src").alias("source"), F.col("dst").alias("target"), kind.alias("type"))
+    nodes = e.select("src").unionAll(e.select("dst")).distinct().withColumnRenamed("src", "node")
+    what = F.when(F.col("node").startswith("c"), "Artifact").when(F.col("node").startswith("s"), "View").when(F.col("node").startswith("n"), "Component").otherwise("System")
+    found = typed_graph.impact_report(nodes.withColumn("type", what), typed, nodes.where("node = 'r1'"))
+    return found.select("node", "type", "depth", F.array_join("path", ">").alias("path"), "direct")
+
+
+@query("graph_components", "WITH e AS (SELECT p_partkey AS src, p_partkey + p_size * 97 AS dst FROM part), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT count(*) AS nodes, count(DISTINCT node) AS names FROM (SELECT src AS node FROM u UNION SELECT dst FROM u)")
+def component_nodes(t: Tables):
+    """Every node of the edges between parts has one component."""
+    e = t("part").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size") * 97).alias("dst"))
+    return communities.components(e).agg(F.count("*").alias("nodes"), F.count_distinct("node").alias("names"))
+
+
+@query("graph_communities")
+def community_sizes(t: Tables):
+    """Communities of all customers, suppliers and places by modularity, with their sizes."""
+    found = communities.communities(edges(t))
+    return found.groupBy("component", "community").agg(F.count("*").alias("size"))

@@ -9,6 +9,8 @@ from quarry.functions import repair
 from quarry.operators import lifecycle
 from quarry.plans.catalog import Tables
 from quarry.queries import query
+from quarry.sources import revisions
+from quarry.sources.shared import shared_path
 
 
 @query("scope_visibility", """SELECT event_id, ['global', 'owner', 'department', 'session'][CAST(event_id % 4 + 1 AS INT)] AS scope FROM events
@@ -292,3 +294,27 @@ def merged_maps(t: Tables):
     kinds = t("events").groupBy("user_id", "event_type").agg(F.max(F.get_json_object("props", "$.k").cast("int")).alias("k"))
     maps = kinds.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "k"))).alias("m"))
     return maps.select("user_id", F.try_element_at("m", F.lit("view")).alias("view"), F.try_element_at("m", F.lit("error")).alias("error"))
+
+
+@query("revision_patches", """SELECT 'p' || p_partkey AS id, p_name AS value, CASE WHEN p_size > 25 THEN 'human_approved' ELSE 'proposed' END AS assurance, CASE WHEN p_size = 50 THEN 'retracted' WHEN p_size <= 25 AND p_type = 'SMALL' THEN 'superseded' ELSE 'active' END AS state, NULL AS supersedes FROM part
+  UNION ALL SELECT 'n' || p_partkey, upper(p_name), 'proposed', 'active', 'p' || p_partkey FROM part WHERE p_size <= 25 AND p_type = 'SMALL'""")
+def patched(t: Tables):
+    """All parts as assertions: a reader's patch replaces small proposed ones, a second try of it and a stale one fail, and a person's
+    retracts approved ones."""
+    parts = t("part").withColumn("id", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    table = revisions.Revisions(t.spark, shared_path(t.spark, "revisions"))
+    first = table.create(parts.select("id", F.col("p_name").alias("value"), F.when(F.col("p_size") > 25, "human_approved").otherwise("proposed").alias("assurance")))
+    none = F.lit(None).cast("string")
+    small = parts.where("p_size <= 25 AND p_type = 'SMALL'")
+    new = small.select(F.lit("add").alias("op"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("id"), F.upper("p_name").alias("value"), F.lit("proposed").alias("assurance"), F.col("id").alias("supersedes"))
+    ends = lambda rows, op: rows.select(F.lit(op).alias("op"), "id", none.alias("value"), none.alias("assurance"), none.alias("supersedes"))
+    change, gone = new.unionAll(ends(small, "supersede")), ends(parts.where("p_size = 50"), "retract")
+    second = table.apply(change, first, "k1", "reader")
+    for again, base, key in ((change, second, "k1"), (gone, first, "k2")):
+        try:
+            table.apply(again, base, key, "human")
+        except revisions.PatchError:
+            continue
+        raise AssertionError("a patch that must fail was taken")
+    table.apply(gone, second, "k3", "human")
+    return table.read()

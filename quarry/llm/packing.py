@@ -38,11 +38,12 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -240,8 +241,26 @@ def _salts(band: list[tuple[int, int]], gaps: dict[int, int], top: int, low: int
     return 1 + most // OF_SALT
 
 
+@contextmanager
+def _interpreted(spark: SparkSession) -> Iterator[None]:
+    """No code for whole stages meanwhile: a band's rounds are many small plans, each with numbers of its own, and the driver would
+    compile classes for every one of their stages, whose memory it gives back late."""
+    key = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces: row (unique), length (1 to capacity). Columns row, sequence_id, offset."""
+    with _interpreted(pieces.sparkSession):
+        return _packed_in_rounds(pieces, capacity)
+
+
+def _packed_in_rounds(pieces: DataFrame, capacity: int) -> DataFrame:
     spark = pieces.sparkSession
     pieces = pieces.select("row", F.col("length").alias("value"))
     folder, rounds = working_path(spark, "placed"), 0

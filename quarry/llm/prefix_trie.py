@@ -83,7 +83,9 @@ def members(found: DataFrame) -> DataFrame:
         "conv", "depth", "chars", "size", *((F.col(n) - F.col(f"{n} start") + F.col(f"{n} first")).alias(n) for n in LANES)
     ), "prefixes")
     key = ["depth", *LANES]
-    nodes = named.groupBy(key).agg(F.min("conv").alias("node"), F.count("*").alias("n_convs"), F.sum(F.col("size") - F.col("depth") + 1).alias("below"))
+    below = F.sum(F.col("size") - F.col("depth") + 1).alias("below")
+    # a table of its own, so that adaptive execution can split the rows of a node that many conversations share
+    nodes = saved(named.groupBy(key).agg(F.min("conv").alias("node"), F.count("*").alias("n_convs"), below), "named-nodes")
     return named.join(nodes, key).select("conv", "depth", "chars", "size", "node", "n_convs", "below")
 
 

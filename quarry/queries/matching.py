@@ -8,7 +8,6 @@ from quarry.functions import repair, text
 from quarry.operators import matching, retrieval, setjoin
 from quarry.plans.catalog import Tables
 from quarry.queries import query
-from quarry.queries.aggregates import money
 
 # ---- matches
 
@@ -134,13 +133,24 @@ _lines = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey
 
 
 def pivot(t: Tables, dimension):
-    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
-    return lines.groupBy(dimension.alias("dimension")).agg(
-        F.count("*").alias("item_count"), F.countDistinct("o_orderkey").alias("invoice_count"), money("l_extendedprice").alias("total_amount"), (money("l_extendedprice") / F.count("*")).alias("avg_amount"),
-        F.min("l_extendedprice").alias("min_amount"), F.max("l_extendedprice").alias("max_amount"), money("l_quantity").alias("quantity"), listed("l_returnflag").alias("currencies"), listed("o_orderstatus").alias("statuses"),
-        F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date"), F.countDistinct("l_suppkey").alias("supplier_count"),
+    """dimension: of a line and its part. Lines are summed for each value and order first, so that orders are counted as rows, and the
+    few columns of orders are met after that; suppliers are counted from distinct pairs."""
+    lines = t("lineitem").join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).withColumn("dimension", dimension)
+    exact = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
+    by_order = lines.groupBy("dimension", "l_orderkey").agg(
+        F.count("*").alias("n"), exact("l_extendedprice").alias("amount"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"), exact("l_quantity").alias("pieces"),
+        F.array_sort(F.collect_set("l_returnflag")).alias("flags"),
     )
+    orders = t("orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    total, n = F.sum("amount").cast("double"), F.sum("n")
+    found = by_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("dimension").agg(
+        n.alias("item_count"), F.count("*").alias("invoice_count"), total.alias("total_amount"), (total / n).alias("avg_amount"), F.min("least").alias("min_amount"), F.max("most").alias("max_amount"),
+        F.sum("pieces").cast("double").alias("quantity"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))), ", ").alias("currencies"),
+        F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ", ").alias("statuses"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date"),
+    )
+    suppliers = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("dimension", "l_suppkey").distinct()
+    suppliers = suppliers.groupBy(F.col("dimension").alias("of")).agg(F.count("l_suppkey").alias("supplier_count"))
+    return found.join(suppliers, F.col("dimension").eqNullSafe(F.col("of"))).drop("of")
 
 
 @query("pivot_item", f"SELECT p_name AS dimension, {_pivot} FROM {_lines} GROUP BY 1")
@@ -155,7 +165,7 @@ def pivot_currency(t: Tables):
 
 @query("pivot_invoice", f"SELECT CAST(o_orderkey AS VARCHAR) AS dimension, {_pivot} FROM {_lines} GROUP BY 1")
 def pivot_invoice(t: Tables):
-    return pivot(t, F.col("o_orderkey").cast("string"))
+    return pivot(t, F.col("l_orderkey").cast("string"))
 
 
 # ---- searches

@@ -208,3 +208,27 @@ def conversation_trie(conversations: DataFrame) -> DataFrame:
     found = saved(turns(conversations), "placed")
     convs = saved(found.select("conv").distinct(), "convs")
     return trie(saved(rebuilt(found, convs), "rebuilt"), convs)
+
+
+_digest = "sha256(strlen(role) || ':' || role || text)"
+_crc = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda s, b: list_reduce(list_concat([xor(s, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"
+#: The same in SQL, by a walk up from every node.
+ORACLE = f"""
+WITH t AS (SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, {_digest}) - 1 AS place
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+v AS (SELECT c, {_crc} % 6 AS h FROM (SELECT DISTINCT c FROM t)), m AS (SELECT c AS base, count(*) AS size FROM t GROUP BY 1),
+r AS (SELECT v.c, place + 1 AS d, role, text FROM v JOIN t ON t.c = v.c - v.c % 100 WHERE place < h
+      UNION ALL SELECT v.c, place - h + least(h, coalesce(size, 0)) + 1, role, text FROM v JOIN t ON t.c = v.c AND place >= h LEFT JOIN m ON base = v.c - v.c % 100),
+k AS (SELECT c, d, text, md5(string_agg({_digest}, ',') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS key FROM r),
+n AS (SELECT key, d, min(c) AS node, count(*) AS n_convs, length(any_value(text)) AS chars FROM k GROUP BY 1, 2),
+o AS (SELECT min(c) AS root, count(*) AS n_convs FROM v HAVING count(*) > 0),
+up AS (SELECT k.c, k.d, node FROM k JOIN n ON n.key = k.key AND n.d = k.d UNION ALL SELECT c, 0, root FROM v, o),
+nodes AS (SELECT node, d, n_convs, chars FROM n UNION ALL SELECT root, 0, n_convs, 0 FROM o),
+p AS (SELECT nodes.*, up.node AS parent FROM nodes LEFT JOIN up ON up.c = nodes.node AND up.d = nodes.d - 1),
+kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM p WHERE parent IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN kids ON kids.node = p.node AND kids.d = p.d),
+s AS (SELECT up.node, up.d, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM w JOIN up ON up.c = w.node AND up.d <= w.d GROUP BY 1, 2),
+e AS (SELECT up.node, up.d, sha256(string_agg(CAST(up.c AS VARCHAR), ',' ORDER BY up.c)) AS ends FROM up JOIN (SELECT c, max(d) AS d FROM up GROUP BY 1) l ON l.c = up.c AND l.d = up.d GROUP BY 1, 2)
+SELECT w.node AS conv_id, CAST(w.d AS BIGINT) AS depth, w.parent AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM w JOIN s ON s.node = w.node AND s.d = w.d LEFT JOIN e ON e.node = w.node AND e.d = w.d
+"""

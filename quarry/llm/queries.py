@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, mixing, topk
+from quarry.llm import line_dedup, mixing, prefix_trie, spelling, topk
 from quarry.llm.common import fresh_path, table
 
 #: Vocabularies of public tokenizers: for counts, and for packed sequences.
@@ -133,4 +133,6 @@ ORACLES: dict[str, str] = {
     "op2_topk": topk.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op11_spelling": spelling.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }

@@ -137,3 +137,19 @@ def variants(words: DataFrame, word_col: str = "word", n_col: str = "n", times:
     steps = math.ceil(math.log(counts[1] / counts[0], times)) + 1 if counts[0] else 0
     roots = _roots(known.where("form IS NOT NULL"), steps)
     return known.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+_bytes = "list_transform(generate_series(1, CAST(length(x) / 2 AS INT)), lambda i: CAST('0x' || substr(x, CAST(2 * i - 1 AS INT), 2) AS BIGINT))"
+_step = "list_reduce(list_concat([xor(s, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: xor(v >> 1, 3988292384::BIGINT * (v & 1)))"
+#: The same in SQL: words that are alike without one character, and a walk along forms.
+ORACLE = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 5 GROUP BY 1, 2),
+h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], {_bytes}), lambda s, b: {_step}), 4294967295::BIGINT) AS h FROM (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM r)),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM h) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+f AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS best, max(n) AS most FROM p GROUP BY 1),
+v AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN best END AS form, CASE WHEN most >= 2 * w.n THEN most END AS form_n FROM w LEFT JOIN f USING (word)),
+u AS (SELECT word, word AS at, form AS next FROM v UNION ALL SELECT u.word, u.next, v.form FROM u JOIN v ON v.word = u.next)
+SELECT v.word, v.form, u.at AS root, v.n, v.n_near, v.form_n FROM v JOIN u ON u.word = v.word AND u.next IS NULL
+"""

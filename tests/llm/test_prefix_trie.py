@@ -5,9 +5,10 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
-from quarry.llm.prefix_trie import conversation_trie, ends_digest, subtree_sums
+from quarry.llm.prefix_trie import ORACLE, conversation_trie, ends_digest, subtree_sums
 from quarry.llm.queries import QUERIES
 
 SCHEMA = "conv_id long, turn long, role string, text string, row string, node long, depth string, place long"
@@ -104,3 +105,9 @@ def test_query(spark, data):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = [tuple(r) for r in QUERIES["op12_prefix_trie"](spark, data).collect()]
     assert len(got) == len(set(got)) and set(got) == plain(rows)
+
+
+def test_equals_sql(spark, data):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{data}/conversations.parquet'")
+    assert {tuple(r) for r in QUERIES["op12_prefix_trie"](spark, data).collect()} == set(con.execute(ORACLE).fetchall())

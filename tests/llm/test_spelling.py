@@ -5,8 +5,10 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
+
 from quarry.llm.queries import QUERIES
-from quarry.llm.spelling import variants, word_counts
+from quarry.llm.spelling import ORACLE, variants, word_counts
 
 
 def one_edit(a, b):
@@ -86,3 +88,9 @@ def test_query(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     n = plain_counts([tuple(r) for r in docs.select("doc_id", "text").collect()])
     assert got(QUERIES["op11_spelling"](spark, data)) == plain_variants(n)
+
+
+def test_equals_sql(spark, data):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    assert got(QUERIES["op11_spelling"](spark, data)) == set(con.execute(ORACLE).fetchall())

@@ -53,6 +53,32 @@ def net_price(price: Column, rate: Column, held: Column, pack: Column) -> Column
     return F.when(held, price / (1 + share)).otherwise(price) / F.greatest(F.lit(1.0), F.coalesce(pack.cast("double"), F.lit(1.0)))
 
 
+#: The tax rate where none is given, and days after which a price is old.
+TAX_RATE, STALE_AFTER = 0.2, 180
+
+
+def on_basis(price: Column, rate: Column, held: Column, pack: Column, target_held: Column) -> Column:
+    """A catalog's price for one piece, with the tax if the target's prices hold it, else without: price (4 digits), tax_assumed (it was
+    not said whether the price holds the tax: it is taken not to), pack_normalized. A rate above 1 is a percentage."""
+    packed = F.coalesce(pack > 1, F.lit(False))
+    one = F.when(packed, price / pack).otherwise(price)
+    share = F.coalesce(F.when(rate > 1, rate / 100).otherwise(rate), F.lit(TAX_RATE))
+    own = F.coalesce(held, F.lit(False))
+    brought = F.when(target_held & ~own, one * (1 + share)).when(~target_held & own, one / (1 + share)).otherwise(one)
+    return F.struct(brought.alias("exact"), F.round(brought, 4).alias("price"), held.isNull().alias("tax_assumed"), packed.alias("pack_normalized"))
+
+
+def price_comparison(price: Column, known: Column, on: Column, valid_until: Column, recorded: Column, room_percent: float = 5.0) -> Column:
+    """An invoice's price against a catalog's (exact, on the same basis): verdict (unknown where either is missing or 0), difference_pct
+    (2 digits), stale_days (of prices past their date, or old ones without a date)."""
+    missing = price.isNull() | (price == 0) | known.isNull() | (known == 0)
+    gap = F.try_divide(price - known, known) * 100
+    verdict = F.when(missing, "unknown").when(F.abs(gap) <= room_percent, "ok").when(gap > 0, "above_catalog").otherwise("below_catalog")
+    age = F.datediff(on, F.coalesce(valid_until, recorded))
+    stale = F.when(F.when(valid_until.isNotNull(), age > 0).otherwise(age > STALE_AFTER), age)
+    return F.struct(verdict.alias("verdict"), F.when(~missing, F.round(gap, 2)).alias("difference_pct"), F.when(~missing, stale).alias("stale_days"))
+
+
 def price_verdict(price: Column, known: Column, age_days: Column, room: float = 0.05, stale: int = 180) -> Column:
     """no_price, stale, ok within the room, else higher or lower."""
     gap = (price - known) / known

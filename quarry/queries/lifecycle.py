@@ -233,15 +233,24 @@ def coerced(t: Tables):
     return t("orders").select("o_orderkey", repair.typed(money(F.col("o_totalprice")), "number").alias("number"), repair.typed(written, "date").alias("date"))
 
 
-@query("catalog_price_check", """WITH c AS (SELECT l_orderkey, l_linenumber, p_retailprice AS known, l_extendedprice / l_quantity AS price, l_tax, p_size, date_diff('day', l_shipdate, TIMESTAMP '2002-01-01') AS age FROM lineitem JOIN part ON l_partkey = p_partkey),
-  n AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN price / (1 + l_tax) ELSE price END / greatest(1.0, CASE WHEN p_size % 5 = 0 THEN 2.0 ELSE 1.0 END) AS net FROM c)
-  SELECT l_orderkey, l_linenumber, CASE WHEN age > 700 THEN 'stale' WHEN abs((net - known) / known) <= 0.05 + 1e-9 THEN 'ok' WHEN net > known THEN 'higher' ELSE 'lower' END AS verdict FROM n""")
+@query("catalog_price_check", """WITH c AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice / l_quantity AS price, l_linenumber % 2 = 0 AS target, p_retailprice / CASE WHEN p_size % 5 = 0 THEN 2 ELSE 1 END AS one, p_size % 5 = 0 AS packed,
+    CASE p_size % 4 WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 20 / 100.0::DOUBLE ELSE 0.1::DOUBLE END AS share, CASE p_size % 3 WHEN 1 THEN true WHEN 2 THEN false END AS held, CAST(l_shipdate AS DATE) AS shipped, date_diff('day', CAST(l_shipdate AS DATE), DATE '1999-01-01') AS age FROM lineitem JOIN part ON l_partkey = p_partkey),
+  n AS (SELECT *, CASE WHEN target AND NOT coalesce(held, false) THEN one * (1 + share) WHEN NOT target AND coalesce(held, false) THEN one / (1 + share) ELSE one END AS exact FROM c)
+  SELECT l_orderkey, l_linenumber, l_suppkey, round(exact, 4) AS catalog_price, held IS NULL AS tax_assumed, packed AS pack_normalized, CASE WHEN abs((price - exact) / exact * 100) <= 5 THEN 'ok' WHEN price > exact THEN 'above_catalog' ELSE 'below_catalog' END AS verdict,
+         round((price - exact) / exact * 100, 2) AS difference_pct, CASE WHEN CASE WHEN l_linenumber = 3 THEN age > 0 ELSE age > 180 END THEN age END AS stale_days FROM n""")
 def price_check(t: Tables):
+    """Every line against its part's price, brought to the line's own basis of tax and piece."""
     rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    pack = F.when(F.col("p_size") % 5 == 0, 2)
-    net = repair.net_price(F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_tax"), F.col("l_linenumber") % 2 == 0, pack)
-    age = F.datediff(F.lit("2002-01-01").cast("date"), F.col("l_shipdate").cast("date"))
-    return rows.select("l_orderkey", "l_linenumber", repair.price_verdict(net, F.col("p_retailprice"), age, stale=700).alias("verdict"))
+    size, target, shipped = F.col("p_size"), F.col("l_linenumber") % 2 == 0, F.col("l_shipdate").cast("date")
+    rate = F.when(size % 4 == 1, 20.0).when(size % 4 > 1, 0.1)
+    held = F.when(size % 3 == 1, True).when(size % 3 == 2, False)
+    known = repair.on_basis(F.col("p_retailprice"), rate, held, F.when(size % 5 == 0, 2), target)
+    brought = rows.select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("paid"), known.alias("known"), shipped.alias("shipped"))
+    until = F.when(F.col("l_linenumber") == 3, F.col("shipped"))
+    found = brought.withColumn("found", repair.price_comparison(F.col("paid"), F.col("known.exact"), F.lit("1999-01-01").cast("date"), until, F.col("shipped")))
+    return found.select(
+        "l_orderkey", "l_linenumber", "l_suppkey", F.col("known.price").alias("catalog_price"), "known.tax_assumed", "known.pack_normalized", "found.verdict", "found.difference_pct", "found.stale_days",
+    )
 
 
 @query("requisite_check", r"""WITH r AS (SELECT s_suppkey, repeat('7', CAST(8 + s_suppkey % 5 AS INT)) AS inn, CASE WHEN s_suppkey % 3 > 0 THEN repeat('1', CAST(8 + s_suppkey % 3 AS INT)) END AS kpp FROM supplier),

@@ -128,3 +128,21 @@ def test_agreement(spark):
     ]
     found = lifecycle.agreement(spark.createDataFrame(rows, "k long, main boolean, n string, d string, x double"), ["k"], F.col("main"), ["n"], ["n", "d", "x"], ["x"])
     assert {r.k: (round(r.score, 3), r.accepted) for r in found.collect()} == {1: (1.0, True), 2: (0.5, False), 3: (0.0, False), 4: (0.0, False), 5: (0.667, False), 6: (0.0, False)}
+
+
+def test_prices_on_one_basis(spark):
+    """price, rate, held, pack, whether the invoice's prices hold the tax: the price, what was assumed, whether a pack was divided."""
+    cases = [
+        ((100.0, None, None, None, True), (120.0, True, False)), ((120.0, 20.0, True, 2, False), (50.0, False, True)), ((110.0, 0.1, True, 1, True), (110.0, False, False)), ((100.0, 0.1, False, None, True), (110.0, False, False)),
+        ((100.0, None, None, 4, False), (25.0, True, True)),
+    ]
+    frame = spark.createDataFrame([(i, *given) for i, (given, _) in enumerate(cases)], "i int, p double, r double, h boolean, k int, t boolean")
+    found = frame.select("i", repair.on_basis(F.col("p"), F.col("r"), F.col("h"), F.col("k"), F.col("t")).alias("x")).orderBy("i").collect()
+    assert [(r.x.price, r.x.tax_assumed, r.x.pack_normalized) for r in found] == [want for _, want in cases]
+    day = F.lit("2024-01-10").cast("date")
+    none = F.lit(None).cast("date")
+    one = spark.range(1).select(
+        repair.price_comparison(F.lit(105.0), F.lit(100.0), day, none, F.lit("2024-01-01").cast("date")).alias("a"), repair.price_comparison(F.lit(106.0), F.lit(100.0), day, F.lit("2024-01-09").cast("date"), none).alias("b"),
+        repair.price_comparison(F.lit(90.0), F.lit(100.0), day, none, F.lit("2023-01-01").cast("date")).alias("c"), repair.price_comparison(F.lit(0.0), F.lit(100.0), day, none, none).alias("d"),
+    ).first()
+    assert [tuple(x) for x in one] == [("ok", 5.0, None), ("above_catalog", 6.0, 1), ("below_catalog", -10.0, 374), ("unknown", None, None)]

@@ -237,7 +237,7 @@ def coerced(t: Tables):
     CASE p_size % 4 WHEN 0 THEN 0.2::DOUBLE WHEN 1 THEN 20 / 100.0::DOUBLE ELSE 0.1::DOUBLE END AS share, CASE p_size % 3 WHEN 1 THEN true WHEN 2 THEN false END AS held, CAST(l_shipdate AS DATE) AS shipped, date_diff('day', CAST(l_shipdate AS DATE), DATE '1999-01-01') AS age FROM lineitem JOIN part ON l_partkey = p_partkey),
   n AS (SELECT *, CASE WHEN target AND NOT coalesce(held, false) THEN one * (1 + share) WHEN NOT target AND coalesce(held, false) THEN one / (1 + share) ELSE one END AS exact FROM c)
   SELECT l_orderkey, l_linenumber, l_suppkey, round(exact, 4) AS catalog_price, held IS NULL AS tax_assumed, packed AS pack_normalized, CASE WHEN abs((price - exact) / exact * 100) <= 5 THEN 'ok' WHEN price > exact THEN 'above_catalog' ELSE 'below_catalog' END AS verdict,
-         round((price - exact) / exact * 100, 2) AS difference_pct, CASE WHEN CASE WHEN l_linenumber = 3 THEN age > 0 ELSE age > 180 END THEN age END AS stale_days FROM n""")
+         round((price - exact) / exact * 100, 2) + 0.0 AS difference_pct, CASE WHEN CASE WHEN l_linenumber = 3 THEN age > 0 ELSE age > 180 END THEN age END AS stale_days FROM n""")
 def price_check(t: Tables):
     """Every line against its part's price, brought to the line's own basis of tax and piece."""
     rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))

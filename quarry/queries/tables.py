@@ -247,7 +247,7 @@ _near = "{0} / (sqrt({1}) * sqrt({2}))".format(_dot.format("e.embedding", "q.emb
 
 
 @query("spec_vector_search", f"""WITH s AS (SELECT e.vec_id, e.label, {_near} AS x FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE e.vec_id <> 5 AND e.label = 2), k AS (SELECT * FROM s ORDER BY x DESC, vec_id LIMIT 25)
-  SELECT round(x, 3) AS score, 'vector ' || vec_id AS file_name, CAST(label AS VARCHAR) AS doc_type FROM k""")
+  SELECT round(x, 3) + 0.0 AS score, 'vector ' || vec_id AS file_name, CAST(label AS VARCHAR) AS doc_type FROM k""")
 def vector_table(t: Tables):
     spec = TableSpec("vector_search", filters=(Condition("query", "contains", "5"), Condition("doc_type", "eq", "2")), sort=(("file_name", False),), limit=25)
     return compiled(spec, t)

@@ -8,7 +8,7 @@ from quarry.plans.catalog import Tables
 from quarry.queries import query
 from quarry.sources.shared import shared_path
 from quarry.streaming import work
-from quarry.streaming.upserts import EVERYONE, KeyedTable, routed
+from quarry.streaming.upserts import EVERYONE, KeyedTable, heard
 
 _kinds = "CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'heartbeat' WHEN 'purchase' THEN 'finish' ELSE 'fail' END"
 
@@ -57,5 +57,5 @@ def routes(t: Tables):
     """How many messages each subscriber hears on each channel; signups go to everyone."""
     kind = F.when(F.col("s_nationkey") % 4 == 0, "view").when(F.col("s_nationkey") % 4 == 1, "click").when(F.col("s_nationkey") % 4 == 2, "error").otherwise("purchase")
     channel = F.when(F.col("event_type") == "signup", EVERYONE).otherwise(F.col("event_type"))
-    found = routed(t("events").select("event_id", channel.alias("channel")), t("supplier").select(kind.alias("channel"), F.col("s_suppkey").alias("subscriber")))
-    return found.groupBy("subscriber", "channel").agg(F.count("*").alias("messages"), F.max("event_id").alias("last_message"))
+    subscriptions = t("supplier").select(kind.alias("channel"), F.col("s_suppkey").alias("subscriber"))
+    return heard(t("events").select("event_id", channel.alias("channel")), subscriptions, F.count("*").alias("messages"), F.max("event_id").alias("last_message"))

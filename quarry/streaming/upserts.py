@@ -104,6 +104,13 @@ def routed(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return messages.join(hears, "channel")
 
 
+def heard(messages: DataFrame, subscriptions: DataFrame, *sums: Column) -> DataFrame:
+    """subscriber, channel and sums (aggregates) of the messages that each subscriber hears on each channel. All who hear a channel hear
+    the same, so it is summed up once and the sums are routed: rows for each subscription, however many messages there are."""
+    summed = messages.groupBy("channel").agg(*sums)
+    return routed(summed, subscriptions).select("subscriber", *summed.columns)
+
+
 def route_sink(stream: DataFrame, subscriptions: DataFrame, path: str, checkpoint: str, parts: int = 16):
     """Starts a query that writes each batch's messages under its number, in folders by a hash of the subscriber."""
 

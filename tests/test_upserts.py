@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.sources.shared import shared_path
-from quarry.streaming.upserts import KeyedTable, route_sink, routed, vectors_of
+from quarry.streaming.upserts import KeyedTable, heard, route_sink, routed, vectors_of
 
 SCHEMA = "k string, v long, at long, gone boolean"
 
@@ -69,6 +69,17 @@ def test_streams(spark, table, tmp_path):
     assert sorted(r.subscriber for r in everyone.collect()) == ["s1", "s2", "s3"]
 
 
+def test_heard_is_summed_before_it_is_routed(spark):
+    """Few subscribers or many: what is joined with them is a row for each channel."""
+    hears = spark.createDataFrame([("a", "s1"), ("a", "s2"), ("b", "s1"), (None, "s3")], "channel string, subscriber string")
+    said = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2), ("*", 3), (None, 9), ("c", 4)], "channel string, v long")
+    sums = F.count("*").alias("n"), F.max("v").alias("last")
+    got = heard(said, hears, *sums)
+    plain = routed(said, hears).groupBy("subscriber", "channel").agg(*sums)
+    assert got.columns == plain.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, got.collect())) == [("s1", "*", 1, 3), ("s1", "a", 2, 5), ("s1", "b", 1, 2), ("s2", "*", 1, 3), ("s2", "a", 2, 5), ("s3", "*", 1, 3)]
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, None]), (4, [1.0, float("nan")]), (5, [float("inf"), 0.0]), (6, None)]
     assert [r.id for r in vectors_of(spark.createDataFrame(rows, "id long, v array<double>"), "v", 2).collect()] == [1]

@@ -60,6 +60,12 @@ def account_valid(account: Column, bik: Column) -> Column:
 RATES = (0.2, 0.1)
 
 
+def sum_of_cents(amount: Column) -> Column:
+    """Sum of amounts (double), each in whole cents. The double itself is rounded: a cast to decimal rounds the shortest number that
+    stands for it, so that half a cent goes up where the double is a little less."""
+    return F.sum(F.round(amount * 100).cast("decimal(20,0)")).cast("double") / 100
+
+
 def total_fits(lines: Column, tax: Column, total: Column, share: float = 0.01) -> Column:
     """Whether the sum of the lines, the tax and the total go together within max(1, 1 %): the tax on top; or lines that hold it,
     at one of the rates; or the tax and the total that follow from a rate. False if one of them is missing."""

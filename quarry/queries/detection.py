@@ -102,8 +102,8 @@ _by_rate = " OR ".join(f"({_near('lines', 'total')} AND {_near('tax', f'total *
   j AS (SELECT o_orderkey, n, lines, tax, unnest([o_totalprice, lines + tax, lines, lines * 1.2]) AS total, unnest([0, 1, 2, 3]) AS kind FROM orders JOIN s ON l_orderkey = o_orderkey)
   SELECT o_orderkey, kind, n, {_near('lines + tax', 'total')} OR {_by_rate} AS fits FROM j""")
 def arithmetic(t: Tables):
-    taxed = F.sum((F.col("l_extendedprice") * F.col("l_tax")).cast("decimal(18,2)")).cast("double")
-    sums = t("lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("lines"), taxed.alias("tax"), F.count("*").alias("n"))
+    price = F.col("l_extendedprice")
+    sums = t("lineitem").groupBy("l_orderkey").agg(checks.sum_of_cents(price).alias("lines"), checks.sum_of_cents(price * F.col("l_tax")).alias("tax"), F.count("*").alias("n"))
     joined = t("orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey"))
     totals = F.posexplode(F.array(F.col("o_totalprice"), F.col("lines") + F.col("tax"), F.col("lines"), F.col("lines") * 1.2)).alias("kind", "total")  # the given one, and some that ought to fit or not
     return joined.select("o_orderkey", "n", "lines", "tax", totals).select("o_orderkey", "kind", "n", checks.total_fits(F.col("lines"), F.col("tax"), F.col("total")).alias("fits"))

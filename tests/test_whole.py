@@ -4,6 +4,8 @@ import hashlib
 import re
 from functools import reduce
 
+import duckdb
+
 from quarry import queries as relational
 from quarry.functions import text
 
@@ -74,3 +76,15 @@ def test_percentile_takes_all_lines(spark, tmp_path):
     found = run(spark, tmp_path, "percentile_all_lines", "lineitem", lines, "l_suppkey long, l_linenumber int, l_quantity double")
     of = {k: sorted(q for s, _, q in lines if s == k) for k in (1, 2, 3)}
     assert {r.l_suppkey: r.p90 for r in found} == {k: v[round(0.9 * (len(v) - 1))] for k, v in of.items()}
+
+
+def test_cents_are_rounded_as_sql_rounds_doubles(spark, tmp_path):
+    """43.9 * 0.05 is a little less than 2.195: 2.19, with which the total fits by half a cent."""
+    spark.sql("SELECT 1L AS o_orderkey, 45.095D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1L AS l_orderkey, 43.9D AS l_extendedprice, 0.05D AS l_tax").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    theirs = con.execute(relational.SQL["arithmetic_check"]).fetchall()
+    assert sorted(map(tuple, relational.QUERIES["arithmetic_check"](spark, str(tmp_path)).collect())) == sorted(theirs)
+    assert (1, 0, 1, True) in theirs

@@ -20,21 +20,53 @@ from pyspark.sql import functions as F
 from quarry.sources.shared import cut
 
 
+def _beside(df: DataFrame) -> DataFrame:
+    """A table of nodes or communities for a join: dealt like the other side, never sent whole through the driver."""
+    return df.hint("merge")
+
+
+def _simple(links: DataFrame) -> DataFrame:
+    """Each link between two nodes once, the lesser node first."""
+    return links.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def _rooted(links: DataFrame) -> DataFrame:
+    """node, root of simple links: each node leads to its least neighbour. Every such path ends in two nodes that lead to each other, of
+    which the lesser is the root. Paths are doubled until all have come to their roots."""
+    both = links.unionAll(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    least = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("to")))
+    back = least.select(F.col("node").alias("to"), F.col("to").alias("further"))
+    is_root = (F.col("further") == F.col("node")) & (F.col("node") < F.col("to"))
+    paths = cut(least.join(_beside(back), "to").select("node", F.when(is_root, F.col("node")).otherwise(F.col("to")).alias("to"), is_root.alias("done")))
+    while paths.where("NOT done").head(1):
+        ahead = paths.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        stepped = paths.where("NOT done").join(_beside(ahead), "to").select("node", F.col("further").alias("to"), (F.col("to") == F.col("further")).alias("done"))
+        paths = cut(paths.where("done").unionAll(stepped))
+    return paths.select("node", F.col("to").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of all nodes of edges (src, dst)."""
+    """node, component (its least node) of all nodes of edges (src, dst). Each round makes one node of a root and all that lead to it, so
+    that half of the nodes at most are left that still have links: rounds, and steps in a round, grow with the logarithm of the nodes,
+    however long the paths are."""
     pairs = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    both = cut(pairs.where("src <> dst").unionAll(pairs.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = cut(nodes.select("node", F.col("node").alias("component")))
-    while True:
-        near = both.join(label.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
-        least = label.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "c").alias("component"))
-        # hooks: what a label's nodes have found is where the label itself leads
-        hooks = least.groupBy(F.col("was").alias("label")).agg(F.min("component").alias("lower"))
-        further = cut(least.join(hooks.select(F.col("label").alias("component"), "lower"), "component", "left").select("node", "was", F.least("component", F.coalesce("lower", "component")).alias("component")))
-        label = further.select("node", "component")
-        if not further.where(F.col("was") != F.col("component")).head(1):
-            return label
+    links, rounds = cut(_simple(pairs)), []
+    while links.head(1):
+        rooted = _rooted(links)
+        rounds.append(rooted)
+        ends = (rooted.select(F.col("node").alias(end), F.col("root").alias(f"{end} root")) for end in ("src", "dst"))
+        for end in ends:
+            links = links.join(_beside(end), end.columns[0])
+        links = cut(_simple(links.select(F.col("src root").alias("src"), F.col("dst root").alias("dst"))))
+    if not rounds:
+        return nodes.select("node", F.col("node").alias("component"))
+    found = rounds.pop()
+    while rounds:  # from the last and smallest round back to all nodes
+        further = found.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        found = cut(rounds.pop().join(_beside(further), "root", "left").select("node", F.coalesce("further", "root").alias("root")))
+    named = found.join(found.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+    return cut(nodes.join(_beside(named), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
 
 def modularity(edges: DataFrame, found: DataFrame) -> DataFrame:

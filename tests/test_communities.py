@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarry.operators.communities import communities, components, incremental, modularity, ranked_communities
+from quarry.sources.shared import cut
 
 
 def plain_components(edges):
@@ -83,6 +84,26 @@ def test_components_and_odd_edges(spark):
     assert components(frame.limit(0)).count() == 0 and communities(frame.limit(0)).count() == 0
 
 
+def test_rounds_of_components_follow_the_logarithm_of_a_path(spark, monkeypatch):
+    """A path in order, and one whose names are dealt: few tables are stored, however long it is."""
+    from quarry.operators import communities as module
+
+    stored = []
+
+    def counted(df):
+        stored.append(df)
+        assert len(stored) <= 40
+        return cut(df)
+
+    monkeypatch.setattr(module, "cut", counted)
+    names = list(range(600))
+    random.Random(6).shuffle(names)
+    for n in (list(range(600)), names):
+        stored.clear()
+        edges = list(zip(n[:300], n[1:300])) + list(zip(n[300:], n[301:]))
+        assert {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()} == plain_components(edges)
+
+
 def test_runs_over_changes(spark):
     """Three changes: an edge between two components, an edge that goes, a component that is new. Each run equals a full one."""
     rng = random.Random(4)

@@ -62,3 +62,28 @@ def test_ended_steps_are_forgotten(spark, tmp_path):
     stream = work.leased(stream_of(spark, tmp_path / "in", batches), forget_s=100.0)
     got = log_of(work.run_to(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")))
     assert [(r[2], r[6], r[7]) for r in got if r[0] == "a"] == [("claim", 1, 1), ("finish", 1, 2), ("claim", 1, 1)]
+
+
+def test_replay_takes_groups_one_by_one(spark):
+    """Steps and events that lie over several Arrow batches, and a plan that builds no group."""
+    rows = [(f"s{i % 7}", i, "claim" if i % 14 < 7 else "finish", "w1", 1e6) for i in range(200)]
+    events = frame(spark, rows)
+    want = log_of(work.replayed(events))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        replay = work.replayed(events.repartition(5))
+        assert log_of(replay) == want and len(want) == 200
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in replay._jdf.queryExecution().toString()
+
+
+def test_leases_by_any_zone(spark):
+    """A lease over the hour that is left out in spring runs as long as any other."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        given = spark.sql("SELECT 'a' AS step, timestamp_seconds(1711846800 - 1800 + 5400 * n) AS ts, n AS id, IF(n = 0, 'claim', 'finish') AS kind, 'w' AS worker, 6000D AS seconds FROM VALUES (0L), (1L) AS t(n)")
+        assert [r.event for r in work.replayed(given).orderBy("version").collect()] == ["claim", "finish"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

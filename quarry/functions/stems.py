@@ -16,12 +16,14 @@ FLEETING = f"^(.{{2,}})[{VOWELS}]([^{VOWELS}])$"
 
 def stem(word: Column) -> Column:
     """The word without its longest known ending, if three characters are left."""
-    return F.regexp_replace(word, WITH_ENDING, "$1")
+    may = F.contains(F.lit("".join(sorted({e[-1] for e in ENDINGS}))), F.right(word, F.lit(1)))  # few words of other languages need the pattern
+    return F.when(may, F.regexp_replace(word, WITH_ENDING, "$1")).otherwise(word)
 
 
 def without_fleeting(stem: Column) -> Column:
     """The stem without a vowel before its last consonant."""
-    return F.regexp_replace(stem, FLEETING, "$1$2")
+    may = F.contains(F.lit(VOWELS), F.substring(stem, -2, 1))
+    return F.when(may, F.regexp_replace(stem, FLEETING, "$1$2")).otherwise(stem)
 
 
 def term_key(word: Column) -> Column:

@@ -112,3 +112,15 @@ def test_scrub_across_messages():
         seen, inside, held = events.scrub(piece, inside, held)
         out += seen
     assert out + ("" if inside else held) == "Hello  world <b>"
+
+
+def test_stems_without_their_guards(spark):
+    """The last letters that are looked at first spare the patterns, and change no stem."""
+    from quarry.functions import stems
+
+    ends = [f"{b}{e}" for b in ("болт", "ка", "конец", "палец", "мо", "abc", "") for e in (*stems.ENDINGS, "", "ец", "ok", "1")]
+    key = F.regexp_replace(F.regexp_replace(F.translate(F.lower("w"), "ё", "е"), stems.WITH_ENDING, "$1"), stems.FLEETING, "$1$2")
+    rows = spark.createDataFrame([(w,) for w in [*ends, "ЁЛКИ", "the", None]], "w string").select(stems.term_key(F.col("w")).alias("a"), key.alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and {"болт", "abc", None} <= {r.a for r in rows}
+    plan = spark.range(1).select(stems.term_key(F.col("id").cast("string")).alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("CASE WHEN") >= 2

@@ -85,10 +85,10 @@ def _level(edges: DataFrame, nodes: DataFrame, rounds: int) -> tuple[DataFrame,
     moved = False
     resting = 0
     for r in range(rounds):
-        around = edges.join(state.select(F.col("node").alias("dst"), F.col("community").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
+        around = edges.join(_beside(state.select(F.col("node").alias("dst"), F.col("community").alias("to"))), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.sum("weight").alias("w"))
         totals = state.groupBy(F.col("community").alias("to")).agg(F.sum("k").alias("total"), F.count("*").alias("size"))
-        own = state.join(totals.select(F.col("to").alias("community"), F.col("total").alias("own_total"), F.col("size").alias("own_size")), "community")
-        offers = around.join(totals, "to").join(own, "node")
+        own = state.join(_beside(totals.select(F.col("to").alias("community"), F.col("total").alias("own_total"), F.col("size").alias("own_size"))), "community")
+        offers = around.join(_beside(totals), "to").join(_beside(own), "node")
         is_own = F.col("to") == F.col("community")
         gain = F.col("w") - F.col("k") * (F.col("total") - F.when(is_own, F.col("k")).otherwise(0.0)) / (2 * F.col("m"))
         alone = (F.col("size") == 1) & (F.col("own_size") == 1) & (F.col("to") > F.col("node"))
@@ -97,7 +97,7 @@ def _level(edges: DataFrame, nodes: DataFrame, rounds: int) -> tuple[DataFrame,
             F.max(F.when(F.col("is_own"), F.col("gain"))).alias("stay"), F.max(F.when(~F.col("is_own") & ~F.col("alone"), F.struct("gain", "to"))).alias("best")
         )
         nothing = -F.col("k") * (F.col("own_total") - F.col("k")) / (2 * F.col("m"))  # no edge to one's own community
-        chosen = own.join(best, "node", "left")
+        chosen = own.join(_beside(best), "node", "left")
         turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
         moves = turn & (F.col("best.gain") > F.coalesce("stay", nothing) + 1e-12)
         stepped = cut(chosen.select("node", "component", "k", "m", "community", F.coalesce(F.when(moves, F.col("best.to")), F.col("community")).alias("next"), F.coalesce(moves, F.lit(False)).alias("moved")))
@@ -110,7 +110,7 @@ def _level(edges: DataFrame, nodes: DataFrame, rounds: int) -> tuple[DataFrame,
         # a component that loses by this round stays as it was
 
         def worth(column: str) -> DataFrame:
-            inside = edges.join(stepped.select(F.col("node").alias("src"), "component", F.col(column).alias("a")), "src").join(stepped.select(F.col("node").alias("dst"), F.col(column).alias("b")), "dst")
+            inside = edges.join(_beside(stepped.select(F.col("node").alias("src"), "component", F.col(column).alias("a"))), "src").join(_beside(stepped.select(F.col("node").alias("dst"), F.col(column).alias("b"))), "dst")
             inside = inside.where("a = b").groupBy("component").agg(F.sum("weight").alias("inside"))
             squares = stepped.groupBy("component", column, "m").agg(F.sum("k").alias("k")).groupBy("component", "m").agg(F.sum(F.col("k") * F.col("k")).alias("squares"))
             return squares.join(inside, "component", "left").select("component", (F.coalesce("inside", F.lit(0.0)) - F.col("squares") / (2 * F.col("m"))).alias(f"worth {column}"))
@@ -133,7 +133,7 @@ def communities(edges: DataFrame, levels: int = 4, rounds: int = 10) -> DataFram
     simple = cut(simple.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     found = components(simple)
     ends = simple.select(F.explode(F.array("src", "dst")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("k"))
-    nodes = found.join(ends, "node")
+    nodes = found.join(_beside(ends), "node")
     halves = nodes.groupBy("component").agg((F.sum("k") / 2).alias("m"))
     nodes = cut(nodes.join(halves, "component").select("node", "component", "k", "m"))
     links = simple.where("src <> dst")
@@ -144,12 +144,12 @@ def communities(edges: DataFrame, levels: int = 4, rounds: int = 10) -> DataFram
         if not moved:
             break
         into = state.select("node", F.col("community").alias("joined"))
-        names = cut(names.join(into.withColumnRenamed("node", "community"), "community").select("node", "component", F.col("joined").alias("community")))
-        links = links.join(into.select(F.col("node").alias("src"), F.col("joined").alias("a")), "src").join(into.select(F.col("node").alias("dst"), F.col("joined").alias("b")), "dst")
+        names = cut(names.join(_beside(into.withColumnRenamed("node", "community")), "community").select("node", "component", F.col("joined").alias("community")))
+        links = links.join(_beside(into.select(F.col("node").alias("src"), F.col("joined").alias("a"))), "src").join(_beside(into.select(F.col("node").alias("dst"), F.col("joined").alias("b"))), "dst")
         links = cut(links.where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
         nodes = cut(state.groupBy(F.col("community").alias("node"), "component", "m").agg(F.sum("k").alias("k")).select("node", "component", "k", "m"))
     least = names.groupBy("component", "community").agg(F.min("node").alias("least"))
-    return names.join(least, ["component", "community"]).select("node", "component", F.col("least").alias("community"))
+    return names.join(_beside(least), ["component", "community"]).select("node", "component", F.col("least").alias("community"))
 
 
 def incremental(known: DataFrame, edges: DataFrame, since, changed: str = "changed_at") -> tuple[DataFrame, DataFrame]:

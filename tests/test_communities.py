@@ -1,6 +1,7 @@
 """Communities against a plain greedy run, components against a plain walk, and runs over changes against full ones."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -104,6 +105,21 @@ def test_rounds_of_components_follow_the_logarithm_of_a_path(spark, monkeypatch)
         assert {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()} == plain_components(edges)
 
 
+def test_tables_of_nodes_are_never_broadcast(spark, monkeypatch):
+    """Only sums of components may be sent through the driver, small as the tables of this test are."""
+    from quarry.operators import communities as module
+
+    keys = set()
+
+    def read(df):
+        keys.update(re.findall(r"BroadcastHashJoin \[(\w+)#", df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df)
+
+    monkeypatch.setattr(module, "cut", read)
+    found = communities(spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)], "src long, dst long"), levels=1, rounds=2)
+    assert read(found).count() == 6 and keys <= {"component", "root"}
+
+
 def test_runs_over_changes(spark):
     """Three changes: an edge between two components, an edge that goes, a component that is new. Each run equals a full one."""
     rng = random.Random(4)

@@ -18,7 +18,9 @@ distinct ones alone are normalised and cut into words, by the library's own norm
 become their ids wherever they stand, as is the library's default. A worker holds twice MEMO pieces and MOST_NODES nodes, and what one
 stretch of texts (PART bytes, or one text) adds to them, at most; what it holds changes its speed alone.
 
-Decoding writes the tokens' strings with blanks between, as the library does for vocabularies that name no decoder.
+Decoding writes the tokens' strings with blanks between, as the library does for vocabularies that name no decoder. What is encoded
+here is decoded by the same worker: Spark gives each Python step of a task a worker of its own, and in time every one of them would
+hold all tables. A worker that only decodes holds the strings alone.
 
 Defined results: null text is empty and has no tokens; every row is encoded by itself, so that rows and ids may repeat or be null;
 an empty table gives an empty result; the columns to carry come back in one struct, so that clashing names do no harm.
@@ -41,7 +43,7 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import as_bytes, stretches, whole
 
-MEMO, MOST_NODES, MOST_PAIRS = 300_000, 400_000, 500_000
+MEMO, MOST_NODES, MOST_PAIRS = 300_000, 300_000, 250_000
 #: Bytes of text (or ids) that are worked on at a time.
 PART = 2_000_000
 NEVER = 1 << 60
@@ -55,6 +57,13 @@ PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
 _plain = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
 
 
+def strings_of(spec: dict) -> dict[int, str]:
+    """The string of each id of a tokenizers file."""
+    if spec.get("decoder"):
+        raise ValueError("a vocabulary with a decoder of its own")
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens") or []}
+
+
 class Vocabulary:
     """Tokens, merges and spines of a tokenizers file; a word is a string of the vocabulary's characters without its end mark."""
 
@@ -71,14 +80,12 @@ class Vocabulary:
             raise ValueError("not a plain BPE vocabulary")
         if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens that depend on what surrounds them")
-        if spec.get("decoder"):
-            raise ValueError("a vocabulary with a decoder of its own")
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.added = {t["content"]: t["id"] for t in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.letters = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER
-        self.strings: dict[int, str] = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
+        self.strings = strings_of(spec)
         self.mark = model.get("end_of_word_suffix") or ""
         self._tokens(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -277,6 +284,7 @@ def without_cycles() -> Iterator[None]:
 
 
 _loaded: dict[str, Encoder] = {}
+_strings: dict[str, dict[int, str]] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -285,6 +293,16 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def strings(path: str) -> dict[int, str]:
+    """The string of each id, without the tables that encoding takes."""
+    if path in _loaded:
+        return _loaded[path].vocabulary.strings
+    if path not in _strings:
+        with open(path, encoding="utf-8") as file:
+            _strings[path] = strings_of(json.load(file))
+    return _strings[path]
+
+
 def _little_endian(ids: bytes) -> bytes:
     import sys
 
@@ -300,10 +318,11 @@ def decode(ids: bytes, strings: dict[int, str]) -> str:
     return " ".join(map(strings.__getitem__, array("I", _little_endian(ids))))
 
 
-def encoded(df: DataFrame, carry: list[str], tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """Columns row (a struct of the columns `carry`) and ids (binary: unsigned 32-bit, little-endian) of every row."""
+def encoded(df: DataFrame, carry: list[str], tokenizer_path: str, text_col: str = "text", with_decoded: bool = False) -> DataFrame:
+    """Columns row (a struct of the columns `carry`) and ids (binary: unsigned 32-bit, little-endian) of every row; with_decoded: and
+    the text that they stand for, as column decoded, made in the same pass."""
     given = df.select(F.struct(*carry).alias("row"), whole(text_col).alias("text"))
-    schema = T.StructType([given.schema["row"], T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([given.schema["row"], T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if with_decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
@@ -313,7 +332,8 @@ def encoded(df: DataFrame, carry: list[str], tokenizer_path: str, text_col: str
                 part = batch.slice(a, b - a)
                 with without_cycles():
                     ids = [_little_endian(x) for x in own.ids(as_bytes(part.column("text")))]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ids, pa.binary())], ["row", "ids"])
+                texts = [pa.array([decode(x, own.vocabulary.strings) for x in ids], pa.string())] if with_decoded else []
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ids, pa.binary()), *texts], schema.names)
 
     return given.mapInArrow(run, schema)
 
@@ -324,12 +344,12 @@ def decoded(df: DataFrame, tokenizer_path: str) -> DataFrame:
     schema = T.StructType([*given.schema, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = encoder(tokenizer_path).vocabulary.strings
+        of = strings(tokenizer_path)
         for batch in batches:
             sizes = [x or 0 for x in pc.binary_length(batch.column("ids")).to_pylist()]
             for a, b in stretches(sizes, PART):
                 part = batch.slice(a, b - a)
-                texts = [None if x is None else decode(x, strings) for x in part.column("ids").to_pylist()]
+                texts = [None if x is None else decode(x, of) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("ids"), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
 
     return given.mapInArrow(run, schema)

@@ -106,9 +106,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document, and the text that they decode to, as digests."""
-    from quarry.llm.bpe_trie import decoded, encoded
+    from quarry.llm.bpe_trie import encoded
 
-    found = decoded(encoded(table(spark, sf_dir, "documents"), ["doc_id"], WORD_VOCABULARY), WORD_VOCABULARY)
+    found = encoded(table(spark, sf_dir, "documents"), ["doc_id"], WORD_VOCABULARY, with_decoded=True)
     n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
     return found.select("row.doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

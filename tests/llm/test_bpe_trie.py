@@ -96,3 +96,23 @@ def test_query(spark, data, library):
         ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
         text = library.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_one_worker_a_task(spark, data, awkward):
+    """Each Python step of a task has a worker of its own, with tables of its own: the query has one step."""
+    plan = QUERIES["op13_bpe"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    once = encoded(awkward, ["doc_id"], WORD_VOCABULARY, with_decoded=True)
+    twice = decoded(encoded(awkward, ["doc_id"], WORD_VOCABULARY), WORD_VOCABULARY)
+    assert once.schema == twice.schema and once.exceptAll(twice).count() == twice.exceptAll(once).count() == 0
+
+
+def test_decoding_alone_takes_strings_alone(library, monkeypatch):
+    from quarry.llm import bpe_trie
+
+    monkeypatch.setattr(bpe_trie, "_loaded", {})
+    ids = library.encode("Words, and <|endoftext|> more", add_special_tokens=False).ids
+    assert decode(array("I", ids).tobytes(), bpe_trie.strings(WORD_VOCABULARY)) == library.decode(ids, skip_special_tokens=False)
+    assert not bpe_trie._loaded
+    with pytest.raises(ValueError):
+        bpe_trie.strings(BYTE_VOCABULARY)  # names a decoder

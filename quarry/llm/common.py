@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -100,6 +100,45 @@ def crc_remainder(column: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
+#: Bytes that Spark hands to a Python worker at a time inside `small_batches`.
+BATCH_BYTES = 4_000_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of rows for Python are cut by their bytes meanwhile, unless the session says how: ten thousand texts, Spark's measure
+    otherwise, stand in an executor's memory several times over. It holds for what runs meanwhile, not for plans that are made."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    named = spark.conf.get(key, None) is not None
+    if not named:
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if not named:
+            spark.conf.unset(key)
+
+
+#: What this Python worker keeps between tasks, by the operator that it last worked for.
+_kept: dict[str, dict[str, object]] = {}
+
+
+def turned_to(operator: str) -> dict[str, object]:
+    """What this worker keeps for an operator from task to task. Workers outlive stages, and serve any operator: what one kept for
+    others goes."""
+    if operator not in _kept:
+        _kept.clear()
+        _kept[operator] = {}
+    return _kept[operator]
+
+
+def kept_by_worker(operator: str, key: str, make: Callable[[], object]) -> object:
+    own = turned_to(operator)
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each string of an Arrow column without nulls."""
     if pa.types.is_large_string(column.type):

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quarry.llm.common import as_bytes, saved, stretches, whole, working_path
+from quarry.llm.common import as_bytes, kept_by_worker, saved, small_batches, stretches, whole, working_path
 
 CAPACITY, MEMO, TOGETHER = 2048, 400_000, 20_000
 #: Rows of one size that a task ranks; groups of a size that new sequences are chosen from at most.
@@ -63,7 +63,6 @@ _cut = re.compile(rb" (?![\s\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80
 _odd = (b"  ", b" \n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b" \xc2", b" \xe1\x9a", b" \xe2\x80", b" \xe2\x81", b" \xe3\x80")
 #: Chunks of these characters alone: ASCII but for control characters other than the line's end, Latin and Cyrillic letters and signs.
 _common = re.compile(rb"(?:[\n\x21-\x7e]|\xc2[\xa1-\xac\xae-\xbf]|[\xc3-\xc6][\x80-\xbf]|\xd0[\x80-\xbf]|\xd1[\x80-\xbf])+")
-_loaded: dict[str, tuple] = {}
 
 
 def _bytes_of() -> dict[str, int]:
@@ -104,7 +103,8 @@ def mergeable_ranks(path: str) -> dict[bytes, int] | None:
 def _tokenizer(path: str):
     """The tokenizer of a .json file, the encoder by rank of new chunks if it is proven, the strings of its added tokens, and the
     worker's table of chunks."""
-    if path not in _loaded:
+
+    def load() -> tuple:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -116,8 +116,9 @@ def _tokenizer(path: str):
 
             encode = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
-        _loaded[path] = (tokenizer, encode, added, {})
-    return _loaded[path]
+        return tokenizer, encode, added, {}
+
+    return kept_by_worker("packing", path, load)
 
 
 def token_ids(texts: list[bytes], path: str, end_id: int = 0) -> Iterator[np.ndarray]:
@@ -323,5 +324,6 @@ def _packed_in_rounds(pieces: DataFrame, capacity: int) -> DataFrame:
 
 def packed(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Columns id, piece, start, length, ids_crc32, sequence_id, offset: every piece's content and place."""
-    pieces = saved(pieces_of(df, tokenizer_path, id_col, text_col, capacity), "pieces")
+    with small_batches(df.sparkSession):
+        pieces = saved(pieces_of(df, tokenizer_path, id_col, text_col, capacity), "pieces")
     return pieces.join(pack(pieces, capacity), "row").drop("row")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import as_bytes, crc_remainder, saved, whole
+from quarry.llm.common import as_bytes, crc_remainder, saved, small_batches, turned_to, whole
 
 #: Labelled rows that the model learns from, at most.
 MAX_ROWS = 40_000
@@ -211,12 +211,14 @@ def quality_scores(
     schema = T.StructType([rows.schema["row"], rows.schema["id"], *out])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turned_to("quality")
         for batch in batches:
             found = text_features(as_bytes(batch.column("text")))
             ends = pa.array(np.arange(len(found) + 1) * len(FEATURES), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], names=["row", "id", "features"])
 
-    made = saved(rows.mapInArrow(extract, schema), "features")
+    with small_batches(df.sparkSession):
+        made = saved(rows.mapInArrow(extract, schema), "features")
     teach = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.min(label_col).alias("label"))
     teach = teach.where(crc_remainder("of", held_out[0]) != held_out[1])
     # one row of each labelled id, repeated ids with their least features; of more than max_rows, those with the least hashes

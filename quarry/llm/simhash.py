@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import as_bytes, saved, whole
+from quarry.llm.common import as_bytes, saved, small_batches, turned_to, whole
 from quarry.llm.components import components
 
 BITS, SEED = 64, 42
@@ -59,6 +59,7 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", shingle: int = 4, ca
     schema = T.StructType([*(df.schema[c] for c in carry), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turned_to("simhash")
         for batch in batches:
             of = np.array([fingerprint(t, shingle) for t in as_bytes(batch.column(len(carry)))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(of)], names=[*carry, "fp"])
@@ -151,7 +152,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, segments: int = 3) -
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """Columns id, fp, component_id of every row: the smallest id among all rows that links lead to."""
-    fps = saved(with_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, ("id",)), "fingerprints")
+    with small_batches(df.sparkSession):
+        fps = saved(with_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, ("id",)), "fingerprints")
     distinct = saved(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct")
     segments = 3 if distinct.count() <= THREE_SEGMENTS else 2
     roots = components(fingerprint_links(distinct.select("fp"), radius, segments))

@@ -117,3 +117,37 @@ def test_awkward_documents_in_every_stage(spark, data, awkward, nothing, empty):
             docs = made  # two stages in a row, lazily
     packed = steps["best-fit packing"](spark, docs, data)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").distinct().collect()}
+
+
+def test_workers_hold_little(spark, data):
+    """Texts come to Python in small batches, and what a worker keeps for one operator goes when it turns to another."""
+    from pyarrow import array
+
+    from quarry.llm import common, packing
+    from quarry.llm.queries import BYTE_VOCABULARY
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 10_000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_arrays([array([b.nbytes])], names=["n"])
+
+    with common.small_batches(spark):
+        inside = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert len(inside) > 5 and max(inside) < 2 * common.BATCH_BYTES and spark.conf.get(key, None) is None
+    spark.conf.set(key, "1m")
+    with common.small_batches(spark):
+        assert spark.conf.get(key) == "1m"
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+
+    def held(batches):
+        for _ in packing.token_ids([b"some words here"], BYTE_VOCABULARY):
+            pass
+        before = len(common._kept)
+        common.turned_to("simhash")
+        for b in batches:
+            yield b.from_arrays([array([before]), array([sum(k != "simhash" for k in common._kept)])], names=["n", "after"])
+
+    assert {(r.n, r.after) for r in texts.limit(1).mapInArrow(held, "n long, after long").collect()} == {(1, 0)}

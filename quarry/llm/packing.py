@@ -1,19 +1,15 @@
-"""Best-fit packing of documents into sequences by bulk-synchronous rounds.
+"""Best-fit packing of documents into sequences, by counts of each length.
 
 Documents are cut only if they are longer than a sequence: the first piece takes what is left over, the others fill a sequence
-each. The other pieces are packed from the longest to the shortest, a band of lengths at a time (capacity to half of it, half to a
-quarter, and so on). In each round every open sequence offers slots (as many as the band's longest pieces would fit into its gap,
-the last one with what remains), and slots and pieces are sorted by size. Sweeping down the sizes, slots open and pieces close, like
-parentheses: the slot that matches a piece is the smallest free one that holds it, and a piece that nothing matches stays. The
-sweep is distributed: a place's depth follows from counts of each size and from its rank among its equals, and places of one depth
-alternate, so that each depth is a small group of its own (two rows for each size at most). Before a band's second and later
-rounds, the longest of what is left open new sequences, just enough to hold what the open ones have no room for, and the rounds
-repeat until the band is placed.
-
-Ranks among equals are taken in salted groups, as many for each size as its rows fill (OF_SALT of them each), so that one size that
-most pieces share is spread over tasks. Rounds
-are a few for each of the log2(capacity) bands, however many pieces there are; each is written to the shared folder, so that every
-plan is as small as the first. The driver sees counts of each size alone.
+each. Pieces are packed from the longest to the shortest, each into the open sequence with the smallest gap that holds it, or else
+into a new one. Which piece of a length it is plays no part in that, so it is decided for counts: sequences with equal gaps that
+stand next to each other are one group, and a group takes as many pieces of the length at hand as its gaps hold, at once. That
+makes a table of steps. Each length splits two groups at most and begins one, and a step leaves a group less than half its gap, so
+the table follows the number of lengths (`capacity` at most), not that of pieces.
+
+Pieces get their places in the order of lengths, then of row numbers, as prefix sums over ranges of it, however many share a
+length; a piece's sequence and offset follow from its place and the step that the place falls into. The driver sees counts of each
+length alone, and runs a few plans, whatever the input.
 
 Token ids are those of the tokenizers library. The pre-tokenizer never joins what stands left of a blank to what follows it, unless
 more white space follows. So texts are cut before all other blanks, and chunks that repeat are looked up (at most MEMO a worker).
@@ -37,22 +33,19 @@ import json
 import re
 import zlib
 from array import array
+from bisect import bisect_left, insort
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from quarry.llm.common import as_bytes, kept_by_worker, saved, small_batches, stretches, whole, working_path
+from quarry.llm.common import as_bytes, kept_by_worker, prefix_sums, saved, small_batches, stretches, whole
 
 CAPACITY, MEMO, TOGETHER = 2048, 400_000, 20_000
-#: Rows of one size that a task ranks; groups of a size that new sequences are chosen from at most.
-OF_SALT, MOST_SALTS = 20_000, 1000
 #: Bytes of text whose chunks a worker holds at a time.
 PART = 2_000_000
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
@@ -182,148 +175,63 @@ def pieces_of(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
-def _matched(slots: DataFrame, pieces: DataFrame, capacity: int, salts: int) -> DataFrame:
-    """slots: value, seq, gap; pieces: value, row. Columns row, value, seq and offset (null where nothing matches) of each piece.
-    salts: groups of each size."""
-    both = slots.select("value", F.lit(False).alias("close"), F.col("seq").alias("item"), "gap")
-    both = both.unionAll(pieces.select("value", F.lit(True), F.col("row"), F.lit(0).cast("long")))
-    both = both.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts)).cast("int"))
-    group = W.partitionBy("value", "close")
-    sums = both.groupBy("value", "close", "salt").agg(F.count("*").alias("n"))
-    sums = sums.withColumn("ahead", F.sum("n").over(group.orderBy("salt")) - F.col("n"))
-    # a row for each size at most: counts of what stands before it in the sweep
-    by_size = sums.groupBy("value").agg(F.sum(F.when(F.col("close"), 0).otherwise(F.col("n"))).alias("opens"), F.sum(F.when(F.col("close"), F.col("n")).otherwise(0)).alias("closes"))
-    down = W.orderBy(F.col("value").desc()).rowsBetween(W.unboundedPreceding, -1)
-    by_size = by_size.withColumn("depth", F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(down), F.lit(0)))
-    base = sums.join(by_size, "value").select("value", "close", "salt", (F.col("depth") + F.when(F.col("close"), F.col("opens")).otherwise(0)).alias("depth"), "ahead")
-    rank = F.row_number().over(W.partitionBy("value", "close", "salt").orderBy("item"))
-    # base: a row for each group, which adaptive execution sends to all tasks where it is small
-    placed = both.withColumn("rank", rank).join(base, ["value", "close", "salt"])
-    order = F.col("ahead") + F.col("rank")
-    level = F.when(F.col("close"), F.col("depth") - order + 1).otherwise(F.col("depth") + order)
-    before = F.lag(F.struct("item", "gap", "close")).over(W.partitionBy("level").orderBy(F.col("value").desc(), "close"))
-    hit = placed.withColumn("level", level).withColumn("pair", before).where("close").withColumn("slot", F.when(~F.col("pair.close"), F.col("pair")))
-    # pieces of one sequence stand one after the other; one without a match is alone
-    of_seq = W.partitionBy(F.coalesce("slot.item", -1 - F.col("item"))).orderBy("item")
-    offset = F.lit(capacity) - F.col("slot.gap") + F.sum("value").over(of_seq) - F.col("value")
-    return hit.select(F.col("item").alias("row"), "value", F.col("slot.item").alias("seq"), F.when(F.col("slot").isNotNull(), offset).alias("offset"))
-
-
-def _first_of(left: DataFrame, sizes: list[tuple[int, int]], new: int, salts: int) -> DataFrame:
-    """left with a column opens: whether a piece is one of the `new` longest. sizes: value and number of pieces, longest first."""
-    for value, n in sizes:
-        if new <= n:
-            break
-        new -= n
-    longer = left.withColumn("opens", F.col("value") > value)
-    # among equals, so many in each salted group
-    salted = longer.where(F.col("value") == value).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(min(salts, MOST_SALTS))))
-    counts = dict(salted.groupBy("salt").count().collect())  # MOST_SALTS rows at most
-    quota, rest = {}, new
-    for salt, n in sorted(counts.items()):
-        quota[salt] = min(n, rest)
-        rest -= quota[salt]
-    of = F.element_at(F.create_map(*(F.lit(x) for s, q in quota.items() for x in (s, q))), F.col("salt"))
-    place = F.row_number().over(W.partitionBy("salt").orderBy("row"))
-    equal = salted.withColumn("opens", place <= of).drop("salt")
-    return longer.where(F.col("value") != value).unionByName(equal)
-
-
-def _salts(band: list[tuple[int, int]], gaps: dict[int, int], top: int, low: int, new: int) -> int:
-    """Groups that the most frequent size of pieces or of slots fills. band: sizes of pieces and their numbers; gaps: of sequences."""
-    slots: dict[int, int] = {}
-    for gap, n in gaps.items():
-        if gap > low:
-            k = max(1, gap // top)
-            last = gap - (k - 1) * top
-            slots[last] = slots.get(last, 0) + n
-            slots[top] = slots.get(top, 0) + n * (k - 1)
-    most = max([*(n for _, n in band), *(n for n in slots.values())], default=0) + new * max(1, CAPACITY // top)
-    return 1 + most // OF_SALT
-
-
-@contextmanager
-def _interpreted(spark: SparkSession) -> Iterator[None]:
-    """No code for whole stages meanwhile: a band's rounds are many small plans, each with numbers of its own, and the driver would
-    compile classes for every one of their stages, whose memory it gives back late."""
-    key = "spark.sql.codegen.wholeStage"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best-fit decreasing. counts: pieces of each length. A row for each step: the first place that it takes, its first sequence, the
+    offset there, the length, and how many pieces go into each sequence before the next one's turn."""
+    steps, gaps, groups = [], [], {}  # gaps: those of open sequences, rising; groups: first sequence and number
+    place = begun = 0
+
+    def put(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in groups:
+                insort(gaps, gap)
+                groups[gap] = []
+            groups[gap].append((first, n))
+
+    for length, left in sorted(counts.items(), reverse=True):
+        while left:
+            at = bisect_left(gaps, length)
+            if at < len(gaps):
+                gap = gaps[at]
+                first, n = groups[gap].pop()
+                if not groups[gap]:
+                    del groups[gap], gaps[at]
+            else:
+                gap, first, n = capacity, begun, -(-left // (capacity // length))
+                begun += n
+            each = gap // length
+            for of, sequences in ((each, min(n, left // each)), (left % each, 1)):  # in the last one, what remains
+                if of and sequences and n and left:
+                    steps.append((place, first, capacity - gap, length, of))
+                    place, left = place + of * sequences, left - of * sequences
+                    put(gap - of * length, first, sequences)
+                    first, n = first + sequences, n - sequences
+            put(gap, first, n)
+    return np.array(steps, np.int64).reshape(-1, 5)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces: row (unique), length (1 to capacity). Columns row, sequence_id, offset."""
-    with _interpreted(pieces.sparkSession):
-        return _packed_in_rounds(pieces, capacity)
-
-
-def _packed_in_rounds(pieces: DataFrame, capacity: int) -> DataFrame:
-    spark = pieces.sparkSession
-    pieces = pieces.select("row", F.col("length").alias("value"))
-    folder, rounds = working_path(spark, "placed"), 0
-
-    def stored(found: DataFrame) -> DataFrame:
-        """Each round's pieces (row, value, seq, offset), in one folder for all rounds."""
-        nonlocal rounds
-        path, rounds = f"{folder}/round={rounds}", rounds + 1
-        found.write.parquet(path)
-        return spark.read.schema(found.schema).parquet(path)
-
-    zero = F.lit(0).cast("long")
-    placed = stored(pieces.where(F.col("value") > capacity // 2).select("row", "value", F.col("row").alias("seq"), zero.alias("offset")))
-    # open sequences: seq, gap
-    opened = placed.select("seq", (F.lit(capacity) - F.col("value")).alias("gap")).where("gap > 0")
-    sizes = pieces.groupBy("value").agg(F.count("*")).collect()  # a row for each length, `capacity` at most
-    gaps: dict[int, int] = {}
-    for value, n in sizes:
-        if value > capacity // 2:
-            gaps[capacity - value] = n
-    bound = capacity // 2
-    while bound >= 1:
-        low = bound // 2 if bound > 64 else 0
-        left = pieces.where((F.col("value") <= bound) & (F.col("value") > low))
-        band, room = sorted(((v, m) for v, m in sizes if low < v <= bound), reverse=True), None
-        while band:
-            words, top = sum(v * m for v, m in band), band[0][0]
-            begun, new = None, 0
-            if room is not None and words > room:  # as many new sequences as fill up with what the open ones can't hold
-                new = min(-(-(words - room) // capacity), sum(m for _, m in band))
-                ranked = _first_of(left, band, new, _salts(band, {}, top, low, 0))
-                begun = ranked.where("opens").select("row", "value")
-                left = ranked.where("not opens").select("row", "value")
-                # the new ones' gaps count from their first piece on
-                opened = opened.unionAll(begun.select("row", (F.lit(capacity) - F.col("value")).alias("gap")))
-            # top: the longest of what is left, which every slot but a sequence's last holds
-            of_gap = F.greatest(F.lit(1), F.floor(F.col("gap") / top)).cast("int")
-            slots = (
-                opened.where(F.col("gap") > low)
-                .select("seq", "gap", of_gap.alias("k"))
-                .withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k"))))
-                .select("seq", "gap", F.when(F.col("j") < F.col("k"), F.lit(top).cast("long")).otherwise(F.col("gap") - (F.col("k") - 1) * top).alias("value"))
-            )
-            found = _matched(slots, left, capacity, _salts(band, gaps, top, low, new))
-            if begun is not None:
-                found = found.unionAll(begun.select("row", "value", F.col("row"), zero))
-            found = stored(found)
-            left = found.where("seq is null").select("row", "value")
-            used = found.where("seq is not null and offset > 0").groupBy("seq").agg(F.sum("value").alias("used"))
-            opened = saved(opened.join(used.hint("merge"), "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"), "opened")
-            both = left.select("value", F.lit(True).alias("is_left")).unionAll(opened.select("gap", F.lit(False)))
-            counts = both.groupBy("value", "is_left").agg(F.count("*").alias("n")).collect()  # 2 * capacity rows at most
-            band = sorted(((r.value, r.n) for r in counts if r.is_left), reverse=True)
-            gaps = {r.value: r.n for r in counts if not r.is_left}
-            room = sum(r.value * r.n for r in counts if not r.is_left and r.value >= bound)
-        bound = low
-    every = spark.read.schema(placed.schema).parquet(*(f"{folder}/round={i}" for i in range(rounds)))
-    return every.where("seq is not null").select("row", F.col("seq").alias("sequence_id"), "offset")
+    """pieces: row (unique), length (1 to capacity), and others. Adds sequence_id and offset."""
+    counts = dict(pieces.groupBy("length").agg(F.count("*")).collect())  # a row for each length, `capacity` at most
+    steps = pieces.sparkSession.sparkContext.broadcast(best_fit(counts, capacity))
+    placed = prefix_sums(pieces, [-F.col("length"), F.col("row")], {"place": F.lit(1)})
+    new = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    columns, schema = pieces.columns, T.StructType([*pieces.schema.fields, *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = np.ascontiguousarray(steps.value[:, 0])
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            begin, first, offset, length, each = steps.value[np.searchsorted(begins, place, "right") - 1].T
+            turn, inside = np.divmod(place - begin, each)
+            own = [pa.array(first + turn), pa.array(offset + inside * length)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *own], names=schema.names)
+
+    return placed.select(*columns, F.col("place").cast("long").alias("place")).mapInArrow(run, schema)
 
 
 def packed(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Columns id, piece, start, length, ids_crc32, sequence_id, offset: every piece's content and place."""
     with small_batches(df.sparkSession):
         pieces = saved(pieces_of(df, tokenizer_path, id_col, text_col, capacity), "pieces")
-    return pieces.join(pack(pieces, capacity), "row").drop("row")
+    return pack(pieces, capacity).drop("row")

@@ -2,7 +2,7 @@
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -121,6 +121,35 @@ def test_packing_of_equal_lengths_and_nothing(spark, nothing):
     assert packing.packed(nothing, BYTES).count() == 0
 
 
+def test_packing_takes_few_plans_and_as_few_sequences_as_best_fit(spark, data):
+    """The driver's memory grows with the plans that it runs: their number doesn't follow the lengths, bands or rounds."""
+    context, tokenizer = spark.sparkContext, Tokenizer.from_file(BYTES)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    context.setJobGroup("packing", "few plans")
+    pieces = packing.packed(docs, BYTES, capacity=256).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("packing"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 15
+    assert len({r.sequence_id for r in pieces}) == best_fit([r.length for r in pieces], 256)
+
+
+def test_steps_follow_the_lengths_not_the_pieces():
+    rng = np.random.default_rng(3)
+    for capacity in (1, 7, 100):
+        counts = {int(x): int(rng.integers(1, 40)) for x in rng.integers(1, capacity + 1, 60)}
+        steps, n = packing.best_fit(counts, capacity), sum(counts.values())
+        at, held = np.searchsorted(steps[:, 0], np.arange(n), "right") - 1, defaultdict(list)
+        for place, (begin, first, offset, length, each) in enumerate(steps[at].tolist()):
+            turn, inside = divmod(place - begin, each)
+            held[first + turn].append((offset + inside * length, length))
+        for own in held.values():
+            assert [o for o, _ in sorted(own)] == [0, *np.cumsum([x for _, x in sorted(own)])[:-1]] and sum(x for _, x in own) <= capacity
+        lengths = [x for own in held.values() for _, x in own]
+        assert Counter(lengths) == counts and len(held) == best_fit(lengths, capacity)
+    many = packing.best_fit({x: 10**9 + x for x in range(1, 2049)}, 2048)
+    assert len(many) < 2048 * 12
+
+
 def test_ranks_are_proven():
     """Of the vocabulary at hand, and not of one in which a pair that isn't listed makes a token too."""
     assert len(packing.mergeable_ranks(BYTES)) == 50_256

@@ -17,6 +17,8 @@ WORDS, WIDTH, RARE = 2048, 32, 16
 HEADS = WORDS // WIDTH
 EMBED, HIDDEN = 8, 16
 WINDOW, STRETCH = 16, 512
+#: States whose classes are worked out at a time.
+NEAR = 1024
 TINY = np.float32(1e-30)
 SHAPES = {"E": (WORDS + RARE, EMBED), "Wx": (EMBED, 3 * HIDDEN), "bx": (3 * HIDDEN,), "U": (HIDDEN, 3 * HIDDEN), "Wc": (HIDDEN, HEADS + RARE), "bc": (HEADS + RARE,), "Ww": (WORDS, HIDDEN), "bw": (WORDS,)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -90,10 +92,10 @@ class Lanes:
         self.going, self.starting = (~first).astype(np.float32), first.any(1)
 
 
-def _step(p: Params, table: np.ndarray, x: np.ndarray, before: np.ndarray):
-    """The gates z and r, the new content, what the reset gate is applied to, and the next state; a column for each lane."""
-    a, b = np.ascontiguousarray(table[x].T), p["U"].T @ before
-    gates = a[: 2 * HIDDEN]
+def _step(p: Params, a: np.ndarray, before: np.ndarray):
+    """The gates z and r, the new content, what the reset gate is applied to, and the next state; a column for each lane. a: the
+    inputs' part, which the gates replace."""
+    b, gates = p["U"].T @ before, a[: 2 * HIDDEN]
     gates += b[: 2 * HIDDEN]
     np.negative(gates, out=gates)
     np.exp(gates, out=gates)
@@ -111,11 +113,14 @@ def _step(p: Params, table: np.ndarray, x: np.ndarray, before: np.ndarray):
 
 def _classes(p: Params, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the classes, not yet divided by their sum: a row for each class, a column for each state; and the sums."""
-    e = p["Wc"].T @ states.T
-    e += p["bc"][:, None]
-    e -= e.max(0)
-    np.exp(e, out=e)
-    return e, e.sum(0)
+    e, total = np.empty((HEADS + RARE, len(states)), np.float32), np.empty(len(states), np.float32)
+    for i in range(0, len(states), NEAR):  # as many at a time as stay in the processor's cache
+        part = p["Wc"].T @ states[i : i + NEAR].T
+        part += p["bc"][:, None]
+        part -= part.max(0)
+        np.exp(part, out=e[:, i : i + NEAR])
+        np.sum(e[:, i : i + NEAR], 0, out=total[i : i + NEAR])
+    return e, total
 
 
 def _by_class(ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -156,21 +161,23 @@ def log_likelihood(p: Params, docs: list[np.ndarray], begin: int, together: int
     side = Lanes(np.concatenate(docs), np.cumsum(sizes) - sizes, sizes, int(np.clip(sizes.sum() // sizes.max(), 16, 512)), begin)
     table = p["E"] @ p["Wx"] + p["bx"]
     h, total = np.zeros((HIDDEN, side.width), np.float32), np.zeros(len(docs))
-    states, rows, held = [], [], 0
+    ends, t = np.cumsum(side.active), 0
     with np.errstate(over="ignore"):
-        for t in range(side.steps):
-            n = int(side.active[t])
-            if side.starting[t] or n < h.shape[1]:
-                h = h[:, :n] * side.going[t, :n]
-            h = _step(p, table, side.inputs[t, :n], h)[4]
-            states.append(h.T)
-            rows.append((t, n))
-            held += n
-            if held >= together or t == side.steps - 1:
-                ys = np.concatenate([side.targets[s, :m] for s, m in rows])
-                of = np.concatenate([side.owner[s, :m] for s, m in rows])
-                total += np.bincount(of, log_probs(p, np.concatenate(states), ys), len(docs))
-                states, rows, held = [], [], 0
+        while t < side.steps:
+            stop = max(t + 1, int(np.searchsorted(ends, ends[t] - side.active[t] + together, "right")))
+            rows, end = [(s, int(side.active[s])) for s in range(t, stop)], 0
+            a = np.ascontiguousarray(table[np.concatenate([side.inputs[s, :n] for s, n in rows])].T)
+            states = np.empty((a.shape[1], HIDDEN), np.float32)
+            for s, n in rows:
+                if side.starting[s] or n < h.shape[1]:
+                    h = h[:, :n] * side.going[s, :n]
+                h = _step(p, a[:, end : end + n], h)[4]
+                states[end : end + n] = h.T
+                end += n
+            ys = np.concatenate([side.targets[s, :n] for s, n in rows])
+            of = np.concatenate([side.owner[s, :n] for s, n in rows])
+            total += np.bincount(of, log_probs(p, states, ys), len(docs))
+            t = stop
     return total
 
 
@@ -203,10 +210,13 @@ class Trainer:
         table = p["E"] @ p["Wx"] + p["bx"]
         ends = np.cumsum(side.active[steps.start : steps.stop]).tolist()
         count, tape, states = np.float32(ends[-1]), [], np.empty((ends[-1], H), np.float32)
+        xs = np.concatenate([side.inputs[t, : side.active[t]] for t in steps])
+        a, befores = np.ascontiguousarray(table[xs].T), np.empty((H, ends[-1]), np.float32)
         for t, end in zip(steps, ends):
             n = int(side.active[t])
-            before = h[:, :n] * side.going[t, :n]
-            z, r, new, q, h = _step(p, table, side.inputs[t, :n], before)
+            before = befores[:, end - n : end]
+            np.multiply(h[:, :n], side.going[t, :n], out=before)
+            z, r, new, q, h = _step(p, a[:, end - n : end], before)
             states[end - n : end] = h.T
             tape.append((t, n, before, z, r, new, q))
         ys = np.concatenate([side.targets[t, :n] for t, n, *_ in tape])
@@ -214,7 +224,8 @@ class Trainer:
         d /= total * count
         d[_class(ys), np.arange(len(ys))] -= 1 / count
         back = d.T @ p["Wc"].T
-        gWc, gbc = states.T @ d.T, d.sum(1)
+        ones = np.ones(len(ys), np.float32)
+        gWc, gbc = states.T @ d.T, d @ ones
         at, y, parts = _by_class(ys)
         own = states[at]
         e, total = _members(p, own, y, parts)
@@ -225,35 +236,32 @@ class Trainer:
             words = slice(c * WIDTH, (c + 1) * WIDTH)
             np.matmul(e[a:b], p["Ww"][words], out=more[a:b])
             np.matmul(e[a:b].T, own[a:b], out=gWw[words])
-            np.sum(e[a:b], 0, out=gbw[c])
+            np.matmul(ones[: b - a], e[a:b], out=gbw[c])
         back[at] += more
-        gU, gWx, gbx, gE = np.zeros_like(p["U"]), np.zeros_like(p["Wx"]), np.zeros_like(p["bx"]), np.empty((len(ys), EMBED), np.float32)
+        # us: the gradients before U's part, dns: those of the new content; what all steps add up to is worked out once
+        us, dns, backs = np.empty((3 * H, len(ys)), np.float32), np.empty((H, len(ys)), np.float32), np.ascontiguousarray(back.T)
         dh = np.zeros((H, 0), np.float32)
         for (t, n, before, z, r, new, q), end in zip(reversed(tape), reversed(ends)):
-            g, u = np.ascontiguousarray(back[end - n : end].T), np.empty((3 * H, n), np.float32)
+            g, u, dn = backs[:, end - n : end], us[:, end - n : end], dns[:, end - n : end]
             g[:, : dh.shape[1]] += dh
             dh = g * z
-            dn = u[2 * H :]
             np.subtract(g, dh, out=dn)
             np.subtract(before, new, out=u[:H])
             u[:H] *= dh
             new *= new
             new *= dn
             dn -= new
-            np.multiply(dn, q, out=u[H : 2 * H])
-            u[H : 2 * H] *= r
+            np.multiply(dn, r, out=u[2 * H :])
+            np.multiply(u[2 * H :], q, out=u[H : 2 * H])
             np.subtract(1, z, out=z)
             u[:H] *= z
             np.subtract(1, r, out=z)
             u[H : 2 * H] *= z
-            gE[end - n : end] = (p["Wx"] @ u).T
-            gWx += p["E"][side.inputs[t, :n]].T @ u.T
-            gbx += u.sum(1)
-            dn *= r  # from here on the gradient of U's part
-            gU += before @ u.T
             dh += p["U"] @ u
             dh *= side.going[t, :n]
-        xs = np.concatenate([side.inputs[t, :n] for t, n, *_ in tape])
+        gU = befores @ us.T
+        us[2 * H :] = dns
+        gE, gWx, gbx = us.T @ p["Wx"].T, p["E"][xs].T @ us.T, us @ ones
         order = np.argsort(xs.astype(np.int16), kind="stable")
         xs = xs[order]
         begins = np.flatnonzero(np.r_[True, xs[1:] != xs[:-1]])

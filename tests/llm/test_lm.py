@@ -165,6 +165,20 @@ def test_gradients_are_those_of_the_loss(monkeypatch):
             assert abs((losses[0] - losses[1]) / 2e-2 - full.ravel()[i]) < 0.02 * abs(full.ravel()[i]) + 1e-4, k
 
 
+def test_inputs_are_looked_up_once_for_many_steps(monkeypatch):
+    """A window's steps, and a block's in scoring, take their inputs' part from one array, which is laid out once."""
+    p, rng = tiny()
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    docs, seen, step = [rng.integers(0, gru.WORDS, 40).astype(np.int16) for _ in range(20)], [], gru._step
+    monkeypatch.setattr(gru, "_step", lambda p, a, before: (seen.append(a.base), step(p, a, before))[1])
+    gru.Trainer(p, {k: np.full_like(v, 1e-6) for k, v in p.items()}).fit(np.concatenate(docs), np.full(20, 40), 0)
+    windows = len({id(x) for x in seen})
+    assert len(seen) >= 40 and all(x is not None for x in seen) and windows <= -(-len(seen) // gru.WINDOW)
+    seen.clear()
+    gru.log_likelihood(p, docs, 0)
+    assert len(seen) >= 40 and len({id(x) for x in seen}) == 1
+
+
 def test_learns_by_default(spark, data):
     docs = spark.read.parquet(f"{data.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
     r = lm.scores(docs, ["doc_id"]).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()

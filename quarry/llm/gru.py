@@ -19,6 +19,8 @@ EMBED, HIDDEN = 8, 16
 WINDOW, STRETCH = 16, 512
 #: States whose classes are worked out at a time.
 NEAR = 1024
+#: Exponents of less than this, either way, are far from what a number can't hold.
+SAFE = 60
 TINY = np.float32(1e-30)
 SHAPES = {"E": (WORDS + RARE, EMBED), "Wx": (EMBED, 3 * HIDDEN), "bx": (3 * HIDDEN,), "U": (HIDDEN, 3 * HIDDEN), "Wc": (HIDDEN, HEADS + RARE), "bc": (HEADS + RARE,), "Ww": (WORDS, HIDDEN), "bw": (WORDS,)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -92,35 +94,78 @@ class Lanes:
         self.going, self.starting = (~first).astype(np.float32), first.any(1)
 
 
-def _step(p: Params, a: np.ndarray, before: np.ndarray):
-    """The gates z and r, the new content, what the reset gate is applied to, and the next state; a column for each lane. a: the
-    inputs' part, which the gates replace."""
-    b, gates = p["U"].T @ before, a[: 2 * HIDDEN]
-    gates += b[: 2 * HIDDEN]
-    np.negative(gates, out=gates)
+def _joint(p: Params) -> np.ndarray:
+    """All weights of a step in one matrix: rows for what the reset gate is applied to, for both gates (negated, as their exponent
+    takes them) and for the inputs' part of the new content; columns for the state, the input and one."""
+    w, gates = np.zeros((4 * HIDDEN, HIDDEN + EMBED + 1), np.float32), slice(HIDDEN, 3 * HIDDEN)
+    w[:HIDDEN, :HIDDEN] = p["U"][:, 2 * HIDDEN :].T
+    w[HIDDEN:, HIDDEN:-1] = p["Wx"].T
+    w[HIDDEN:, -1] = p["bx"]
+    w[gates, :HIDDEN] = p["U"][:, : 2 * HIDDEN].T
+    w[gates] *= -1
+    return w
+
+
+def _blocks(p: Params, xs: np.ndarray, counts: list[int]) -> list[np.ndarray]:
+    """For each of some steps, with as many lanes each, what _joint is applied to: rows for the state (left open), the input and
+    one, a column for each lane. Each step's block is in one piece of memory, in an array for all."""
+    size, begin, out = HIDDEN + EMBED + 1, 0, []
+    every, looked_up = np.empty(size * len(xs), np.float32), p["E"][xs]
+    for n in counts:
+        block = every[size * begin : size * (begin + n)].reshape(size, n)
+        block[HIDDEN:-1] = looked_up[begin : begin + n].T
+        block[-1] = 1
+        out.append(block)
+        begin += n
+    return out
+
+
+def _step(w: np.ndarray, a: np.ndarray, before: np.ndarray):
+    """The gates z and r in one array, the new content, what the reset gate is applied to, and the next state; a column for each
+    lane. a: the step's block; before: its rows for the state."""
+    b = w @ a
+    q, gates, new = b[:HIDDEN], b[HIDDEN : 3 * HIDDEN], b[3 * HIDDEN :]
     np.exp(gates, out=gates)
     gates += 1
     np.reciprocal(gates, out=gates)
-    z, r, q = gates[:HIDDEN], gates[HIDDEN:], b[2 * HIDDEN :]
-    new = r * q
-    new += a[2 * HIDDEN :]
+    h = gates[HIDDEN:] * q
+    new += h
     np.tanh(new, out=new)
-    h = before - new
-    h *= z
+    np.subtract(before, new, out=h)
+    h *= gates[:HIDDEN]
     h += new
-    return z, r, new, q, h
+    return gates, new, q, h
+
+
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """The states, a row each, and a one that carries the biases."""
+    out = np.ones((len(states), HIDDEN + 1), np.float32)
+    out[:, :HIDDEN] = states
+    return out
 
 
-def _classes(p: Params, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the classes, not yet divided by their sum: a row for each class, a column for each state; and the sums."""
-    e, total = np.empty((HEADS + RARE, len(states)), np.float32), np.empty(len(states), np.float32)
-    for i in range(0, len(states), NEAR):  # as many at a time as stay in the processor's cache
-        part = p["Wc"].T @ states[i : i + NEAR].T
-        part += p["bc"][:, None]
-        part -= part.max(0)
-        np.exp(part, out=e[:, i : i + NEAR])
-        np.sum(e[:, i : i + NEAR], 0, out=total[i : i + NEAR])
-    return e, total
+class Outputs:
+    """Weights of the classes and of their members with the biases as a last column. States are between -1 and 1, so that sums of
+    weights tell whether exponents are safe as they are; else the largest of each row is taken off first."""
+
+    def __init__(self, p: Params):
+        self.classes = np.concatenate([p["Wc"].T, p["bc"][:, None]], 1, dtype=np.float32)
+        self.members = np.concatenate([p["Ww"], p["bw"][:, None]], 1, dtype=np.float32)
+        self.safe = [float(np.abs(w).sum(1).max()) < SAFE for w in (self.classes, self.members)]
+
+    def shares(self, e: np.ndarray, of_members: bool) -> np.ndarray:
+        """Exponents become shares in place, not yet divided by their sums, which are returned."""
+        if not self.safe[of_members]:
+            e -= e.max(1, keepdims=True)
+        np.exp(e, out=e)
+        return e @ np.ones(e.shape[1], np.float32)
+
+    def of_members(self, own: np.ndarray, parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the members of each state's class (a row for each state), and the sums. own: the states, ordered by class."""
+        e = np.empty((len(own), WIDTH), np.float32)
+        for c, a, b in parts:
+            np.matmul(own[a:b], self.members[c * WIDTH : (c + 1) * WIDTH].T, out=e[a:b])
+        return e, self.shares(e, True)
 
 
 def _by_class(ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -132,23 +177,15 @@ def _by_class(ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, i
     return at, y, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
 
 
-def _members(p: Params, own: np.ndarray, y: np.ndarray, parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the members of each state's class (a row for each state), not yet divided by their sum, and the sums."""
-    e = np.empty((len(y), WIDTH), np.float32)
-    for c, a, b in parts:
-        np.matmul(own[a:b], p["Ww"][c * WIDTH : (c + 1) * WIDTH].T, out=e[a:b])
-        e[a:b] += p["bw"][c * WIDTH : (c + 1) * WIDTH]
-    e -= e.max(1, keepdims=True)
-    np.exp(e, out=e)
-    return e, e @ np.ones(WIDTH, np.float32)
-
-
 def log_probs(p: Params, states: np.ndarray, ys: np.ndarray) -> np.ndarray:
     """Natural logarithm of each y's probability after the states."""
-    e, total = _classes(p, states)
-    out = np.log(np.maximum(e[_class(ys), np.arange(len(ys))], TINY)) - np.log(total)
+    outputs, states, kind, out = Outputs(p), _with_one(states), _class(ys), np.empty(len(ys), np.float32)
+    for i in range(0, len(ys), NEAR):  # as many at a time as stay in the processor's cache
+        e = states[i : i + NEAR] @ outputs.classes.T
+        total = outputs.shares(e, False)
+        out[i : i + NEAR] = np.log(np.maximum(e[np.arange(len(e)), kind[i : i + NEAR]], TINY)) - np.log(total)
     at, y, parts = _by_class(ys)
-    e, total = _members(p, states[at], y, parts)
+    e, total = outputs.of_members(states[at], parts)
     out[at] += np.log(np.maximum(e[np.arange(len(y)), y % WIDTH], TINY)) - np.log(total)
     return out
 
@@ -159,19 +196,17 @@ def log_likelihood(p: Params, docs: list[np.ndarray], begin: int, together: int
         return np.zeros(0)
     sizes = np.array([len(d) for d in docs], np.int64)
     side = Lanes(np.concatenate(docs), np.cumsum(sizes) - sizes, sizes, int(np.clip(sizes.sum() // sizes.max(), 16, 512)), begin)
-    table = p["E"] @ p["Wx"] + p["bx"]
-    h, total = np.zeros((HIDDEN, side.width), np.float32), np.zeros(len(docs))
+    w, h, total = _joint(p), np.zeros((HIDDEN, side.width), np.float32), np.zeros(len(docs))
     ends, t = np.cumsum(side.active), 0
     with np.errstate(over="ignore"):
         while t < side.steps:
             stop = max(t + 1, int(np.searchsorted(ends, ends[t] - side.active[t] + together, "right")))
             rows, end = [(s, int(side.active[s])) for s in range(t, stop)], 0
-            a = np.ascontiguousarray(table[np.concatenate([side.inputs[s, :n] for s, n in rows])].T)
-            states = np.empty((a.shape[1], HIDDEN), np.float32)
-            for s, n in rows:
-                if side.starting[s] or n < h.shape[1]:
-                    h = h[:, :n] * side.going[s, :n]
-                h = _step(p, a[:, end : end + n], h)[4]
+            xs = np.concatenate([side.inputs[s, :n] for s, n in rows])
+            states = np.empty((len(xs), HIDDEN), np.float32)
+            for (s, n), block in zip(rows, _blocks(p, xs, [n for _, n in rows])):
+                np.multiply(h[:, :n], side.going[s, :n], out=block[:HIDDEN])
+                h = _step(w, block, block[:HIDDEN])[-1]
                 states[end : end + n] = h.T
                 end += n
             ys = np.concatenate([side.targets[s, :n] for s, n in rows])
@@ -187,10 +222,13 @@ class Trainer:
     def __init__(self, p: Params, past: Params, rate: float = 0.05):
         self.p, self.past, self.rate = {k: v.copy() for k, v in p.items()}, {k: v.copy() for k, v in past.items()}, rate
 
-    def _move(self, k: str, g: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        past = self.past[k][rows] + g * g
-        self.past[k][rows] = past
-        self.p[k][rows] -= self.rate * g / np.sqrt(past)
+    def _move(self, k: str, g: np.ndarray) -> None:
+        past, step = self.past[k], g * g
+        past += step
+        np.sqrt(past, out=step)
+        np.divide(g, step, out=step)
+        step *= self.rate
+        self.p[k] -= step
 
     def fit(self, numbers: np.ndarray, sizes: np.ndarray, begin: int) -> None:
         """One pass of truncated backpropagation over texts that stand one after the other in `numbers`, in stretches."""
@@ -206,66 +244,62 @@ class Trainer:
                 h = self._window(side, h, range(t, min(t + WINDOW, side.steps)))
 
     def _window(self, side: Lanes, h: np.ndarray, steps: range) -> np.ndarray:
-        p, H = self.p, HIDDEN
-        table = p["E"] @ p["Wx"] + p["bx"]
-        ends = np.cumsum(side.active[steps.start : steps.stop]).tolist()
-        count, tape, states = np.float32(ends[-1]), [], np.empty((ends[-1], H), np.float32)
-        xs = np.concatenate([side.inputs[t, : side.active[t]] for t in steps])
-        a, befores = np.ascontiguousarray(table[xs].T), np.empty((H, ends[-1]), np.float32)
-        for t, end in zip(steps, ends):
-            n = int(side.active[t])
-            before = befores[:, end - n : end]
-            np.multiply(h[:, :n], side.going[t, :n], out=before)
-            z, r, new, q, h = _step(p, a[:, end - n : end], before)
-            states[end - n : end] = h.T
-            tape.append((t, n, before, z, r, new, q))
-        ys = np.concatenate([side.targets[t, :n] for t, n, *_ in tape])
-        d, total = _classes(p, states)
-        d /= total * count
-        d[_class(ys), np.arange(len(ys))] -= 1 / count
-        back = d.T @ p["Wc"].T
-        ones = np.ones(len(ys), np.float32)
-        gWc, gbc = states.T @ d.T, d @ ones
+        p, H, w, outputs = self.p, HIDDEN, _joint(self.p), Outputs(self.p)
+        counts = side.active[steps.start : steps.stop].tolist()
+        xs = np.concatenate([side.inputs[t, :n] for t, n in zip(steps, counts)])
+        ys = np.concatenate([side.targets[t, :n] for t, n in zip(steps, counts)])
+        tape, states, end = [], np.ones((len(ys), H + 1), np.float32), 0
+        for t, n, block in zip(steps, counts, _blocks(p, xs, counts)):
+            np.multiply(h[:, :n], side.going[t, :n], out=block[:H])
+            gates, new, q, h = _step(w, block, block[:H])
+            states[end : end + n, :H] = h.T
+            tape.append((t, n, end, block, gates, new, q))
+            end += n
+        count, kind, back, gc = np.float32(len(ys)), _class(ys), np.empty((len(ys), H), np.float32), np.zeros_like(outputs.classes)
+        for i in range(0, len(ys), NEAR):
+            part = states[i : i + NEAR]
+            d = part @ outputs.classes.T
+            d *= (1 / (outputs.shares(d, False) * count))[:, None]
+            d[np.arange(len(d)), kind[i : i + NEAR]] -= 1 / count
+            np.matmul(d, outputs.classes[:, :H], out=back[i : i + NEAR])
+            gc += d.T @ part
         at, y, parts = _by_class(ys)
         own = states[at]
-        e, total = _members(p, own, y, parts)
-        e /= (total * count)[:, None]
+        e, total = outputs.of_members(own, parts)
+        e *= (1 / (total * count))[:, None]
         e[np.arange(len(y)), y % WIDTH] -= 1 / count
-        gWw, gbw, more = np.zeros_like(p["Ww"]), np.zeros((HEADS, WIDTH), np.float32), np.empty_like(own)
+        gm, more = np.zeros_like(outputs.members), np.empty((len(y), H), np.float32)
         for c, a, b in parts:
             words = slice(c * WIDTH, (c + 1) * WIDTH)
             np.matmul(e[a:b], p["Ww"][words], out=more[a:b])
-            np.matmul(e[a:b].T, own[a:b], out=gWw[words])
-            np.matmul(ones[: b - a], e[a:b], out=gbw[c])
+            np.matmul(e[a:b].T, own[a:b], out=gm[words])
         back[at] += more
-        # us: the gradients before U's part, dns: those of the new content; what all steps add up to is worked out once
-        us, dns, backs = np.empty((3 * H, len(ys)), np.float32), np.empty((H, len(ys)), np.float32), np.ascontiguousarray(back.T)
-        dh = np.zeros((H, 0), np.float32)
-        for (t, n, before, z, r, new, q), end in zip(reversed(tape), reversed(ends)):
-            g, u, dn = backs[:, end - n : end], us[:, end - n : end], dns[:, end - n : end]
+        # u: a step's gradients by the rows of _joint, whose gradients add up in gw; ge: those of the inputs; lead: from u to both
+        gw, ge, dh = np.zeros_like(w), np.empty((EMBED, len(ys)), np.float32), np.zeros((H, 0), np.float32)
+        lead = w[:, :-1].T.copy()
+        lead[:, H : 3 * H] *= -1
+        for t, n, begin, block, gates, new, q in reversed(tape):
+            g, u = np.ascontiguousarray(back[begin : begin + n].T), np.empty((4 * H, n), np.float32)
             g[:, : dh.shape[1]] += dh
-            dh = g * z
+            dh, dz, dn = g * gates[:H], u[H : 2 * H], u[3 * H :]
             np.subtract(g, dh, out=dn)
-            np.subtract(before, new, out=u[:H])
-            u[:H] *= dh
+            np.subtract(block[:H], new, out=dz)
+            dz *= dh
             new *= new
             new *= dn
             dn -= new
-            np.multiply(dn, r, out=u[2 * H :])
-            np.multiply(u[2 * H :], q, out=u[H : 2 * H])
-            np.subtract(1, z, out=z)
-            u[:H] *= z
-            np.subtract(1, r, out=z)
-            u[H : 2 * H] *= z
-            dh += p["U"] @ u
+            np.multiply(dn, gates[H:], out=u[:H])
+            np.multiply(u[:H], q, out=u[2 * H : 3 * H])
+            np.subtract(1, gates, out=gates)
+            u[H : 3 * H] *= gates
+            led = lead @ u
+            dh += led[:H]
             dh *= side.going[t, :n]
-        gU = befores @ us.T
-        us[2 * H :] = dns
-        gE, gWx, gbx = us.T @ p["Wx"].T, p["E"][xs].T @ us.T, us @ ones
-        order = np.argsort(xs.astype(np.int16), kind="stable")
-        xs = xs[order]
-        begins = np.flatnonzero(np.r_[True, xs[1:] != xs[:-1]])
-        for k, g in (("Wc", gWc), ("bc", gbc), ("U", gU), ("Wx", gWx), ("bx", gbx), ("Ww", gWw), ("bw", gbw.ravel())):
+            gw += u @ block.T
+            ge[:, begin : begin + n] = led[H:]
+        gU = np.concatenate([gw[H : 3 * H, :H], gw[:H, :H]]).T
+        gE = np.stack([np.bincount(xs, g, len(p["E"])) for g in ge], 1).astype(np.float32)
+        found = {"Wc": gc[:, :H].T, "bc": gc[:, H], "U": gU, "Wx": gw[H:, H:-1].T, "bx": gw[H:, -1], "Ww": gm[:, :H], "bw": gm[:, H], "E": gE}
+        for k, g in found.items():
             self._move(k, g)
-        self._move("E", np.add.reduceat(gE[order], begins), xs[begins])
         return h

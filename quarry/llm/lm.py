@@ -134,9 +134,12 @@ def _encoded(texts: list[bytes], words: Lexicon) -> list[pa.Array]:
     own = owner[seen]
     sums = [np.bincount(own, x[at[seen]], len(sizes)) for x in (words.counts > 0, words.logs, words.shares)]
     unseen = np.bincount(owner[rare], np.log10(words.rare_mass)[numbers[rare] - gru.WORDS], len(sizes))
-    times = Counter(zip(owner[rare].tolist(), names))
-    begins = np.r_[0, np.cumsum(np.bincount(np.array([i for i, _ in times], np.int64), minlength=len(sizes)))].astype(np.int32)
-    rares = pa.StructArray.from_arrays([pa.array([w for _, w in times], pa.binary()), pa.array(list(times.values()), pa.int32())], names=["token", "times"])
+    distinct: dict[bytes, int] = {}
+    which = np.fromiter((distinct.setdefault(w, len(distinct)) for w in names), np.int64, len(names))
+    pairs, times = np.unique(owner[rare] * max(1, len(distinct)) + which, return_counts=True)  # a text and a word
+    of, which = np.divmod(pairs, max(1, len(distinct)))
+    begins = np.r_[0, np.cumsum(np.bincount(of, minlength=len(sizes)))].astype(np.int32)
+    rares = pa.StructArray.from_arrays([pa.array(list(distinct), pa.binary()).take(pa.array(which)), pa.array(times.astype(np.int32))], names=["token", "times"])
     return [
         pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2] - unseen),
         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(numbers)), pa.ListArray.from_arrays(pa.array(begins), rares),

@@ -179,6 +179,46 @@ def test_inputs_are_looked_up_once_for_many_steps(monkeypatch):
     assert len(seen) >= 40 and len({id(x) for x in seen}) == 1
 
 
+def test_steps_work_in_one_piece_of_memory(monkeypatch):
+    """A step's arrays stand apart from other steps': rows of one array for a whole window lie 16 KB apart, where the processor's
+    cache has few places for them. Before, each row of a step was a stretch of such a row."""
+    p, rng = tiny()
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    docs, seen, step = [rng.integers(0, gru.WORDS, 40).astype(np.int16) for _ in range(20)], [], gru._step
+
+    def kept(w, a, before):
+        out = step(w, a, before)
+        seen.extend([a, before, *out])
+        return out
+
+    monkeypatch.setattr(gru, "_step", kept)
+    gru.Trainer(p, {k: np.full_like(v, 1e-6) for k, v in p.items()}).fit(np.concatenate(docs), np.full(20, 40), 0)
+    gru.log_likelihood(p, docs, 0)
+    assert seen and all(x.flags.c_contiguous for x in seen)
+
+
+@pytest.mark.parametrize("shifted", ["bc", "bw"])
+def test_exponents_that_a_number_cannot_hold(shifted):
+    """What all biases have in common plays no part, however large it is: neither in scores nor in steps."""
+    p, rng = tiny()
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    docs = [rng.integers(0, gru.WORDS + gru.RARE, n).astype(np.int16) for n in (30, 7, 19)]
+    found = []
+    for q in (p, {k: v + 200 * (k == shifted) for k, v in p.items()}):
+        trainer = gru.Trainer(q, {k: np.full_like(v, 1e-6) for k, v in p.items()})
+        trainer.fit(np.concatenate(docs), np.array([30, 7, 19]), 0)
+        found.append((gru.log_likelihood(q, docs, 0), gru.log_likelihood(trainer.p, docs, 0)))
+    assert np.allclose(found[0], found[1], rtol=1e-3)
+
+
+def test_rare_words_of_each_text():
+    """Words that aren't known, each with its times, by text; of none where all are known."""
+    words = lm.Lexicon([(b"a", 5), (lm.END, 3)], {k: 10 for k in range(gru.RARE)}, 8, 2)
+    found = lm._encoded([b"x a y x", b"", b"y", b"a"], words)[-1].to_pylist()
+    assert [sorted((r["token"], r["times"]) for r in rares) for rares in found] == [[(b"x", 2), (b"y", 1)], [], [(b"y", 1)], []]
+    assert lm._encoded([b"a", b""], words)[-1].to_pylist() == [[], []] == lm._encoded([b"", b"a A"], words)[-1].to_pylist()
+
+
 def test_learns_by_default(spark, data):
     docs = spark.read.parquet(f"{data.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
     r = lm.scores(docs, ["doc_id"]).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()

@@ -27,6 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,11 +112,26 @@ def lexicon(counts: DataFrame, known: int = KNOWN) -> Lexicon:
 
 ENCODED = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("rest", T.DoubleType()),
-    T.StructField("ids", T.ArrayType(T.ShortType())),
+    T.StructField("ids", T.StringType()),
     T.StructField("rares", T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("times", T.IntegerType())]))),
 ])
 
 
+def as_text(numbers: np.ndarray, sizes: list[int]) -> pa.Array:
+    """Numbers as texts, the first of so many numbers and so on, with a character for each: Spark hands a text on in one piece, and
+    an array number by number. They are below the surrogates."""
+    flat = numbers.astype("<u4").tobytes().decode("utf-32-le").encode()
+    widths = np.r_[0, np.cumsum(1 + (numbers >= 0x80) + (numbers >= 0x800))]
+    ends = widths[np.r_[0, np.cumsum(sizes)]].astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(flat))
+
+
+def as_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What as_text was made from: all numbers, and how many are each text's."""
+    flat = b"".join(as_bytes(texts)).decode()
+    return np.frombuffer(flat.encode("utf-32-le"), "<u4").astype(np.int16), pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _encoded(texts: list[bytes], words: Lexicon) -> list[pa.Array]:
     """Columns of ENCODED: known words' part of the base score and of the classes' shares, the network's numbers, and the words
     that aren't known, each with its times."""
@@ -142,7 +158,7 @@ def _encoded(texts: list[bytes], words: Lexicon) -> list[pa.Array]:
     rares = pa.StructArray.from_arrays([pa.array(list(distinct), pa.binary()).take(pa.array(which)), pa.array(times.astype(np.int32))], names=["token", "times"])
     return [
         pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2] - unseen),
-        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(numbers)), pa.ListArray.from_arrays(pa.array(begins), rares),
+        as_text(numbers, sizes), pa.ListArray.from_arrays(pa.array(begins), rares),
     ]
 
 
@@ -187,8 +203,7 @@ def _learnt(taught: DataFrame, words: Lexicon, rounds: int) -> gru.Params:
                     weight += tokens
 
             for batch in batches:
-                own, lists = batch.column("shard").to_numpy(), batch.column("ids")
-                flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+                own, (flat, lengths) = batch.column("shard").to_numpy(), as_numbers(batch.column("ids"))
                 ends = np.r_[0, np.cumsum(lengths)]
                 cuts = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)] if len(own) else []
                 for a, b in zip(cuts, cuts[1:]):
@@ -249,9 +264,8 @@ def scores(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, end = gru.unflat(model.value), sent.value.end
         for batch in batches:
-            lists = batch.column("ids")
-            docs = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
-            found = gru.log_likelihood(params, docs if len(lists) else [], end) / np.log(10)
+            flat, lengths = as_numbers(batch.column("ids"))
+            found = gru.log_likelihood(params, np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else [], end) / np.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*batch.schema.names[:-1], "own"])
 
     kept = ("row", "n", "held_out", "n_tokens", "known", "base", "rest")

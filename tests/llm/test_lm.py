@@ -7,6 +7,7 @@ from functools import partial
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,18 @@ def test_exponents_that_a_number_cannot_hold(shifted):
     assert np.allclose(found[0], found[1], rtol=1e-3)
 
 
+def test_numbers_as_texts(spark):
+    """Every number that the network has comes back from Spark's texts; before, there were arrays, copied number by number."""
+    sizes = [0, 3, gru.WORDS + gru.RARE, 1, 0]
+    numbers = np.r_[[0, 127, 128], np.arange(gru.WORDS + gru.RARE), 2048].astype(np.int16)
+    texts = lm.as_text(numbers, sizes)
+    through = spark.createDataFrame(list(enumerate(texts.to_pylist())), "i int, ids string").orderBy("i").toArrow()["ids"].combine_chunks()
+    for found in (texts, through, pa.concat_arrays([pa.array(["before"]), texts])[1:]):
+        flat, lengths = lm.as_numbers(found)
+        assert flat.tolist() == numbers.tolist() and lengths.tolist() == sizes
+    assert lm.ENCODED["ids"].dataType.simpleString() == "string"
+
+
 def test_rare_words_of_each_text():
     """Words that aren't known, each with its times, by text; of none where all are known."""
     words = lm.Lexicon([(b"a", 5), (lm.END, 3)], {k: 10 for k in range(gru.RARE)}, 8, 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,12 @@ def term_key(word: Column) -> Column:
     return without_fleeting(stem(F.translate(F.lower(word), "ё", "е")))
 
 
+def term_keys(words: pa.Array) -> pa.Array:
+    """term_key of words in lower case, for an Arrow array."""
+    stems = pc.replace_substring_regex(pc.replace_substring(words, "ё", "е"), WITH_ENDING, r"\1")
+    return pc.replace_substring_regex(stems, FLEETING, r"\1\2")
+
+
 def same_word(a: Column, b: Column) -> Column:
     """Whether two words (lower case, ё as е) are forms of one: stems that are alike, on either side without its fleeting vowel."""
     x, y = stem(a), stem(b)
